@@ -1,0 +1 @@
+"""Intentionally empty: the workloads covered here are batch only (no watermarks, windows or state)."""
