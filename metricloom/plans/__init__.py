@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills the registry."""
 
-from metricloom.plans import filters, joins, projections, sources  # noqa: F401
+from metricloom.plans import aggregates, filters, joins, projections, reshape, sources, windows  # noqa: F401
 from metricloom.plans.registry import REGISTRY  # noqa: F401
