@@ -1,4 +1,6 @@
 """Registered queries. Importing this package fills the registry."""
 
-from metricloom.plans import aggregates, filters, joins, projections, reshape, sources, windows  # noqa: F401
+from metricloom.plans import (  # noqa: F401
+    aggregates, cleaning, filters, joins, outliers, projections, reshape, scalars, sources, windows,
+)
 from metricloom.plans.registry import REGISTRY  # noqa: F401

@@ -207,14 +207,14 @@ def hierarchy_totals(t):
 
 def _rollup(unit):
     return f"""SELECT date_trunc('{unit}', o_orderdate)::DATE AS period, count(*) AS n_orders, count(DISTINCT o_custkey) AS users,
-      round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice) / count(*), 6) AS per_order FROM orders GROUP BY 1"""
+      round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice), 2) / count(*) AS per_order FROM orders GROUP BY 1"""
 
 
 def _rolled(t, period):
     out = distinct_of(t.orders.withColumn("period", period), ["period"], "o_custkey").withColumnRenamed("entities", "users")
     sums = t.orders.groupBy(period.alias("period")).agg(
         F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-        F.round(F.avg("o_totalprice"), 6).alias("per_order"))
+        (F.round(F.sum("o_totalprice"), 2) / F.count("*")).alias("per_order"))
     return sums.join(out, "period")
 
 
