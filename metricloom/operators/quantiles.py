@@ -58,51 +58,42 @@ def _exact(rows: DataFrame, probs: dict, by: list, kind: str, accuracy: int) ->
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"))
 
-    def edge(i: int, p: float, extreme: str):
-        # groups no larger than the sketch, and edges past the ends, keep their whole range
-        open_end = (p <= margin) if extreme == "_min" else (p >= 1.0 - margin)
-        if open_end:
-            return F.col(extreme)
-        return F.when(F.col("_n") <= accuracy, F.col(extreme)).otherwise(F.col("_e")[i])
-
-    brackets = sketch.select(
-        *by, "_n",
-        *[edge(i, p, "_min").alias(f"_lo{i}") for i, p in enumerate(ps)],
-        *[edge(len(ps) + i, p, "_max").alias(f"_hi{i}") for i, p in enumerate(ps)])
+    # groups no larger than the sketch, and edges past the ends, keep their whole range
+    low = [F.expr("_min" if p <= margin else f"if(_n <= {accuracy}, _min, _e[{i}])").alias(f"_lo{i}")
+           for i, p in enumerate(ps)]
+    high = [F.expr("_max" if p >= 1 - margin else f"if(_n <= {accuracy}, _max, _e[{len(ps) + i}])").alias(f"_hi{i}")
+            for i, p in enumerate(ps)]
+    brackets = sketch.select(*by, "_n", *low, *high)
     if by:
         joined = null_safe_join(rows, brackets, by)
     else:
         joined = rows.withColumn("_b", scalar_of(brackets)).select("_v", "_b.*")
 
-    kind_type = rows.schema["_v"].dataType
-    v = F.col("_v")
-    # per quantile: a NULL cell counts a row below the bracket, a value cell one inside it
-    cells = [F.when(v < F.col(f"_lo{i}"), F.struct(F.lit(i).alias("i"), F.lit(None).cast(kind_type).alias("x")))
-              .when(v <= F.col(f"_hi{i}"), F.struct(F.lit(i).alias("i"), v.alias("x")))
-             for i in range(len(ps))]
-    counted = (joined.select(*by, "_n", F.explode(F.array(*cells)).alias("_c"))
-               .filter(F.col("_c").isNotNull())
-               .groupBy(*by, "_n", F.col("_c.i").alias("_i"), F.col("_c.x").alias("_x"))
-               .agg(F.count(F.lit(1)).alias("_k")))
-
-    w = Window.partitionBy(*by, "_n", "_i").orderBy(F.col("_x").asc_nulls_first())
-    upto = counted.withColumn("_to", F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def at(i: int, rank):
-        hit = (F.col("_i") == i) & (F.col("_to") - F.col("_k") <= rank) & (rank < F.col("_to"))
-        found = F.max(F.when(hit, F.col("_x")))
-        return F.when(found.isNull() & (F.first("_n") > 0),
-                      F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast(kind_type)
-                      ).otherwise(found)
-
-    out = []
-    n = F.col("_n")
+    # A value inside a bracket stands for itself; any other counts as "just below" the next
+    # bracket, so running counts over the cells are ranks in the whole group.
+    inside = " or ".join(f"_v between _lo{i} and _hi{i}" for i in range(len(ps)))
+    next_low = [f"if(_lo{i} > _v, _lo{i}, null)" for i in range(len(ps))]
+    above = f"least({', '.join(next_low)})" if len(ps) > 1 else next_low[0]
+    cells = (joined.select(*by, "_n", F.expr(inside).alias("_in"), F.expr(f"if({inside}, _v, {above})").alias("_x"))
+             .filter("_x is not null")
+             .groupBy(*by, "_n", "_x", "_in").agg(F.count("*").alias("_k")))
+    order = Window.partitionBy(*by, "_n").orderBy("_x", "_in").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("_to", F.sum("_k").over(order))
+
+    def at(rank: str) -> str:
+        return f"max(if(_to - _k <= {rank} and {rank} < _to, struct(_in, _x), null))"
+
+    def checked(pick: str) -> str:
+        return f"if({pick}._in, {pick}._x, raise_error('quantile outside its bracket: raise accuracy'))"
+
+    picks, results = [], []
     for i, (name, p) in enumerate(probs.items()):
         if kind == "discrete":
-            out.append(at(i, F.greatest(F.ceil(F.lit(float(p)) * n) - 1, F.lit(0))).alias(name))
+            picks.append(F.expr(at(f"greatest(ceil({float(p)!r}D * _n) - 1, 0L)")).alias(f"_a{i}"))
+            results.append(F.expr(checked(f"_a{i}")).alias(name))
         else:
-            h = F.lit(float(p)) * (n - 1)
-            low, high = at(i, F.floor(h)), at(i, F.ceil(h))
-            frac = F.first(h - F.floor(h))
-            out.append((low + (high - low) * frac).alias(name))
-    return upto.groupBy(*by, "_n").agg(*out).drop("_n")
+            h = f"({float(p)!r}D * (_n - 1))"
+            picks += [F.expr(at(f"floor({h})")).alias(f"_a{i}"), F.expr(at(f"ceil({h})")).alias(f"_b{i}")]
+            a, b = checked(f"_a{i}"), checked(f"_b{i}")
+            results.append(F.expr(f"{a} + ({b} - {a}) * ({h} - floor({h}))").alias(name))
+    return ranked.groupBy(*by, "_n").agg(*picks).select(*by, *results)

@@ -17,6 +17,7 @@ def local_session(name: str, cpus: str | int = "8", **conf) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.log.level": "ERROR",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",     # no stack capture per column
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
