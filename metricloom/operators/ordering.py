@@ -83,11 +83,11 @@ def running_counts(counts: DataFrame, value: str, measures, buckets: int = 256)
     ranges, so no task sees the whole column.
     """
     cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
-    rows = counts.withColumn("_b", F.size(F.filter(cuts, lambda c: c < F.col(value))))
-    totals = rows.groupBy("_b").agg(*[F.sum(m).alias(m) for m in measures])
-    over_buckets = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(m).over(over_buckets), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = rows.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures])
+    over_buckets = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *[F.coalesce(F.sum(m).over(over_buckets), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_i_{m}") for m in measures])
-    return (out.join(F.broadcast(offsets), "_b")          # at most ``buckets`` rows
+    return (out.join(F.broadcast(offsets), "_range")          # at most ``buckets`` rows
             .select(*counts.columns, *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"{m}_before") for m in measures]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def pivot(df: DataFrame, index, column: str, values, agg: Column, fill=None) -> DataFrame:
     """One row per index, one column per listed value (listing them saves a pass over the data)."""
-    out = df.groupBy(*([index] if isinstance(index, str) else index)).pivot(column, list(values)).agg(agg)
+    out = df.groupBy(*(index if isinstance(index, (list, tuple)) else [index])).pivot(column, list(values)).agg(agg)
     return out if fill is None else out.fillna(fill, subset=[str(v) for v in values])
 
 
