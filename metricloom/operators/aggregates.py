@@ -47,6 +47,31 @@ def distinct_of(df: DataFrame, by, entity: str, **flags: Column) -> DataFrame:
         *[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in flags])
 
 
+def distinct_counts(df: DataFrame, by, columns, rsd: float | None = None) -> DataFrame:
+    """Distinct values of several columns per group, one narrow pass each.
+
+    A single aggregate with several distinct counts copies every row once per column before
+    the first shuffle. ``rsd`` switches to sketches of that relative error, in one pass.
+    """
+    by = list(by)
+    if rsd is not None:
+        return df.groupBy(*by).agg(*[F.approx_count_distinct(c, rsd).alias(f"n_{c}") for c in columns])
+    parts = [df.groupBy(*by).agg(F.count_distinct(c).alias(f"n_{c}")) for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = null_safe_join(out, p, by)
+    return out
+
+
+def period_rollup(df: DataFrame, period: Column, user: str, **sums: Column) -> DataFrame:
+    """Per period: distinct users and summed measures, in one pass without a distinct count.
+
+    Each measure must be a sum or count; it is taken per (period, user) first.
+    """
+    per_user = df.groupBy(period.alias("period"), user).agg(*[c.alias(n) for n, c in sums.items()])
+    return per_user.groupBy("period").agg(F.count(user).alias("users"), *[F.sum(n).alias(n) for n in sums])
+
+
 def describe(df: DataFrame, columns, by=(), method: str = "exact") -> DataFrame:
     """count, mean, std, min, q25, q50, q75, max for each column, overall or per group."""
     by = list(by)

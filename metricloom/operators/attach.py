@@ -8,7 +8,7 @@ A window over raw rows would instead pull each key, or everything, into one task
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.numbers import ratio
@@ -45,7 +45,21 @@ def with_group_totals(df: DataFrame, keys, **aggs: Column) -> DataFrame:
     return null_safe_join(df, totals, keys)
 
 
-def with_share(df: DataFrame, measure: str, name: str, by=(), scale: float = 1.0) -> DataFrame:
-    """Append ``measure`` as a share of its total, overall or inside ``by``."""
-    out = with_group_totals(df, by, _total=F.sum(measure))
-    return out.withColumn(name, ratio(measure, "_total") * F.lit(scale)).drop("_total")
+def with_shares(df: DataFrame, names: dict, by=(), scale: float = 1.0, small: bool = False) -> DataFrame:
+    """Append measures as shares of their totals, overall or inside ``by``; ``names`` maps measure to new column.
+
+    ``small`` is for report tables over a fixed set of labels (months, device types): their few
+    rows fit one window, which saves computing the report a second time for its totals. Leave
+    it off when the number of rows grows with the data.
+    """
+    if small:
+        w = Window.partitionBy(*by)
+        return df.withColumns({n: ratio(F.col(m), F.sum(m).over(w)) * F.lit(scale) for m, n in names.items()})
+    out = with_group_totals(df, by, **{f"_t_{m}": F.sum(m) for m in names})
+    shares = {n: ratio(m, f"_t_{m}") * F.lit(scale) for m, n in names.items()}
+    return out.withColumns(shares).drop(*[f"_t_{m}" for m in names])
+
+
+def with_share(df: DataFrame, measure: str, name: str, by=(), scale: float = 1.0, small: bool = False) -> DataFrame:
+    """``with_shares`` for a single measure."""
+    return with_shares(df, {measure: name}, by, scale, small)

@@ -33,12 +33,9 @@ def within_limits(df: DataFrame, limits: DataFrame, below_high=(), above_low=(),
 def iqr_fences(df: DataFrame, value: str, by=(), reach: float = 1.5, min_rows: int = 4) -> DataFrame:
     """Lower and upper fence per group; groups under ``min_rows`` values have none."""
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull())
-    q = quantiles(rows, value, {"_q1": 0.25, "_q3": 0.75}, by)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    joined = null_safe_join(q, sizes, by) if by else with_scalars(q, sizes)
+    q = quantiles(df, value, {"_q1": 0.25, "_q3": 0.75}, by, count="_n")
     iqr = F.col("_q3") - F.col("_q1")
-    return joined.filter(F.col("_n") >= min_rows).select(
+    return q.filter(F.col("_n") >= min_rows).select(
         *by, (F.col("_q1") - reach * iqr).alias("lower"), (F.col("_q3") + reach * iqr).alias("upper"))
 
 

@@ -38,10 +38,9 @@ def lifetime_value(df: DataFrame, by, amount: Column) -> DataFrame:
 
 def item_value_in_top(df: DataFrame, entity: str, item: str, amount: Column, top_entities: int) -> DataFrame:
     """Value of every item sold by the entities with the highest value."""
-    valued = df.select(entity, item, amount.alias("_a"))
-    top = top_k(lifetime_value(valued, [entity], F.col("_a")), top_entities, "-ltv", entity).select(entity)
-    kept = valued.join(top, entity, "left_semi")
-    return lifetime_value(kept, [entity, item], F.col("_a"))
+    items = lifetime_value(df, [entity, item], amount)
+    top = top_k(items.groupBy(entity).agg(F.sum("ltv").alias("_total")), top_entities, "-_total", entity)
+    return items.join(top.select(entity), entity, "left_semi")
 
 
 def _lifetimes(cohort: DataFrame, activity: DataFrame, user: str, start: str, day: str, last_day: int | None) -> DataFrame:

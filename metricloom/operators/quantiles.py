@@ -18,27 +18,28 @@ ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, value: str, probs: dict, by=(), kind: str = "linear",
-              method: str = "exact", accuracy: int = ACCURACY) -> DataFrame:
+              method: str = "exact", accuracy: int = ACCURACY, count: str | None = None) -> DataFrame:
     """One row per key with a column for each named probability; NULL values are skipped.
 
     kind: ``linear`` interpolates between neighbours, ``discrete`` returns an existing value.
     method: ``exact`` (any size), ``builtin`` (exact, for columns known to have few distinct
-    values), ``approx`` (the sketch alone).
+    values), ``approx`` (the sketch alone). ``count`` names a column for the number of values.
     """
     if kind not in ("linear", "discrete"):
         raise ValueError(f"unknown kind {kind!r}")
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    size = [F.count("_v").alias(count)] if count else []
     if method == "builtin":
         fn = "percentile_cont" if kind == "linear" else "percentile_disc"
         return rows.groupBy(*by).agg(
-            *[F.expr(f"{fn}({p}) within group (order by _v)").alias(n) for n, p in probs.items()])
+            *size, *[F.expr(f"{fn}({p}) within group (order by _v)").alias(n) for n, p in probs.items()])
     if method == "approx":
         return rows.groupBy(*by).agg(
-            *[F.percentile_approx("_v", p, accuracy).alias(n) for n, p in probs.items()])
+            *size, *[F.percentile_approx("_v", p, accuracy).alias(n) for n, p in probs.items()])
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    return _exact(rows, probs, by, kind, accuracy)
+    return _exact(rows, probs, by, kind, accuracy, count)
 
 
 def quantile_table(df: DataFrame, columns, probs: dict, by=(), kind: str = "linear",
@@ -50,7 +51,7 @@ def quantile_table(df: DataFrame, columns, probs: dict, by=(), kind: str = "line
     return quantiles(long, "_x", probs, [*by, "column"], kind, method, accuracy)
 
 
-def _exact(rows: DataFrame, probs: dict, by: list, kind: str, accuracy: int) -> DataFrame:
+def _exact(rows: DataFrame, probs: dict, by: list, kind: str, accuracy: int, count: str | None) -> DataFrame:
     ps = list(probs.values())
     margin = 4.0 / accuracy
     edges = [max(p - margin, 0.0) for p in ps] + [min(p + margin, 1.0) for p in ps]
@@ -96,4 +97,5 @@ def _exact(rows: DataFrame, probs: dict, by: list, kind: str, accuracy: int) ->
             picks += [F.expr(at(f"floor({h})")).alias(f"_a{i}"), F.expr(at(f"ceil({h})")).alias(f"_b{i}")]
             a, b = checked(f"_a{i}"), checked(f"_b{i}")
             results.append(F.expr(f"{a} + ({b} - {a}) * ({h} - floor({h}))").alias(name))
-    return ranked.groupBy(*by, "_n").agg(*picks).select(*by, *results)
+    size = [F.col("_n").alias(count)] if count else []
+    return ranked.groupBy(*by, "_n").agg(*picks).select(*by, *size, *results)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.arrays import as_column
 from metricloom.functions.dates import within_days
 from metricloom.functions.numbers import ratio
-from metricloom.operators.attach import with_group_totals, with_share
+from metricloom.operators.attach import with_group_totals, with_share, with_shares
 
 
 def bands(col, edges, labels, include_top: bool = True) -> Column:
@@ -62,15 +62,13 @@ def size_class_summary(df: DataFrame, key: str, mass_over: int = 120, mid_from:
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
     out = (counts.withColumn("size_class", size_class("_k", mass_over, mid_from)).groupBy("size_class")
            .agg(F.count(F.lit(1)).alias("n_keys"), F.sum("_k").alias("n_rows")))
-    return with_share(out, "n_rows", "row_percent", scale=100.0)
+    return with_share(out, "n_rows", "row_percent", scale=100.0, small=True)     # three classes
 
 
 def share_by_segment(df: DataFrame, segment, **measures: Column) -> DataFrame:
     """Aggregates per segment, each also as percent of the sum over segments."""
     totals = df.groupBy(segment).agg(*[m.alias(n) for n, m in measures.items()])
-    for n in measures:
-        totals = with_share(totals, n, f"{n}_percent", scale=100.0)
-    return totals
+    return with_shares(totals, {n: f"{n}_percent" for n in measures}, scale=100.0, small=True)
 
 
 def change_percent(new, old) -> Column:

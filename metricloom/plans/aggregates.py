@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from metricloom.functions.dates import day, month_start, week_start
 from metricloom.functions.numbers import ratio
 from metricloom.operators.aggregates import (
-    QUARTILES, column_totals, describe, distinct_of, drill_down, summarise, value_counts, with_empty_groups,
+    QUARTILES, column_totals, describe, distinct_counts as count_distinct_values, drill_down, period_rollup, summarise, value_counts,
+    with_empty_groups,
 )
 from metricloom.operators.attach import with_share
 from metricloom.operators.cleaning import group_mode
@@ -40,7 +41,13 @@ def counts_and_nulls(t):
 
 @query("AGG4", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
 def distinct_counts(t):
-    return t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct(day("ts")).alias("days"))
+    out = count_distinct_values(t.events.withColumn("day", day("ts")), ["event_type"], ["user_id", "day"])
+    return out.withColumnsRenamed({"n_user_id": "users", "n_day": "days"})
+
+
+@query("AGG4")
+def approximate_distinct_counts(t):
+    return count_distinct_values(t.events, ["event_type"], ["user_id", "event_id"], rsd=0.02)
 
 
 @query("AGG5", """SELECT ts::DATE AS d, count(*) FILTER (WHERE event_type = 'error') AS errors,
@@ -63,7 +70,7 @@ def conditional_percent(t):
 @query("AGG7 WIN3", """SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total,
   round(sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem), 6) AS share FROM lineitem GROUP BY 1""")
 def share_of_grand_total(t):
-    out = with_share(summarise(t.lineitem, ["l_returnflag"], total=F.sum("l_extendedprice")), "total", "share")
+    out = with_share(summarise(t.lineitem, ["l_returnflag"], total=F.sum("l_extendedprice")), "total", "share", small=True)
     return out.select("l_returnflag", F.round("total", 2).alias("total"), F.round("share", 6).alias("share"))
 
 
@@ -211,11 +218,9 @@ def _rollup(unit):
 
 
 def _rolled(t, period):
-    out = distinct_of(t.orders.withColumn("period", period), ["period"], "o_custkey").withColumnRenamed("entities", "users")
-    sums = t.orders.groupBy(period.alias("period")).agg(
-        F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-        (F.round(F.sum("o_totalprice"), 2) / F.count("*")).alias("per_order"))
-    return sums.join(out, "period")
+    out = period_rollup(t.orders, period, "o_custkey", n_orders=F.count("*"), total=F.sum("o_totalprice"))
+    out = out.withColumn("total", F.round("total", 2))
+    return out.withColumn("per_order", F.col("total") / F.col("n_orders"))
 
 
 @query("AGG25", _rollup("week"))

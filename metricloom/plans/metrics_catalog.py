@@ -6,6 +6,7 @@ the part size. A listening event is an app event: genre is the event type, secon
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.dates import MONTH_LABELS, day, weekday_label
@@ -13,7 +14,7 @@ from metricloom.functions.numbers import ratio
 from metricloom.functions.text import contains_any, label_of
 from metricloom.operators.aggregates import QUARTILES, value_counts
 from metricloom.operators.attach import null_safe_join, with_scalars, with_share
-from metricloom.operators.ordering import dense_rank_small, order_by, top_k
+from metricloom.operators.ordering import order_by, top_k
 from metricloom.operators.outliers import percentile_limits, within_limits
 from metricloom.operators.quantiles import quantile_table, quantiles
 from metricloom.operators.segments import up_to
@@ -133,7 +134,7 @@ def listing_segments(t):
     # rooms, balconies and heights have a handful of values each, so the value maps stay tiny
     medians = li.groupBy(*keys).agg(*[F.expr(f"percentile_disc(0.5) within group (order by cast({c} as double))").alias(f"median_{c}")
                                       for c in ("rooms", "balcony", "height")])
-    shares = with_share(null_safe_join(out, medians, keys), "total_ads", "ratio_ads", by=["region"])
+    shares = with_share(null_safe_join(out, medians, keys), "total_ads", "ratio_ads", by=["region"], small=True)
     return rounded(shares, "ratio_ads")
 
 
@@ -145,15 +146,20 @@ def _side(name, date):
   sale_flats, round(sale_flats / sum(sale_flats) OVER () * 100, 6) AS sale_percent, sale_metre, sale_area, dense_rank() OVER (ORDER BY sale_flats DESC)::INT AS sale_rank
   FROM ({_side('ad', 'first_day')}) JOIN ({_side('sale', '(first_day + days)')}) USING (m)""")
 def listing_seasonality(t):
-    li = typical_listings(t).withColumn("last_day", F.date_add("first_day", F.col("days")))
-
-    def side(name, date):
-        out = li.filter(in_period(date)).groupBy(F.month(date).alias("m")).agg(
-            F.count("*").alias(f"{name}_flats"), F.round(F.avg("metre"), 6).alias(f"{name}_metre"), F.round(F.avg("area"), 6).alias(f"{name}_area"))
-        out = rounded(with_share(out, f"{name}_flats", f"{name}_percent", scale=100.0), f"{name}_percent")
-        return dense_rank_small(out, f"{name}_flats", f"{name}_rank")
-    both = side("ad", "first_day").join(side("sale", "last_day"), "m")
-    return both.orderBy("m").withColumn("month", label_of("m", MONTH_LABELS)).drop("m")
+    # both dates of a listing in one pass: (published, month) and (removed, month)
+    dates = F.array(F.struct(F.lit("ad").alias("kind"), F.col("first_day").alias("d")),
+                    F.struct(F.lit("sale").alias("kind"), F.date_add("first_day", F.col("days")).alias("d")))
+    moments = typical_listings(t).select("metre", "area", F.inline(dates)).filter(in_period("d"))
+    months = moments.groupBy(F.month("d").alias("m"), "kind").agg(
+        F.count("*").alias("flats"), F.round(F.avg("metre"), 6).alias("metre"), F.round(F.avg("area"), 6).alias("area"))
+    # at most 24 rows from here on
+    months = rounded(with_share(months, "flats", "percent", by=["kind"], scale=100.0, small=True), "percent")
+    rank = F.dense_rank().over(Window.partitionBy("kind").orderBy(F.desc("flats")))
+    columns = ["flats", "metre", "area", "percent", "rank"]
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}")
+    both = (months.withColumn("rank", rank).groupBy("m")
+            .agg(F.count("*").alias("kinds"), *[pick(k, c) for k in ("ad", "sale") for c in columns]).filter("kinds = 2"))
+    return both.orderBy("m").withColumn("month", label_of("m", MONTH_LABELS)).drop("m", "kinds")
 
 
 @query("MET28", "SELECT p_type, count(p_partkey) AS listings, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")

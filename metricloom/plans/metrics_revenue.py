@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.dates import day, season, week_start
 from metricloom.functions.numbers import ratio
 from metricloom.operators.aggregates import value_counts
-from metricloom.operators.attach import with_share
+from metricloom.operators.attach import with_share, with_shares
 from metricloom.operators.ordering import order_by, top_k
 from metricloom.operators.outliers import blank_outliers, keep_large_groups
 from metricloom.operators.quantiles import quantiles
@@ -56,7 +56,7 @@ def revenue_by_currency(t):
   FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def revenue_by_device(t):
     per = revenue_by(t.orders.filter(F.col("o_orderstatus") == "F"), ["o_orderpriority"], "o_totalprice", "o_orderkey")
-    return rounded(tidy(with_share(per, "total_revenue", "revenue_share")), "revenue_share")
+    return rounded(tidy(with_share(per, "total_revenue", "revenue_share", small=True)), "revenue_share")
 
 
 @query("MET30", """SELECT p_type, round(sum(r), 2) AS total_revenue, count(l_orderkey) AS total_orders, round(avg(r), 6) AS avg_revenue_per_order, sum(l_quantity) AS total_tickets,
@@ -65,7 +65,7 @@ def revenue_by_device(t):
 def revenue_by_event_type(t):
     joined = t.lineitem.withColumn("r", money()).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     per = revenue_by(joined, ["p_type"], "r", "l_orderkey", tickets="l_quantity", names=F.count_distinct("p_name"), avg_tickets=F.avg("l_quantity"))
-    return rounded(tidy(with_share(per, "total_revenue", "revenue_share")), "revenue_share", "one_ticket_cost", "avg_tickets")
+    return rounded(tidy(with_share(per, "total_revenue", "revenue_share", small=True)), "revenue_share", "one_ticket_cost", "avg_tickets")
 
 
 @query("MET30 AGG25", """SELECT date_trunc('week', o_orderdate)::DATE AS week, round(sum(o_totalprice), 2) AS total_revenue, count(o_orderkey) AS total_orders, count(DISTINCT o_custkey) AS total_users,
@@ -104,17 +104,17 @@ SHARES = """SELECT {k}, unique_events, total_orders, total_revenue, round(unique
   round(total_revenue / sum(total_revenue) OVER (), 6) AS ratio_revenue FROM (SELECT {k}, count(DISTINCT l_partkey) AS unique_events, count(*) AS total_orders, trunc(sum(revenue))::BIGINT AS total_revenue FROM ({s}) GROUP BY 1)"""
 
 
-def supply_shares(df, key):
+def supply_shares(df, key, small=False):
     out = df.groupBy(key).agg(F.count_distinct("l_partkey").alias("unique_events"), F.count("*").alias("total_orders"),
                               F.sum("revenue").cast("bigint").alias("total_revenue"))
-    for measure, name in (("unique_events", "ratio_event"), ("total_orders", "ratio_order"), ("total_revenue", "ratio_revenue")):
-        out = with_share(out, measure, name)
+    names = {"unique_events": "ratio_event", "total_orders": "ratio_order", "total_revenue": "ratio_revenue"}
+    out = with_shares(out, names, small=small)
     return rounded(out, "ratio_event", "ratio_order", "ratio_revenue")
 
 
 @query("MET43", SHARES.format(k="n_name", s=SALES))
 def region_shares(t):
-    return order_by(supply_shares(sales(t), "n_name"), "-ratio_event")
+    return order_by(supply_shares(sales(t), "n_name", small=True), "-ratio_event")
 
 
 @query("MET43 NUM4", SHARES.format(k="l_suppkey", s="SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem"))

@@ -131,5 +131,5 @@ def size_class_shares(t):
   SELECT seg, n, round(n / sum(n) OVER (), 6) AS share FROM s""")
 def size_band_shares(t):
     seg = segments.up_to("p_size", {"small": 15, "middle": 35}, "large", "none")
-    out = with_share(t.part.groupBy(seg.alias("seg")).agg(F.count("*").alias("n")), "n", "share")
+    out = with_share(t.part.groupBy(seg.alias("seg")).agg(F.count("*").alias("n")), "n", "share", small=True)
     return out.withColumn("share", F.round("share", 6))

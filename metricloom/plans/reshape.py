@@ -63,7 +63,7 @@ def stacked_category_shares(t):
     o = t.orders.withColumn("season", season("o_orderdate"))
     def part(column):
         counts = o.groupBy("season", F.col(column).alias("value")).agg(F.count("*").alias("n"))
-        return with_share(counts, "n", "ratio", by=["season"]).select("season", "value", F.round("ratio", 6).alias("ratio"))
+        return with_share(counts, "n", "ratio", by=["season"], small=True).select("season", "value", F.round("ratio", 6).alias("ratio"))
     return stack_tagged({"status": part("o_orderstatus"), "priority": part("o_orderpriority")}, "category")
 
 

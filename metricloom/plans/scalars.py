@@ -173,7 +173,7 @@ def parse_dates_or_null(t):
 def orders_per_season(t):
     from metricloom.operators.attach import with_share
     counts = t.orders.groupBy(dates.season(D).alias("season")).agg(F.count("*").alias("n"))
-    return with_share(counts, "n", "share").withColumn("share", F.round("share", 6))
+    return with_share(counts, "n", "share", small=True).withColumn("share", F.round("share", 6))
 
 
 @query("DAT11", "SELECT within, count(*) AS n FROM (SELECT (max(o_orderdate)::DATE - min(o_orderdate)::DATE) <= 365 AS within FROM orders GROUP BY o_custkey) GROUP BY 1")

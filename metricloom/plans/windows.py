@@ -36,7 +36,7 @@ def count_beside_rows(t):
 def share_inside_region(t):
     c = (t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
          .join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
-    out = with_share(c.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n")), "n", "share", by=["r_name"])
+    out = with_share(c.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n")), "n", "share", by=["r_name"], small=True)
     return out.withColumn("share", F.round("share", 6))
 
 
