@@ -35,7 +35,8 @@ def _mirrored(x: Column, tail) -> Column:
 def normal_sf(z) -> Column:
     """P(Z > z) for the standard normal."""
     density = lambda x: F.exp(F.lit(-0.5) * x * x)
-    return _mirrored(as_column(z), lambda t: _simpson(t, F.lit(FAR), density) / F.lit(math.sqrt(2 * math.pi)))
+    # what lies 12 beyond t is below double precision relative to the tail at t
+    return _mirrored(as_column(z), lambda t: _simpson(t, t + F.lit(12.0), density) / F.lit(math.sqrt(2 * math.pi)))
 
 
 def normal_cdf(z) -> Column:

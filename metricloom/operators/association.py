@@ -49,17 +49,21 @@ PAIR = ["left_column", "right_column"]
 
 def chi_square(cells: DataFrame) -> DataFrame:
     """Per pair: rows, levels on each side, chi-square against independence, Cramér's V."""
+    return _fit(cells).drop("_sparse")
+
+
+def _fit(cells: DataFrame) -> DataFrame:
     left = cells.groupBy(*PAIR, "a").agg(F.sum("n").alias("n_a"))
     right = cells.groupBy(*PAIR, "b").agg(F.sum("n").alias("n_b"))
-    joined = cells.join(left, [*PAIR, "a"]).join(right, [*PAIR, "b"])
-    term = F.col("n").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
-    fit = joined.groupBy(*PAIR).agg(F.sum("n").alias("n_rows"), F.sum(term).alias("_t"))
-    levels_a = left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("left_levels"))
-    levels_b = right.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("right_levels"))
-    out = fit.join(levels_a, PAIR).join(levels_b, PAIR)
-    chi2 = F.greatest(F.col("n_rows") * (F.col("_t") - 1), F.lit(0.0))
+    sizes = left.groupBy(*PAIR).agg(F.sum("n_a").alias("n_rows"), F.count(F.lit(1)).alias("left_levels")).join(
+        right.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("right_levels")), PAIR)
+    joined = cells.join(left, [*PAIR, "a"]).join(right, [*PAIR, "b"]).join(sizes, PAIR)
+    product = F.col("n_a").cast("double") * F.col("n_b")
+    out = joined.groupBy(*PAIR, "n_rows", "left_levels", "right_levels").agg(
+        F.sum(F.col("n").cast("double") * F.col("n") / product).alias("_t"),
+        F.count_if(product < F.col("n_rows")).alias("_sparse"))        # seen cells with under one expected row
     narrow = F.least("left_levels", "right_levels") - 1
-    return (out.withColumn("chi2", chi2)
+    return (out.withColumn("chi2", F.greatest(F.col("n_rows") * (F.col("_t") - 1), F.lit(0.0)))
             .withColumn("cramers_v", F.sqrt(ratio(F.col("chi2"), F.col("n_rows") * narrow))).drop("_t"))
 
 
@@ -67,54 +71,45 @@ _ERF = np.vectorize(math.erf, otypes=[float])
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
 
 
-def _cdf(z):
-    return 0.5 * (1.0 + _ERF(np.asarray(z) / math.sqrt(2.0)))
-
-
-def _edges(margin: np.ndarray) -> np.ndarray:
-    """Standard normal cut points that give the observed margin."""
-    from statistics import NormalDist
-    inner = np.cumsum(margin)[:-1] / margin.sum()
-    return np.concatenate(([-8.0], [NormalDist().inv_cdf(min(max(p, 1e-15), 1 - 1e-15)) for p in inner], [8.0]))
-
-
-def _relative_chi2(rho: float, ex: np.ndarray, ey: np.ndarray, p: np.ndarray) -> float:
-    """Chi-square per row of a binned bivariate normal with correlation rho, against independence."""
-    s = math.sqrt(1.0 - rho * rho)
+def _binned_normal(rho: float, n_left: int, n_right: int) -> np.ndarray:
+    """Cell probabilities of a standard bivariate normal on uniform bins over five deviations each way."""
+    ex, ey = np.linspace(-5, 5, n_left + 1), np.linspace(-5, 5, n_right + 1)
     half, mid = np.diff(ex) / 2, (ex[1:] + ex[:-1]) / 2
     x = mid[:, None] + half[:, None] * _NODES
     w = half[:, None] * _WEIGHTS * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    upper = _cdf((ey[None, None, :] - rho * x[:, :, None]) / s)
-    q = (w[:, :, None] * np.diff(upper, axis=2)).sum(axis=1)
-    return float(((q - p) ** 2 / p).sum())
+    z = (ey[None, None, :] - rho * x[:, :, None]) / math.sqrt(1.0 - rho * rho)
+    upper = 0.5 * (1.0 + _ERF(z / math.sqrt(2.0)))
+    return (w[:, :, None] * np.diff(upper, axis=2)).sum(axis=1)
 
 
-def _phi_k_one(chi2: float, n: int, rows, cols) -> float:
+def _phi_k_one(chi2: float, n: int, rows, cols, sparse: int) -> float:
     rows, cols = np.asarray(rows, float), np.asarray(cols, float)
-    narrow = min(len(rows), len(cols)) - 1
-    if narrow < 1:
+    r, k = len(rows), len(cols)
+    top = n * (min(r, k) - 1.0)
+    if top <= 0:
         return float("nan")
-    top = n * narrow
-    pedestal = float((len(rows) - 1) * (len(cols) - 1))     # expected chi-square of pure noise
+    # chi-square of pure noise: degrees of freedom without the cells that are empty as expected
+    empty = (np.outer(rows, cols) / n < 1).sum() - sparse
+    pedestal = max((r - 1) * (k - 1) - float(empty), 0.0)
     if chi2 <= pedestal or pedestal >= top:
         return 0.0
-    ex, ey = _edges(rows), _edges(cols)
-    p = np.outer(rows, cols) / (rows.sum() * cols.sum())
-    ceiling = _relative_chi2(0.9999, ex, ey, p)
-    target = (min(chi2, top) - pedestal) / (top - pedestal)
+    if chi2 >= top:
+        return 1.0
+    flat = _binned_normal(0.0, r, k)
+
+    def spread(rho):
+        return ((_binned_normal(rho, r, k) - flat) ** 2 / np.maximum(flat, 1e-300)).sum()
     low, high = 0.0, 0.9999
-    for _ in range(50):
+    target = (chi2 - pedestal) / (top - pedestal) * spread(high)
+    for _ in range(30):
         rho = (low + high) / 2
-        if _relative_chi2(rho, ex, ey, p) / ceiling < target:
-            low = rho
-        else:
-            high = rho
-    return round((low + high) / 2, 4) if target < 1 else 1.0
+        low, high = (rho, high) if spread(rho) < target else (low, rho)
+    return round((low + high) / 2, 4)
 
 
 @F.pandas_udf(T.DoubleType())
-def _phi_k(chi2: pd.Series, n: pd.Series, rows: pd.Series, cols: pd.Series) -> pd.Series:
-    return pd.Series([_phi_k_one(*r) for r in zip(chi2, n, rows, cols)])
+def _phi_k(chi2: pd.Series, n: pd.Series, rows: pd.Series, cols: pd.Series, sparse: pd.Series) -> pd.Series:
+    return pd.Series([_phi_k_one(*r) for r in zip(chi2, n, rows, cols, sparse)])
 
 
 def phi_k(cells: DataFrame) -> DataFrame:
@@ -124,9 +119,9 @@ def phi_k(cells: DataFrame) -> DataFrame:
     """
     margin = lambda side: (cells.groupBy(*PAIR, side).agg(F.sum("n").alias("_m"))
                            .groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(side, "_m"))).alias(f"_{side}")))
-    table = chi_square(cells).join(margin("a"), PAIR).join(margin("b"), PAIR)
+    table = _fit(cells).join(margin("a"), PAIR).join(margin("b"), PAIR)
     return table.select(*PAIR, "n_rows", "chi2", "cramers_v",
-                        _phi_k("chi2", "n_rows", F.col("_a._m"), F.col("_b._m")).alias("phi_k"))
+                        _phi_k("chi2", "n_rows", F.col("_a._m"), F.col("_b._m"), "_sparse").alias("phi_k"))
 
 
 def strongest_with(pairs: DataFrame, target: str, measure: str) -> DataFrame:

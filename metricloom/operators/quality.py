@@ -47,11 +47,17 @@ def sentinel_report(df: DataFrame, conditions: dict) -> DataFrame:
 
 def missing_cooccurrence(df: DataFrame, columns) -> DataFrame:
     """Correlation of NULL indicators per column pair; NULL when one never varies."""
-    pairs = list(combinations(columns, 2))
-    flag = lambda c: F.col(c).isNull().cast("double")
-    one = df.agg(*[F.corr(flag(a), flag(b)).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
-    parts = [F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"),
-                      F.col(f"_c{i}").alias("null_corr")) for i, (a, b) in enumerate(pairs)]
+    columns, pairs = list(columns), list(combinations(columns, 2))
+    gone = lambda c: F.col(c).isNull()
+    one = df.agg(F.count(F.lit(1)).cast("double").alias("_n"),
+                 *[F.count_if(gone(c)).cast("double").alias(f"_c_{c}") for c in columns],
+                 *[F.count_if(gone(a) & gone(b)).cast("double").alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
+
+    def corr(i: int, a: str, b: str) -> Column:
+        n, ka, kb = F.col("_n"), F.col(f"_c_{a}"), F.col(f"_c_{b}")
+        return ratio(n * F.col(f"_p{i}") - ka * kb, F.sqrt(ka * (n - ka)) * F.sqrt(kb * (n - kb)))
+    parts = [F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), corr(i, a, b).alias("null_corr"))
+             for i, (a, b) in enumerate(pairs)]
     return _tall(one, parts)
 
 
