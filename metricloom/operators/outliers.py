@@ -12,9 +12,9 @@ from metricloom.operators.attach import null_safe_join, scalar_of, with_scalars
 from metricloom.operators.quantiles import quantile_table, quantiles
 
 
-def percentile_limits(df: DataFrame, columns, low: float = 0.01, high: float = 0.99) -> DataFrame:
+def percentile_limits(df: DataFrame, columns, low: float = 0.01, high: float = 0.99, method: str = "exact") -> DataFrame:
     """One row holding ``<column>_low`` and ``<column>_high``, values taken from the data."""
-    tall = quantile_table(df, columns, {"lo": low, "hi": high}, kind="discrete")
+    tall = quantile_table(df, columns, {"lo": low, "hi": high}, kind="discrete", method=method)
     pick = lambda c, side: F.max(F.when(F.col("column") == c, F.col(side)))
     return tall.agg(*[pick(c, s).alias(f"{c}_{n}") for c in columns for s, n in (("lo", "low"), ("hi", "high"))])
 

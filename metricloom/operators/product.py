@@ -122,9 +122,12 @@ def item_popularity(df: DataFrame, item: str, buyer: str) -> DataFrame:
     """Per item: sales, share of all sales, share of all buyers who bought it."""
     per_buyer = df.groupBy(item, buyer).agg(F.count(F.lit(1)).alias("_k"))
     items = per_buyer.groupBy(item).agg(F.sum("_k").alias("sales"), F.count(buyer).alias("buyers"))
-    buyers = per_buyer.select(buyer).dropna().distinct().agg(F.count(F.lit(1)).alias("_all"))
-    out = with_scalars(with_share(items, "sales", "sales_share"), buyers)
-    return out.withColumn("buyer_share", ratio("buyers", "_all")).drop("_all")
+    # both totals from the same item-buyer counts, so their shuffle can serve both
+    totals = (per_buyer.groupBy(buyer).agg(F.sum("_k").alias("_k"))
+              .agg(F.sum("_k").alias("_sales"), F.count(buyer).alias("_buyers")))
+    out = with_scalars(items, totals)
+    return (out.withColumn("sales_share", ratio("sales", "_sales")).withColumn("buyer_share", ratio("buyers", "_buyers"))
+            .drop("_sales", "_buyers"))
 
 
 def group_activity(users: DataFrame, purchases: DataFrame, user: str, group: str, payer: str, amount: str) -> DataFrame:

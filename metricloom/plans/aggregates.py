@@ -94,8 +94,8 @@ def interpolated_quantiles(t):
 
 @query("AGG10", """SELECT l_linenumber, round(median(l_quantity), 6) AS median FROM lineitem GROUP BY 1""")
 def median_of_few_values(t):
-    # at most 50 different quantities, so the built-in value map stays small
-    q = quantiles(t.lineitem, "l_quantity", {"median": 0.5}, ["l_linenumber"], method="builtin")
+    # at most 50 different quantities
+    q = quantiles(t.lineitem, "l_quantity", {"median": 0.5}, ["l_linenumber"], method="counts")
     return q.withColumn("median", F.round("median", 6))
 
 

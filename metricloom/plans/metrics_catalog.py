@@ -17,6 +17,7 @@ from metricloom.operators.attach import null_safe_join, with_scalars, with_share
 from metricloom.operators.ordering import order_by, top_k
 from metricloom.operators.outliers import percentile_limits, within_limits
 from metricloom.operators.quantiles import quantile_table, quantiles
+from metricloom.operators.reshape import crosstab, pivot
 from metricloom.operators.segments import up_to
 from metricloom.plans.bindings import visits, VISITS
 from metricloom.plans.registry import query
@@ -108,7 +109,9 @@ PERIOD = "BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"
 def typical_listings(t):
     li = listings(t)
     columns = ["area", "rooms", "balcony", "height"]
-    kept = within_limits(li, percentile_limits(li, columns), below_high=columns, above_low=["height"], null_passes=columns[1:])
+    # sizes, room and balcony numbers and heights come from short lists of values
+    limits = percentile_limits(li, columns, method="counts")
+    kept = within_limits(li, limits, below_high=columns, above_low=["height"], null_passes=columns[1:])
     return kept.withColumn("metre", ratio("price", "area"))
 
 
@@ -131,9 +134,9 @@ def listing_segments(t):
     out = li.groupBy(*keys).agg(F.count("*").alias("total_ads"), F.round(F.avg("metre"), 6).alias("avg_metre"), F.round(F.avg("area"), 6).alias("avg_area"),
                                 F.round(F.avg("height"), 6).alias("avg_height"), part(F.col("rooms") == 1).alias("ratio_studio"),
                                 part(F.col("l_linestatus") == "O").alias("ratio_open"), part(F.col("l_returnflag") == "R").alias("ratio_flag"))
-    # rooms, balconies and heights have a handful of values each, so the value maps stay tiny
-    medians = li.groupBy(*keys).agg(*[F.expr(f"percentile_disc(0.5) within group (order by cast({c} as double))").alias(f"median_{c}")
-                                      for c in ("rooms", "balcony", "height")])
+    tall = quantile_table(li, ["rooms", "balcony", "height"], {"median": 0.5}, keys, kind="discrete", method="counts")
+    medians = pivot(tall, keys, "column", ["rooms", "balcony", "height"], F.max("median"))
+    medians = medians.withColumnsRenamed({c: f"median_{c}" for c in ("rooms", "balcony", "height")})
     shares = with_share(null_safe_join(out, medians, keys), "total_ads", "ratio_ads", by=["region"], small=True)
     return rounded(shares, "ratio_ads")
 
@@ -242,7 +245,6 @@ def chains_and_singles(t):
 
 @query("MET49 SHP2", f"""SELECT category, count(*) FILTER (WHERE chain = 0) AS "0", count(*) FILTER (WHERE chain = 1) AS "1" FROM ({PLACES}) GROUP BY 1""")
 def chains_by_category(t):
-    from metricloom.operators.reshape import crosstab
     return crosstab(places(t), "category", "chain", [0, 1])
 
 

@@ -179,7 +179,7 @@ def purchase_statistics(t):
     d = "l_discount"
     stats = t.lineitem.agg(F.count(d).alias("n"), F.round(F.sum(d), 2).alias("total"), F.min(d).alias("low"), F.min(F.when(F.col(d) != 0, F.col(d))).alias("low_not_zero"),
                            F.max(d).alias("high"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_samp(d), 6).alias("std"))
-    return with_scalars(stats, quantiles(t.lineitem, d, {"median": 0.5}, kind="discrete"))
+    return with_scalars(stats, quantiles(t.lineitem, d, {"median": 0.5}, kind="discrete", method="counts"))
 
 
 @query("MET15", "SELECT count(l_discount) AS purchases, count(*) FILTER (WHERE l_discount = 0) AS zero_purchases, round(avg((l_discount = 0)::INT), 6) AS zero_share FROM lineitem")

@@ -52,6 +52,13 @@ def test_exact_overall_matches_builtin(hot):
     assert quantiles(df, "v", PROBS, accuracy=500).first() == quantiles(df, "v", PROBS, method="builtin").first()
 
 
+def test_counts_method(hot):
+    _, df = hot
+    for kind in ("linear", "discrete"):
+        a = {r.k: tuple(r) for r in quantiles(df, "v", PROBS, ["k"], kind=kind, method="counts", count="n").collect()}
+        assert a == {r.k: tuple(r) for r in quantiles(df, "v", PROBS, ["k"], kind=kind, accuracy=300, count="n").collect()}
+
+
 def test_sorted_input_and_single_value(spark):
     df = spark.range(50_000).select(F.col("id").cast("double").alias("v"), F.lit(3).alias("c"))
     assert quantiles(df, "v", {"m": 0.5}, accuracy=100).first()["m"] == 24999.5
