@@ -141,8 +141,9 @@ SPANS = """SELECT l_orderkey, o_orderdate::DATE AS founded, min(l_shipdate)::DAT
 
 @query("QUA14", f"""SELECT l_orderkey FROM ({SPANS}) WHERE coalesce(last < first + 10, false) OR coalesce(founded > first, false) OR coalesce(last - founded > 115, false)""")
 def date_order_anomalies(t):
-    li = t.lineitem.filter(F.col("l_returnflag") != "A").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    spans = li.groupBy("l_orderkey", day("o_orderdate").alias("founded")).agg(F.min(day("l_shipdate")).alias("first"), F.max(day("l_shipdate")).alias("last"))
+    li = t.lineitem.filter(F.col("l_returnflag") != "A")
+    shipped = li.groupBy("l_orderkey").agg(F.min(day("l_shipdate")).alias("first"), F.max(day("l_shipdate")).alias("last"))
+    spans = shipped.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("founded")), "l_orderkey")
     wrong = [F.col("last") < F.date_add("first", 10), F.col("founded") > F.col("first"), ~within_days("last", "founded", 115)]
     return spans.filter(quality.any_of(wrong)).select("l_orderkey")
 

@@ -18,8 +18,9 @@ def join_inner(t):
 
 @query("JN2", """SELECT o_orderkey, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def join_left(t):
-    return (t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-            .groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_lines")))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    return (t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            .select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
 
 
 @query("JN3", """SELECT n_name, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey

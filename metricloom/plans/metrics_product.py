@@ -43,8 +43,9 @@ def daily_conversion(t):
 @query("MET3", """SELECT date_trunc('month', o_orderdate)::DATE AS month, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * l_discount), 4) AS commission,
   round(sum(l_extendedprice * l_discount), 4) / count(DISTINCT o_orderkey) AS average_check FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def average_check_per_month(t):
-    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    out = product.average_check(joined, "o_orderdate", "o_orderkey", F.col("l_extendedprice") * F.col("l_discount"))
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("fee"))
+    joined = per_order.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    out = product.average_check(joined, "o_orderdate", "o_orderkey", F.col("fee"))
     return out.withColumn("commission", F.round("commission", 4)).withColumn("average_check", ratio("commission", "orders"))
 
 
