@@ -81,3 +81,14 @@ def parse_date(col, fmt: str = "yyyy-MM-dd") -> Column:
 def within_days(later, earlier, limit: int) -> Column:
     """True when the span is at most ``limit`` whole days."""
     return days_between(later, earlier) <= limit
+
+
+def in_days(col, first: str, last: str) -> Column:
+    """True for moments from the first through the whole last day.
+
+    Written as a half-open range on the column itself, so it can be pushed to the scan; a
+    cast to date around the column could not.
+    """
+    c = as_column(col)
+    after = F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz")
+    return (c >= F.lit(first).cast("timestamp_ntz")) & (c < after)

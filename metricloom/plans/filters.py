@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.dates import day
+from metricloom.functions.dates import in_days
 from metricloom.functions.text import contains_any
 from metricloom.operators.attach import scalar_of
 from metricloom.operators.cleaning import any_missing
@@ -37,8 +37,8 @@ def filter_not_equal_drops_null(t):
 def filter_ranges(t):
     d = F.col("o_orderdate")
     kinds = {
-        # comparing dates keeps the whole last day, also for timestamps after midnight
-        "closed": day(d).between(F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")),
+        # keeps the whole last day, also for moments after its midnight
+        "closed": in_days(d, "1996-01-01", "1998-12-31"),
         "half open": (d >= F.lit("1996-01-01").cast("timestamp_ntz")) & (d < F.lit("1999-01-01").cast("timestamp_ntz")),
         "numbers": F.col("o_totalprice").between(1000, 100000),
     }

@@ -17,7 +17,7 @@ from metricloom.operators.attach import null_safe_join, with_scalars, with_share
 from metricloom.operators.ordering import order_by, top_k
 from metricloom.operators.outliers import percentile_limits, within_limits
 from metricloom.operators.quantiles import quantile_table, quantiles
-from metricloom.operators.reshape import crosstab, pivot
+from metricloom.operators.reshape import crosstab
 from metricloom.operators.segments import up_to
 from metricloom.plans.bindings import visits, VISITS
 from metricloom.plans.registry import query
@@ -133,11 +133,11 @@ def listing_segments(t):
     part = lambda c: F.round(ratio(F.count_if(c), F.count("*")), 6)
     out = li.groupBy(*keys).agg(F.count("*").alias("total_ads"), F.round(F.avg("metre"), 6).alias("avg_metre"), F.round(F.avg("area"), 6).alias("avg_area"),
                                 F.round(F.avg("height"), 6).alias("avg_height"), part(F.col("rooms") == 1).alias("ratio_studio"),
-                                part(F.col("l_linestatus") == "O").alias("ratio_open"), part(F.col("l_returnflag") == "R").alias("ratio_flag"))
-    tall = quantile_table(li, ["rooms", "balcony", "height"], {"median": 0.5}, keys, kind="discrete", method="counts")
-    medians = pivot(tall, keys, "column", ["rooms", "balcony", "height"], F.max("median"))
-    medians = medians.withColumnsRenamed({c: f"median_{c}" for c in ("rooms", "balcony", "height")})
-    shares = with_share(null_safe_join(out, medians, keys), "total_ads", "ratio_ads", by=["region"], small=True)
+                                part(F.col("l_linestatus") == "O").alias("ratio_open"), part(F.col("l_returnflag") == "R").alias("ratio_flag"),
+                                # short value lists again, so the built-in median stays small and shares this pass
+                                *[F.expr(f"percentile_disc(0.5) within group (order by cast({c} as double))").alias(f"median_{c}")
+                                  for c in ("rooms", "balcony", "height")])
+    shares = with_share(out, "total_ads", "ratio_ads", by=["region"], small=True)
     return rounded(shares, "ratio_ads")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricloom.functions.dates import day, is_weekend, month_start, weekday_label
+from metricloom.functions.dates import day, in_days, is_weekend, month_start, weekday_label
 from metricloom.functions.numbers import ratio
 from metricloom.operators import product
 from metricloom.operators.aggregates import distinct_of, share_where, summarise
@@ -19,24 +19,20 @@ def rounded(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def between(col, low, high):
-    return F.col(col).between(F.lit(low).cast("date"), F.lit(high).cast("date"))
-
-
 JANUARY = "log_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-24'"
 JAN = ("2024-01-01", "2024-01-24")
 
 
 @query("MET1 FLT4", f"""SELECT log_date, count(DISTINCT user_id) AS dau FROM ({VISITS}) WHERE {JANUARY} AND r_name = 'EUROPE' AND event_type = 'purchase' GROUP BY 1""")
 def daily_active_buyers(t):
-    v = visits(t).filter(between("log_date", *JAN) & (F.col("r_name") == "EUROPE") & (F.col("event_type") == "purchase"))
+    v = visits(t).filter(in_days("ts", *JAN) & (F.col("r_name") == "EUROPE") & (F.col("event_type") == "purchase"))
     return order_by(product.daily_active(v, "log_date", "user_id"), "log_date")
 
 
 @query("MET2 AGG5", f"""SELECT log_date, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS converted,
   round(count(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') / count(DISTINCT user_id), 6) AS conversion FROM ({VISITS}) WHERE {JANUARY} GROUP BY 1""")
 def daily_conversion(t):
-    v = visits(t).filter(between("log_date", *JAN))
+    v = visits(t).filter(in_days("ts", *JAN))
     return rounded(product.conversion(v, ["log_date"], "user_id", F.col("event_type") == "purchase"), "conversion")
 
 
@@ -98,8 +94,9 @@ def retention_by_cohort_month(t):
   FROM events e JOIN c ON e.user_id = c.user_id WHERE ts::DATE >= DATE '2024-01-02' GROUP BY 1""")
 def retention_of_one_day_cohort(t):
     e = t.events.withColumn("log_date", day("ts"))
-    cohort = product.active_cohort(e, "user_id", "log_date", "2024-01-02")
-    out = product.retention(cohort, e, "user_id", "start_day", "log_date", last_day=None, denominator="cohort")
+    cohort = product.active_cohort(e.filter(in_days("ts", "2024-01-02", "2024-01-02")), "user_id", "log_date", "2024-01-02")
+    later = e.filter(F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"))
+    out = product.retention(cohort, later, "user_id", "start_day", "log_date", last_day=None, denominator="cohort")
     return rounded(out, "retention_rate")
 
 
@@ -197,7 +194,7 @@ def item_popularity(t):
 
 
 @query("MET17 FLT7", f"""WITH s AS (SELECT user_id, count(*) AS k, sum(value) AS s FROM events WHERE event_type = 'purchase' AND value <> 0 GROUP BY 1)
-  SELECT c_mktsegment, count(*) AS members, count(k) AS buyers, round(count(k) / count(*), 6) AS buyer_share, round(count(*) FILTER (WHERE k IS NOT NULL AND payer = 1) / count(k), 6) AS payer_share,
+  SELECT c_mktsegment, count(*) AS members, count(k) AS buyers, round(count(k) / count(*), 6) AS buyer_share, round(count(*) FILTER (WHERE k IS NOT NULL AND payer = 1) / nullif(count(k), 0), 6) AS payer_share,
   round(avg(k), 6) AS purchases_per_buyer, round(avg(s), 4) AS spend_per_buyer, round(avg(s) / avg(k), 6) AS average_price FROM ({PAYERS}) LEFT JOIN s ON c_custkey = user_id GROUP BY 1""")
 def activity_by_segment(t):
     users = payers(t).withColumnRenamed("c_custkey", "user_id")
@@ -334,15 +331,11 @@ def conference_applause_by_occupation(t):
 @query("MET50 AGG24", f"""SELECT r_name, n_name, count(*) AS talks, round(sum(l_quantity), 2) AS applause FROM ({SALES}) WHERE o_orderpriority = '1-URGENT' AND
   o_orderdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY ROLLUP (r_name, n_name)""")
 def conference_filtered_drill_down(t):
-    s = sales(t).filter((F.col("o_orderpriority") == "1-URGENT") & between_days("o_orderdate", "1996-01-01", "1999-12-31"))
+    s = sales(t).filter((F.col("o_orderpriority") == "1-URGENT") & in_days("o_orderdate", "1996-01-01", "1999-12-31"))
     finest = s.groupBy("r_name", "n_name").agg(F.count("*").alias("k"), F.sum("l_quantity").alias("q"))
     return finest.rollup("r_name", "n_name").agg(F.sum("k").alias("talks"), F.round(F.sum("q"), 2).alias("applause"))
 
 
-def between_days(col, low, high):
-    return day(col).between(F.lit(low).cast("date"), F.lit(high).cast("date"))
-
-
 @query("MET16 WIN3", """SELECT p_type, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_extendedprice * (1 - l_discount)) / sum(sum(l_extendedprice * (1 - l_discount))) OVER (), 6) AS share
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def revenue_share_by_kind(t):

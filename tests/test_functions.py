@@ -68,6 +68,14 @@ def test_date_functions(spark):
     assert one(spark, dates.midpoint(F.lit("2020-01-01").cast("date"), F.lit("2020-01-04").cast("date"))) == dt.date(2020, 1, 2)
 
 
+def test_closed_day_range_keeps_the_last_day_and_is_pushed(spark, tmp_path):
+    df = spark.createDataFrame([(t,) for t in ("2018-12-31 10:00:00", "2019-01-01 00:00:00", "2015-01-01 00:00:00", "2014-12-31 23:59:59")], "t string")
+    df.select(F.col("t").cast("timestamp_ntz").alias("t")).write.parquet(str(tmp_path / "t"))
+    kept = spark.read.parquet(str(tmp_path / "t")).filter(dates.in_days("t", "2015-01-01", "2018-12-31"))
+    assert kept.count() == 2
+    assert "GreaterThanOrEqual(t,2015-01-01T00:00), LessThan(t,2019-01-01T00:00)" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_elapsed_days_floor(spark):
     ts = lambda s: F.lit(s).cast("timestamp_ntz")
     first = ts("2024-01-01 10:00:00")
