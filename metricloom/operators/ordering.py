@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.arrays import as_column
 from metricloom.operators.attach import null_safe_join
 
 
@@ -44,14 +43,26 @@ def sorted_by_labels(df: DataFrame, col: str, labels) -> DataFrame:
     return df.orderBy(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(col)))
 
 
-def with_ordinal(df: DataFrame, key: str, order, slice_: Column, name: str) -> DataFrame:
-    """1-based position of each row within its key.
+def _with_range(df: DataFrame, value: str, buckets: int, name: str) -> DataFrame:
+    """Append the index of the row's value range. Cut points come from a sketch of the column, so
+    a range holds about 1 / ``buckets`` of the table, whatever key its rows belong to."""
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(value, probs, 10 * buckets)).scalar()
+    return df.withColumn("_cuts", cuts).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
-    ``slice_`` is a coarse prefix of the order (a day, a month). Rows are numbered inside
-    (key, slice) and shifted by the size of the key's earlier slices, so a key that owns a large
-    part of the table is spread over its slices.
+
+def _sliced(df: DataFrame, order, slice_: Column | None, buckets: int) -> DataFrame:
+    return _with_range(df, order[0], buckets, "_slice") if slice_ is None else df.withColumn("_slice", slice_)
+
+
+def with_ordinal(df: DataFrame, key: str, order, name: str, slice_: Column | None = None, buckets: int = 64) -> DataFrame:
+    """1-based position of each row within its key, in the order of the named columns.
+
+    Rows are numbered inside (key, slice) and shifted by the size of the key's earlier slices, so
+    a key that owns a large part of the table is spread. By default slices are value ranges of
+    the first order column; ``slice_`` gives another coarse prefix of the order, such as the day.
     """
-    rows = df.withColumn("_slice", slice_)
+    rows = _sliced(df, order, slice_, buckets)
     sizes = rows.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_k"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_slice", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off"))
@@ -61,10 +72,10 @@ def with_ordinal(df: DataFrame, key: str, order, slice_: Column, name: str) -> D
             .withColumn(name, F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_slice"))
 
 
-def with_previous(df: DataFrame, key: str, order, value: str, slice_: Column, name: str) -> DataFrame:
+def with_previous(df: DataFrame, key: str, order, value: str, name: str, slice_: Column | None = None,
+                  buckets: int = 64) -> DataFrame:
     """Value of the key's preceding row, NULL for its first; sliced like ``with_ordinal``."""
-    order = [as_column(o) for o in order]
-    rows = df.withColumn("_slice", slice_)
+    rows = _sliced(df, order, slice_, buckets)
     last = rows.groupBy(key, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     earlier = Window.partitionBy(key).orderBy("_slice")
     carried = last.select(key, "_slice", F.lag("_last").over(earlier).alias("_carry"))
@@ -82,8 +93,7 @@ def running_counts(counts: DataFrame, value: str, measures, buckets: int = 256)
     ``buckets`` ranges; sums run inside a range and are shifted by the totals of earlier
     ranges, so no task sees the whole column.
     """
-    cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
-    rows = counts.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    rows = _with_range(counts, value, buckets, "_range")
     totals = rows.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures])
     over_buckets = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", *[F.coalesce(F.sum(m).over(over_buckets), F.lit(0)).alias(f"_o_{m}") for m in measures])

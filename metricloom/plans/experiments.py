@@ -66,7 +66,7 @@ FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER
 
 @query("EXP7 EXP6", READOUT.format(h="floor(value / 10) >= 4", s=FIRST))
 def first_session_readout(t):
-    numbered = with_ordinal(split(t), "user_id", ["ts", "event_id"], F.to_date("ts"), "session_number")
+    numbered = with_ordinal(split(t), "user_id", ["ts", "event_id"], "session_number")
     first = numbered.filter(F.col("session_number") == 1)
     return rounded(experiments.readout(first, "user_id", "grp", F.floor(F.col("value") / 10) >= 4, "A", "B"))
 
@@ -83,6 +83,6 @@ def users_of_a_single_device(t):
   WHERE gap IS NOT NULL GROUP BY 1, 2""")
 def mean_days_between_orders(t):
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    gaps = with_previous(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", F.trunc("o_orderdate", "month"), "prev")
+    gaps = with_previous(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", "prev")
     known = gaps.withColumn("gap", days_between("o_orderdate", "prev")).dropna(subset=["gap"])
     return experiments.per_user_metric(known, "o_custkey", "o_orderstatus", F.round(F.avg("gap"), 6))

@@ -99,13 +99,13 @@ def top_five_per_group(t):
 @query("WIN12", """SELECT o_orderkey, o_custkey, (o_orderdate::DATE - lag(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS days_since_prev FROM orders""")
 def days_since_previous_order(t):
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    out = with_previous(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", F.trunc("o_orderdate", "month"), "prev")
+    out = with_previous(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", "prev")
     return out.select("o_orderkey", "o_custkey", days_between("o_orderdate", "prev").alias("days_since_prev"))
 
 
 @query("WIN13", """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_number FROM events""")
 def session_number_per_user(t):
-    out = with_ordinal(t.events, "user_id", ["ts", "event_id"], day("ts"), "session_number")
+    out = with_ordinal(t.events, "user_id", ["ts", "event_id"], "session_number")
     return out.select("event_id", "user_id", "session_number")
 
 

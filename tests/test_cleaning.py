@@ -148,3 +148,14 @@ def test_value_range(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), 0.0), (dt.date(2024, 3, 1), None)], "d date, v double")
     r = quality.value_range(df, ["d", "v"]).first()
     assert (r.min_d, r.max_d, r.min_v, r.max_v) == (dt.date(2024, 1, 1), dt.date(2024, 3, 1), 0.0, 0.0)
+
+
+def test_period_rollup_counts_users_once(spark, rows):
+    from metricloom.operators.aggregates import period_rollup
+    df = spark.createDataFrame([(1, "u", 5.0), (1, "u", 7.0), (1, "w", 1.0), (2, None, 4.0)], "p int, u string, v double")
+    assert rows(period_rollup(df, F.col("p"), "u", n=F.count("*"), total=F.sum("v"))) == [(1, 2, 3, 13.0), (2, 0, 1, 4.0)]
+
+
+def test_sketched_distinct_counts(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id").alias("u"))
+    assert distinct_counts(df, ["g"], ["u"], rsd=0.02).first()["n_u"] == pytest.approx(20_000, rel=0.08)

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from metricloom.operators.attach import with_group_totals, with_scalars, with_share
@@ -14,23 +15,36 @@ def events(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5)
 
 
-def test_ordinal_of_a_hot_user(spark):
+@pytest.mark.parametrize("by_day", [True, False])
+def test_ordinal_of_a_hot_user(spark, by_day):
+    slice_ = F.to_date("ts") if by_day else None
     pdf, df = events(spark)
     want = pdf.sort_values(["u", "ts", "id"]).groupby("u").cumcount() + 1
-    got = with_ordinal(df, "u", ["ts", "id"], F.to_date("ts"), "n").toPandas().set_index("id").n
+    got = with_ordinal(df, "u", ["ts", "id"], "n", slice_=slice_).toPandas().set_index("id").n
     assert (got.sort_index() == want.sort_index()).all()
 
 
-def test_previous_row_crosses_slices(spark):
+@pytest.mark.parametrize("by_day", [True, False])
+def test_previous_row_crosses_slices(spark, by_day):
+    slice_ = F.to_date("ts") if by_day else None
     pdf, df = events(spark)
     want = pdf.sort_values(["u", "ts", "id"]).groupby("u").id.shift()
-    got = with_previous(df, "u", ["ts", "id"], "id", F.to_date("ts"), "prev").toPandas().set_index("id").prev
+    got = with_previous(df, "u", ["ts", "id"], "id", "prev", slice_=slice_).toPandas().set_index("id").prev
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
+def test_default_slices_bound_the_share_of_a_hot_key(spark):
+    """Nine tenths of the rows are one user within one hour; no (user, slice) group holds more than a few percent."""
+    df = spark.range(10_000).select(F.when(F.col("id") < 9000, 0).otherwise(F.col("id")).alias("u"),
+                                    F.when(F.col("id") < 9000, F.col("id") / 9000).otherwise(F.col("id")).alias("hour"))
+    from metricloom.operators.ordering import _sliced
+    largest = _sliced(df, ["hour"], None, 64).groupBy("u", "_slice").count().agg(F.max("count")).first()[0]
+    assert largest < 300
+
+
 def test_null_key_keeps_its_rows(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "u string, t int")
-    assert sorted(r.n for r in with_ordinal(df, "u", ["t"], F.col("t"), "n").collect()) == [1, 1, 2]
+    assert sorted(r.n for r in with_ordinal(df, "u", ["t"], "n", slice_=F.col("t")).collect()) == [1, 1, 2]
 
 
 def test_running_counts_over_many_ranges(spark):

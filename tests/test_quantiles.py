@@ -93,3 +93,28 @@ def test_describe_like_a_data_frame(spark):
         assert (r["count"], r["mean"], r["min"], r["q25"], r["q50"], r["q75"], r["max"]) == pytest.approx(
             (w["count"], w["mean"], w["min"], w["25%"], w["50%"], w["75%"], w["max"]))
         assert r["std"] == pytest.approx(w["std"])
+
+
+def test_approximate_stays_near(hot):
+    pdf, df = hot
+    got = {r.k: r.m for r in quantiles(df, "v", {"m": 0.5}, ["k"], method="approx").collect()}
+    for k, g in pdf.groupby("k"):
+        assert abs((g.v <= got[k]).mean() - 0.5) < 0.18        # a value held by a third of the key moves the share
+
+
+def test_unknown_options(spark):
+    df = spark.createDataFrame([(1.0,)], "v double")
+    with pytest.raises(ValueError):
+        quantiles(df, "v", {"m": 0.5}, kind="nearest")
+    with pytest.raises(ValueError):
+        quantiles(df, "v", {"m": 0.5}, method="guess")
+
+
+def test_bracket_pass_keeps_only_a_slice_of_the_rows(spark):
+    """At 200k different values the second pass shuffles the bracket, not the column."""
+    df = spark.range(200_000).select(F.rand(1).alias("v"))
+    q = quantiles(df, "v", {"m": 0.5}, accuracy=1000)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_cont" not in plan and "collect" not in plan
+    values = np.sort(df.toPandas().v.values)
+    assert q.first()["m"] == pytest.approx(np.median(values), rel=1e-12)
