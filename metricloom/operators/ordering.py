@@ -46,9 +46,16 @@ def sorted_by_labels(df: DataFrame, col: str, labels) -> DataFrame:
 def _with_range(df: DataFrame, value: str, buckets: int, name: str) -> DataFrame:
     """Append the index of the row's value range. Cut points come from a sketch of the column, so
     a range holds about 1 / ``buckets`` of the table, whatever key its rows belong to."""
+    if buckets < 2 or buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(value, probs, 10 * buckets)).scalar()
-    return df.withColumn("_cuts", cuts).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    out = df.withColumn("_cuts", cuts).withColumn(name, F.lit(0))
+    step = buckets // 2
+    while step:                 # binary search for the number of cuts below the value
+        out = out.withColumn(name, F.expr(f"`{name}` + if(_cuts[`{name}` + {step - 1}] < `{value}`, {step}, 0)"))
+        step //= 2
+    return out.drop("_cuts")
 
 
 def _sliced(df: DataFrame, order, slice_: Column | None, buckets: int) -> DataFrame:

@@ -95,3 +95,13 @@ def test_no_raw_rows_in_a_global_window(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
     plan = with_share(df, "v", "s")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_match_a_linear_search(spark):
+    from metricloom.operators.ordering import _with_range
+    df = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 2, 3, 5, 8, 13, 21, 34, 34, 55] * 5] + [(None,)], "v double")
+    cuts = df.agg(F.percentile_approx("v", [i / 8 for i in range(1, 8)], 80)).first()[0]
+    for r in _with_range(df, "v", 8, "b").collect():
+        assert r.b == (0 if r.v is None else sum(c < r.v for c in cuts))
+    with pytest.raises(ValueError):
+        _with_range(df, "v", 10, "b")
