@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, language_id, token_counts
+from metricloom.llm import decontaminate, language_id, seed_extend, suffix_repeats, token_counts
 from metricloom.llm.shared import table
 
 QUERIES, SQL = {}, {}
@@ -29,6 +29,13 @@ def op2_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op3_common_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a smaller one."""
+    found = suffix_repeats.repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", _span_sum().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
@@ -42,3 +49,15 @@ def op8_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out()))
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def _span_sum():
+    """Units in a list of spans."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["last"] - s["first"] + 1)
+
+
+@query
+def op9_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a smaller one."""
+    found = seed_extend.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _span_sum().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
