@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, language_id, seed_extend, suffix_repeats, token_counts
+from metricloom.llm import decontaminate, language_id, seed_extend, suffix_repeats, superminhash, token_counts
 from metricloom.llm.shared import table
 
 QUERIES, SQL = {}, {}
@@ -36,6 +36,13 @@ def op3_common_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", _span_sum().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents by four-word shingles."""
+    found = superminhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 @query
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
