@@ -163,6 +163,84 @@ def specials(tokenizer: Tokenizer) -> dict[str, int]:
     return {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
 
+class Encoder:
+    """Ids of pre-tokens by the library's merges; each distinct pre-token is merged once while it is remembered."""
+
+    def __init__(self, path: str, words: bool, memory: int = 1 << 20):
+        self.tokenizer, self.words, self.memory = library(path), words, memory
+        self.model, self.special = self.tokenizer.model, specials(self.tokenizer)
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.known: dict[int, tuple[int, ...]] = {}
+
+    def merge(self, pretoken: str) -> tuple[int, ...]:
+        """Ids of one pre-token."""
+        return tuple([t.id for t in self.model.tokenize(self.spell(pretoken))])
+
+    def spell(self, pretoken: str) -> str:
+        """A pre-token in the letters of its bytes."""
+        return pretoken.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def distinct(self, p: Pretokens) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """The id lists of the distinct pre-tokens of a batch, and which of them each pre-token is."""
+        hashes, first, which = distinct(p.hashes)
+        if len(self.known) > self.memory:
+            self.known.clear()
+        known, out = self.known, []
+        for h, start, end in zip(hashes.tolist(), p.starts[first].tolist(), p.ends[first].tolist()):
+            ids = known.get(h)
+            if ids is None:
+                known[h] = ids = self.merge(p.text[start:end])
+            out.append(ids)
+        return out, which
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts as one array, and the offsets of the texts in it."""
+        parts = [self._ids(texts[low:high]) for low, high in groups(texts)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        sizes = np.concatenate([np.diff(offsets) for _, offsets in parts])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        p = split(texts, self.words, self.special)
+        distinct, which = self.distinct(p)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        flat = np.fromiter((i for ids in distinct for i in ids), np.int64, int(sizes.sum()))
+        return placed(p, which, sizes, flat)
+
+
+def placed(p: Pretokens, which: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a batch in order, and its texts' offsets in them, from the ids of its distinct pre-tokens (their
+    ``sizes``, and all ids in ``flat``) and from which of these each pre-token is."""
+    begins = np.cumsum(sizes) - sizes
+    own = sizes[which]
+    places = np.concatenate(([0], np.cumsum(own)))
+    out = flat[np.repeat(begins[which] - places[:-1], own) + np.arange(places[-1])]
+    offsets = places[p.offsets]
+    if p.special:
+        rows, at, ids = map(np.array, zip(*p.special))
+        out = np.insert(out, places[at], ids)
+        offsets = offsets + np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))))
+    return out, offsets
+
+
+def groups(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``limit`` characters, or one text: as much as a processor's cache likes."""
+    borders = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+    return slices(borders, limit)
+
+
+@lru_cache
+def library(path: str) -> Tokenizer:
+    """The tokenizer of a vocabulary file, once per process."""
+    return Tokenizer.from_file(path)
+
+
+def specials(tokenizer: Tokenizer) -> dict[str, int]:
+    """Strings and ids of the special tokens."""
+    return {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+
+
 class Encoder:
     """Ids of pre-tokens by the library's merges; each distinct pre-token is merged once while it is remembered."""
 

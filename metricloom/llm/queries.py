@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, language_id, seed_extend, suffix_repeats, superminhash, token_counts
+from metricloom.llm import decontaminate, digests, language_id, seed_extend, suffix_repeats, superminhash, token_counts, word_table_bpe
 from metricloom.llm.shared import table
 
 QUERIES, SQL = {}, {}
@@ -68,3 +68,10 @@ def op9_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat a smaller one."""
     found = seed_extend.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", _span_sum().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded under the word vocabulary."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return digests.of_tokens(word_table_bpe.decode(word_table_bpe.encode(table(spark, sf_dir, "documents"), path), path))
