@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, digests, language_id, seed_extend, suffix_repeats, superminhash, token_counts, word_table_bpe
-from metricloom.llm.shared import table
+from metricloom.llm import decontaminate, digests, language_id, seed_extend, suffix_repeats, superminhash, token_counts, token_files, word_table_bpe
+from metricloom.llm.shared import shared_folder, table
 
 QUERIES, SQL = {}, {}
 
@@ -23,6 +25,14 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
 
+@query
+def op1_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and digested."""
+    target = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), target)
+    return token_files.read_digests(spark, target)
+
+
 @query
 def op2_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word vocabulary."""
