@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, digests, language_id, seed_extend, suffix_repeats, superminhash, token_counts, token_files, word_table_bpe
+from metricloom.llm import decontaminate, digests, hnsw, language_id, masked_scoring, seed_extend, suffix_repeats, superminhash, token_counts, token_files, word_table_bpe
 from metricloom.llm.shared import shared_folder, table
 
 QUERIES, SQL = {}, {}
@@ -46,6 +46,13 @@ def op3_common_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", _span_sum().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return masked_scoring.score(docs, masked_scoring.fit(docs))
+
+
 @query
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents by four-word shingles."""
@@ -60,6 +67,13 @@ def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return decontaminate.judged(found)
 
 
+@query
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours of one vector in fifty among all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.build(rows), rows.where("vec_id % 50 = 0"))
+
+
 @query
 def op8_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of the labelled rows."""
