@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.llm.shared import map_batches
 from metricloom.llm.textarrays import LOWER, U, byte_table, chosen, mix, slices, utf8
@@ -123,7 +124,10 @@ def _judge(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Documents with ``lang_pred`` (string) and ``score`` (the corrected share of 4-grams the language holds, 0 to 1)."""
+    """Documents with ``lang_pred`` (string) and ``score`` (the corrected share of 4-grams the language holds, 0 to 1).
+
+    Columns that had these names are replaced.
+    """
     def predict(batch):
         column = batch.column(text_col)
         data, offsets = utf8(column)
@@ -143,5 +147,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         return batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 
     rest = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", lang_pred string, score double"
-    return map_batches(rest, predict, schema)
+    return map_batches(rest, predict, T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -45,10 +45,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long) and text (null: empty) of documents, under fixed names; rows without id are dropped."""
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .where(F.col("doc_id").isNotNull()))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The id (long) and text (null: empty) of documents under fixed names; rows without id are dropped.
+
+    ``carry`` keeps the whole row beside them as the struct ``rest``, so no name can clash.
+    """
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    if carry:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    return docs.select(*columns).where(F.col("doc_id").isNotNull())
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from metricloom.llm import anchors
 from metricloom.llm.seed_extend import covered, span_lists
@@ -77,6 +78,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, length: int, gram: int):
         table = anchors.sorted_rows(table)
+        self.rest = table.column("rest") if "rest" in table.column_names else None
         self.ids, self.length = table.column("doc_id").to_numpy(), length
         self.data, self.offsets = utf8(table.column("text"))
         self.blocks = anchors.Blocks(byte_units(self.data), self.offsets, length, gram)
@@ -178,16 +180,16 @@ def _least(table: pa.Table, length: int) -> pa.Table:
     return anchors.reply(2, table, np.split(out, np.cumsum([len(x) for x in keys])[:-1]))
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_characters: bool = False, many: int = 512,
+def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_characters: bool = False, many: int = 512, carry: bool = False,
                    id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, spans (array of struct<first, last>: maximal removed byte runs), kept (binary)``.
 
-    ``whole_characters`` keeps a character of which a part would stay. ``many``: contexts of an anchor in one shard.
+    ``whole_characters`` keeps a character of which a part would stay. ``carry`` adds the input row as struct ``rest``. ``many``: contexts of an anchor in one shard.
     ``length`` is at most 63 more than ``gram``.
     """
     if not gram < length <= gram + 63:
         raise ValueError("length must be over gram by 1 to 63")
-    docs = texts(docs, id_col, text_col)
+    docs = texts(docs, id_col, text_col, carry)
     chunks = chunk_count(docs, chunk_bytes)
     bits = anchors.shard_bits(chunks)
     docs = chunked(docs, chunks)
@@ -224,13 +226,17 @@ def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_char
             window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             hit = (np.repeat(mask, count) >> window.astype(U)) & U(1) > 0
             at = (np.repeat(first, count) + window)[hit]
-        return _cut(chunk, at, whole_characters)
+        out = _cut(chunk, at, whole_characters)
+        return out.append_column("rest", chunk.rest) if carry else out
 
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
+    if carry:
+        schema = schema.add(docs.schema["rest"])
     first = docs.groupBy("chunk").applyInArrow(seeds, anchors.REQUEST).groupBy("shard").applyInArrow(lambda table: _answer(table, many), anchors.REPLY)
     asked = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(contexts, _ASK)
     second = asked.groupBy("shard").applyInArrow(lambda table: _least(table, length), anchors.REPLY)
     return (docs.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk"))
-            .applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary"))
+            .applyInArrow(finish, schema))
 
 
 def _cut(chunk: _Chunk, at: np.ndarray, whole_characters: bool) -> pa.Table:

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from metricloom.llm import anchors
 from metricloom.llm.pretokens import Pretokens, encoder, groups, placed, split
@@ -136,9 +137,9 @@ def joined(ids: pa.ListArray, path: str) -> pa.Array:
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """The rows of ``encoded`` with ``decoded`` (string)."""
+    """The rows of ``encoded`` with ``decoded`` (string); a column that had this name is replaced."""
     rest = encoded.drop("decoded")
 
     def work(batch):
         return batch.append_column("decoded", joined(batch.column(ids_col), path).cast(pa.string()))
-    return map_batches(rest, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", decoded string")
+    return map_batches(rest, work, T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
