@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from metricloom.llm.textarrays import U, Spans, inside, mix
 
@@ -70,11 +69,6 @@ class Blocks:
         return last > self.row[self.index]
 
 
-def sorted_rows(table: pa.Table) -> pa.Table:
-    """Documents of a chunk by id (equal ids by text), so every step sees them in one order."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
 def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Shards of sorted keys by their leading bits: (shard, low, high)."""
     shards = (keys >> U(64 - bits)).astype(np.int64)
@@ -84,8 +78,8 @@ def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 
 def shard_bits(chunks: int) -> int:
-    """As many shards as chunks, as a power of two, 256 at least."""
-    return max(8, int(np.ceil(np.log2(chunks))))
+    """Half as many shards as chunks or more, as a power of two, 256 at least."""
+    return max(8, int(np.log2(chunks)))
 
 
 def ask(chunk: int, blocks: Blocks, bits: int) -> pa.Table:
@@ -124,11 +118,3 @@ def in_order(replies: pa.Table, step: int) -> list[bytes]:
     rows = np.flatnonzero(steps == step)
     rows = rows[np.argsort(shards[rows])]
     return replies.column("bits").take(pa.array(rows)).to_pylist()
-
-
-def ask_all(docs: DataFrame, blocks_of, bits: int) -> DataFrame:
-    """Replies about the anchors of chunked documents."""
-    def questions(key, table):
-        return ask(key[0].as_py(), blocks_of(sorted_rows(table))[-1], bits)
-    asked = docs.groupBy("chunk").applyInArrow(questions, REQUEST)
-    return asked.groupBy("shard").applyInArrow(answer, REPLY)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from metricloom.llm import anchors
-from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, texts
+from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, texts, unpacked
 from metricloom.llm.textarrays import NOT_SPACE, U, Spans, mix, runs, utf8, words
 
 _ASK = "shard int, chunk int, keys binary, checks binary, docs binary"
@@ -28,7 +28,7 @@ class _Chunk:
     """Words, blocks and candidate windows of the documents of a chunk."""
 
     def __init__(self, table: pa.Table, window: int, gram: int):
-        table = anchors.sorted_rows(table)
+        table = unpacked(table)
         self.ids = table.column("doc_id").to_numpy()
         self.data, self.offsets = utf8(table.column("text"))
         self.starts, self.ends, self.units, self.before = words(self.data, self.offsets, NOT_SPACE)

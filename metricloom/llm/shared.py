@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="metricloom-llm-")
     if not context.getCheckpointDir():
@@ -63,9 +64,34 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """Documents dealt out by a hash of their id: rows of a chunk meet in one task, whatever their text."""
+    """``chunk, docs``: documents dealt out by a hash of their id, whatever their text.
+
+    Each batch of a scan is packed into one compressed Arrow stream per chunk before the shuffle; :func:`unpacked` reads
+    the streams that meet in a chunk.
+    """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(min(chunks, partitions), "chunk")
+
+    def pack(batch):
+        chunk = batch.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        rows = pa.Table.from_batches([batch]).drop_columns(["chunk"]).take(pa.array(order))
+        borders = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
+        blobs = []
+        for low, high in zip(borders[:-1], borders[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows.slice(low, high - low))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(chunk[order][borders[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "docs"])
+
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    return map_batches(dealt, pack, "chunk int, docs binary").repartition(min(chunks, partitions), "chunk")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The documents of a chunk by id (equal ids by text), so every step sees them in one order."""
+    parts = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in table.column("docs")]
+    return pa.concat_tables(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from metricloom.llm import anchors
 from metricloom.llm.seed_extend import covered, span_lists
-from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, texts
+from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, texts, unpacked
 from metricloom.llm.textarrays import U, Spans, byte_units, runs, utf8
 
 _ASK = "shard int, chunk int, keys binary, counts binary, data binary, docs binary"
@@ -62,8 +62,9 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     wide = int(sizes.max())
-    places = starts[:, None] + np.arange(wide)
-    rows = np.where(np.arange(wide) < sizes[:, None], data[np.minimum(places, len(data) - 1)] + np.uint8(1), np.uint8(0))   # UTF-8 has no byte 255
+    shifted = np.concatenate((data + np.uint8(1), np.zeros(wide, np.uint8)))           # UTF-8 has no byte 255
+    rows = np.lib.stride_tricks.sliding_window_view(shifted, wide)[starts]
+    rows[np.arange(wide) >= sizes[:, None]] = 0
     order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
     rows, sizes = rows[order], sizes[order]
     common = np.zeros(len(rows), np.int64)
@@ -77,7 +78,7 @@ class _Chunk:
     """Bytes and blocks of the documents of a chunk."""
 
     def __init__(self, table: pa.Table, length: int, gram: int):
-        table = anchors.sorted_rows(table)
+        table = unpacked(table)
         self.rest = table.column("rest") if "rest" in table.column_names else None
         self.ids, self.length = table.column("doc_id").to_numpy(), length
         self.data, self.offsets = utf8(table.column("text"))
@@ -139,7 +140,7 @@ def _answer(table: pa.Table, many: int) -> pa.Table:
     return anchors.reply(1, table, np.split(out, np.cumsum([len(x) for x in keys])[:-1]))
 
 
-def _least(table: pa.Table, length: int) -> pa.Table:
+def _least(table: pa.Table, length: int, suffixes: int = 1 << 15) -> pa.Table:
     """For every context a chunk asks about: a bit for each of its windows, whether a smaller document than the chunk's least holds it."""
     keys = [np.frombuffer(k, U) for k in table.column("keys").to_pylist()]
     key = np.concatenate(keys)
@@ -162,7 +163,11 @@ def _least(table: pa.Table, length: int) -> pa.Table:
     of_key = np.cumsum(new_key)[fresh] - 1
     masks = np.zeros(len(lead), U)
     sort = np.flatnonzero((np.bincount(of_key)[of_key] > 1) & (count[lead] > 0))
-    if len(sort):
+    # whole anchors at a time, so that the suffixes that are sorted together stay few
+    part = np.cumsum(count[lead[sort]]) // suffixes
+    same = of_key[sort]
+    part = part[np.searchsorted(same, same)] if len(sort) else part
+    for sort in np.split(sort, np.flatnonzero(np.diff(part)) + 1) if len(sort) else []:
         n = count[lead[sort]]
         which = np.repeat(sort, n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -181,7 +186,7 @@ def _least(table: pa.Table, length: int) -> pa.Table:
 
 
 def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_characters: bool = False, many: int = 512, carry: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
     """``doc_id, n_bytes, spans (array of struct<first, last>: maximal removed byte runs), kept (binary)``.
 
     ``whole_characters`` keeps a character of which a part would stay. ``carry`` adds the input row as struct ``rest``. ``many``: contexts of an anchor in one shard.
@@ -190,6 +195,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_char
     if not gram < length <= gram + 63:
         raise ValueError("length must be over gram by 1 to 63")
     docs = texts(docs, id_col, text_col, carry)
+    rest = docs.schema["rest"] if carry else None
     chunks = chunk_count(docs, chunk_bytes)
     bits = anchors.shard_bits(chunks)
     docs = chunked(docs, chunks)
@@ -231,7 +237,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_char
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
     if carry:
-        schema = schema.add(docs.schema["rest"])
+        schema = schema.add(rest)
     first = docs.groupBy("chunk").applyInArrow(seeds, anchors.REQUEST).groupBy("shard").applyInArrow(lambda table: _answer(table, many), anchors.REPLY)
     asked = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(contexts, _ASK)
     second = asked.groupBy("shard").applyInArrow(lambda table: _least(table, length), anchors.REPLY)

@@ -14,7 +14,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,17 +21,17 @@ from pyspark.sql import types as T
 
 from metricloom.llm import anchors
 from metricloom.llm.pretokens import Pretokens, encoder, groups, placed, split
-from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, map_batches, texts
-from metricloom.llm.textarrays import U, distinct
+from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, map_batches, texts, unpacked
+from metricloom.llm.textarrays import distinct
 
-_ASK, _TOLD = "shard int, chunk int, keys binary, sizes binary, words string", "chunk int, shard int, sizes binary, ids binary"
+_ASK, _TOLD = "shard int, chunk int, words string", "chunk int, shard int, sizes binary, ids binary"
 
 
 class _Words:
     """The words of the documents of a chunk; distinct ones by hash."""
 
     def __init__(self, table: pa.Table, path: str):
-        table = anchors.sorted_rows(table)
+        table = unpacked(table)
         own, rows = encoder(path, True), table.column("text").to_pylist()
         self.ids = table.column("doc_id").combine_chunks()
         self.parts: list[Pretokens] = [split(rows[low:high], True, own.special) for low, high in groups(rows)]
@@ -58,22 +57,15 @@ class _Words:
 def _merge(table: pa.Table, path: str) -> pa.Table:
     """Ids of every word a shard is asked about; each distinct word is merged once."""
     own = encoder(path, True)
-    keys = [np.frombuffer(k, U) for k in table.column("keys").to_pylist()]
-    lengths = [np.frombuffer(s, np.uint32).astype(np.int64) for s in table.column("sizes").to_pylist()]
-    which, found = pd.factorize(np.concatenate(keys))
-    merged: list[tuple[int, ...] | None] = [None] * len(found)
-    place = 0
-    for text, sizes in zip(table.column("words").to_pylist(), lengths):
-        ends = np.cumsum(sizes)
-        for w, start, end in zip(which[place:place + len(sizes)].tolist(), (ends - sizes).tolist(), ends.tolist()):
-            if merged[w] is None:
-                merged[w] = own.merge(text[start:end])
-        place += len(sizes)
+    asked = [words.split("\n") for words in table.column("words").to_pylist()]        # words hold no white space
+    place: dict[str, int] = {}
+    which = np.fromiter((place.setdefault(w, len(place)) for words in asked for w in words), np.int64, sum(map(len, asked)))
+    merged = [own.merge(w) for w in place]
     n = np.fromiter(map(len, merged), np.int64, len(merged))
     flat = np.fromiter((i for ids in merged for i in ids), np.uint32, int(n.sum()))
     begins = np.cumsum(n) - n
     counts, ids = [], []
-    for part in np.split(which, np.cumsum([len(k) for k in keys])[:-1]):
+    for part in np.split(which, np.cumsum([len(words) for words in asked])[:-1]):
         size = n[part]
         total = np.cumsum(size)
         counts.append(anchors.pack(size))
@@ -91,12 +83,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def ask(key, table):
         words = _Words(table, path)
-        strings, rows = words.strings(), []
-        sizes = np.fromiter(map(len, strings), np.uint32, len(strings))
-        for s, a, b in anchors.by_shard(words.keys, bits):
-            rows.append((s, key[0].as_py(), words.keys[a:b].tobytes(), sizes[a:b].tobytes(), "".join(strings[a:b])))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()))],
-                                    ["shard", "chunk", "keys", "sizes", "words"])
+        strings = words.strings()
+        rows = [(s, key[0].as_py(), "\n".join(strings[a:b])) for s, a, b in anchors.by_shard(words.keys, bits)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))], ["shard", "chunk", "words"])
 
     def join(key, table, told):
         words = _Words(table, path)
@@ -141,5 +130,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     rest = encoded.drop("decoded")
 
     def work(batch):
-        return batch.append_column("decoded", joined(batch.column(ids_col), path).cast(pa.string()))
+        parts = [joined(batch.column(ids_col).slice(low, 256), path).cast(pa.string()) for low in range(0, batch.num_rows, 256)]
+        return batch.append_column("decoded", pa.concat_arrays(parts))
     return map_batches(rest, work, T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
