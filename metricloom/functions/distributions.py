@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.arrays import as_column
 
 STEPS = 4000          # Simpson intervals, even
-FAR = 40.0            # beyond this the x-form integrand is below double precision
+FAR = 40.0            # the normal tail beyond this is below the smallest double
 
 
 def _simpson(lower: Column, upper: Column, integrand) -> Column:
@@ -29,7 +29,7 @@ def _simpson(lower: Column, upper: Column, integrand) -> Column:
 def _mirrored(x: Column, tail) -> Column:
     """Upper tail at x from a tail function that is accurate for x >= 0."""
     t = tail(F.least(F.abs(x), F.lit(FAR)))
-    return F.when(x >= 0, t).otherwise(F.lit(1.0) - t)
+    return F.when(x >= 0, t).when(x < 0, F.lit(1.0) - t)
 
 
 def normal_sf(z) -> Column:
@@ -44,22 +44,29 @@ def normal_cdf(z) -> Column:
     return normal_sf(-as_column(z))
 
 
+def _log_cosh(y: Column) -> Column:
+    half = F.sinh(F.least(y, F.lit(20.0)) / 2)
+    return F.when(y > 20, y - math.log(2.0)).otherwise(F.log1p(half * half * 2))
+
+
 def student_sf(t, df) -> Column:
     """P(T > t) for Student's t with ``df`` degrees of freedom (need not be whole).
 
-    From 30 degrees on the density is integrated over x; below that over the angle
-    ``x = sqrt(df) * tan(a)``, which has no long tail to cut.
+    With ``x = sqrt(df) * sinh(y)`` the density is ``cosh(y) ** -df``, which has no long tail at any ``df``:
+    its logarithm falls by 40 within the same distance of any lower end, or sooner by the slope there, so the sum covers
+    all that a double can hold.
+    NULL without degrees of freedom.
     """
-    nu = as_column(df).cast("double")
-    over_x = lambda x: F.exp(-(nu + 1) / 2 * F.log(F.lit(1.0) + x * x / nu))
-    over_angle = lambda a: F.pow(F.greatest(F.cos(a), F.lit(0.0)), nu - 1)
-    right = F.lit(math.pi / 2)
-    by_x = lambda u: _simpson(u, F.lit(FAR), over_x) / (_simpson(F.lit(0.0), F.lit(FAR), over_x) * 2)
-    by_angle = lambda u: (_simpson(F.atan(u / F.sqrt(nu)), right, over_angle)
-                          / (_simpson(F.lit(0.0), right, over_angle) * 2))
-    far_tail = lambda tail: _mirrored(as_column(t), tail)
-    angle_tail = F.when(as_column(t) >= 0, by_angle(as_column(t))).otherwise(F.lit(1.0) - by_angle(-as_column(t)))
-    return F.when(nu >= 30, far_tail(by_x)).otherwise(angle_tail)
+    nu = F.when(as_column(df) > 0, as_column(df).cast("double"))
+    x = as_column(t).cast("double")
+    reach = F.lit(40.0) / nu
+    reach = F.when(reach > 20, reach + math.log(2.0)).otherwise(F.log1p(F.expm1(F.least(reach, F.lit(20.0))) + F.sqrt(F.expm1(F.least(reach, F.lit(20.0)) * 2))))
+    size = F.abs(x) / F.sqrt(nu)
+    start = F.when(size > 1e8, F.log(size) + math.log(2.0)).otherwise(F.log1p(size + size * size / (1 + F.sqrt(1 + size * size))))
+    near = lambda low: F.least(reach, F.try_divide(F.lit(40.0), nu * F.tanh(low)))
+    fall = lambda low: _simpson(low, low + near(low), lambda y: F.exp(-nu * (_log_cosh(y) - _log_cosh(low))))
+    tail = fall(start) * F.exp(-nu * _log_cosh(start)) / (fall(F.lit(0.0)) * 2)
+    return F.when(x >= 0, tail).otherwise(F.lit(1.0) - tail)
 
 
 # Coefficients of a published rational approximation of the normal quantile.

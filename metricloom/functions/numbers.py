@@ -24,13 +24,14 @@ def round_half_even(col, digits: int) -> Column:
 
 
 def parse_number(col, type_: str = "double") -> Column:
-    """Text to number: thousands commas dropped, unparsable text gives NULL."""
-    return F.trim(F.replace(as_column(col), F.lit(","), F.lit(""))).try_cast(type_)
+    """Text to number: thousands commas dropped; text that is not written in digits gives NULL."""
+    text = F.trim(F.replace(as_column(col), F.lit(","), F.lit("")))
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast(type_))
 
 
 def whole(col) -> Column:
-    """Integer part, truncated towards zero."""
-    return as_column(col).cast("bigint")
+    """Integer part, truncated towards zero; NULL for NaN and beyond the range of long."""
+    return as_column(col).try_cast("bigint")
 
 
 def percent_difference(a, b) -> Column:

@@ -37,14 +37,15 @@ def distinct_of(df: DataFrame, by, entity: str, **flags: Column) -> DataFrame:
     """Distinct entities per group, and how many of them ever meet each condition.
 
     One row per (group, entity) first, so any number of conditional distinct counts costs a
-    single shuffle of distinct pairs and no row is multiplied.
+    single shuffle of distinct pairs and no row is multiplied. A group whose entities are all
+    NULL stays, with zeros.
     """
     by = list(by)
-    per = (df.filter(F.col(entity).isNotNull()).groupBy(*by, entity)
-           .agg(F.lit(1).alias("_one"), *[F.max(f.cast("int")).alias(n) for n, f in flags.items()]))
+    per = df.groupBy(*by, entity).agg(F.lit(1).alias("_one"), *[F.max(f.cast("int")).alias(n) for n, f in flags.items()])
+    known = F.col(entity).isNotNull()
     return per.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("entities"),
-        *[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in flags])
+        F.count(entity).alias("entities"),
+        *[F.coalesce(F.sum(F.when(known, F.col(n))), F.lit(0)).cast("bigint").alias(n) for n in flags])
 
 
 def distinct_counts(df: DataFrame, by, columns, rsd: float | None = None) -> DataFrame:

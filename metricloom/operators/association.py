@@ -125,10 +125,11 @@ def phi_k(cells: DataFrame) -> DataFrame:
 
 
 def strongest_with(pairs: DataFrame, target: str, measure: str) -> DataFrame:
-    """The column most associated with a target column."""
+    """The column most associated with a target column; of equal ones the first by name."""
     other = F.when(F.col("left_column") == target, F.col("right_column")).otherwise(F.col("left_column"))
     mine = pairs.filter((F.col("left_column") == target) | (F.col("right_column") == target))
-    best = mine.agg(F.max_by(F.struct(other.alias("feature"), F.col(measure)), F.struct(measure, -F.ascii(other))).alias("_b"))
-    return best.select(F.lit(target).alias("target"), "_b.feature", F.col(f"_b.{measure}").alias(measure))
+    known = mine.filter(F.col(measure).isNotNull() & ~F.isnan(measure))
+    best = known.agg(F.min(F.struct((-F.col(measure)).alias("m"), other.alias("feature"))).alias("_b"))
+    return best.select(F.lit(target).alias("target"), "_b.feature", (-F.col("_b.m")).alias(measure))
 
 

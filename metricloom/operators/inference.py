@@ -42,13 +42,13 @@ def t_test(df: DataFrame, value: str, group: str, first, second, alternative: st
            equal_var: bool = True) -> DataFrame:
     """Two-sample t-test, pooled variance (Student) or separate variances (Welch)."""
     n1, n2 = F.col("n_1"), F.col("n_2")
-    a, b = F.col("var_1") / n1, F.col("var_2") / n2
+    a, b = ratio("var_1", n1), ratio("var_2", n2)
     if equal_var:
         df_ = (n1 + n2 - 2).cast("double")
-        pooled = ((n1 - 1) * F.col("var_1") + (n2 - 1) * F.col("var_2")) / df_
-        se = F.sqrt(pooled * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+        pooled = ratio((n1 - 1) * F.col("var_1") + (n2 - 1) * F.col("var_2"), df_)
+        se = F.sqrt(pooled * (ratio(F.lit(1.0), n1) + ratio(F.lit(1.0), n2)))
     else:
-        df_ = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
+        df_ = ratio((a + b) * (a + b), ratio(a * a, n1 - 1) + ratio(b * b, n2 - 1))
         se = F.sqrt(a + b)
     out = sample_stats(df, value, group, first, second).select(
         "n_1", "n_2", "mean_1", "mean_2", ratio(F.col("mean_1") - F.col("mean_2"), se).alias("t"), df_.alias("df"))
@@ -58,7 +58,7 @@ def t_test(df: DataFrame, value: str, group: str, first, second, alternative: st
 def t_test_one_sample(df: DataFrame, value: str, popmean: float, alternative: str = "greater") -> DataFrame:
     """Mean of one sample against a fixed number."""
     stats = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("_v"))
-    out = stats.select("n", "mean", ratio(F.col("mean") - popmean, F.sqrt(F.col("_v") / F.col("n"))).alias("t"),
+    out = stats.select("n", "mean", ratio(F.col("mean") - popmean, F.sqrt(ratio("_v", "n"))).alias("t"),
                        (F.col("n") - 1).alias("df"))
     return out.withColumn("p_value", _p_value(lambda t: student_sf(t, F.col("df")), F.col("t"), alternative))
 
@@ -80,18 +80,19 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second, alternati
     n1, n2 = F.col("n_1").cast("double"), F.col("n_2").cast("double")
     n = n1 + n2
     u = F.col("_r") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - ratio("_ties", n * (n - 1))))
     shift = u - n1 * n2 / 2
     correction = {"greater": F.lit(-0.5), "less": F.lit(0.5), "two-sided": F.signum(shift) * -0.5}[alternative]
     out = sums.select("n_1", "n_2", u.alias("u_1"), (n1 * n2 - u).alias("u_2"), ratio(shift + correction, sigma).alias("z"))
-    return out.withColumn("p_value", F.least(F.lit(1.0), _p_value(normal_sf, F.col("z"), alternative)))
+    p = F.least(F.lit(1.0), _p_value(normal_sf, F.col("z"), alternative))
+    return out.withColumn("p_value", F.when(F.col("z").isNotNull(), p))
 
 
 def proportions_z(df: DataFrame, hits_1: str, n_1: str, hits_2: str, n_2: str, alternative: str = "greater") -> DataFrame:
     """Difference of two proportions with pooled variance, on rows that hold the four counts."""
     p1, p2 = ratio(hits_1, n_1), ratio(hits_2, n_2)
     pooled = ratio(F.col(hits_1) + F.col(hits_2), F.col(n_1) + F.col(n_2))
-    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / F.col(n_1) + F.lit(1.0) / F.col(n_2)))
+    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (ratio(F.lit(1.0), n_1) + ratio(F.lit(1.0), n_2)))
     out = df.withColumn("z", ratio(p1 - p2, se))
     return out.withColumn("p_value", _p_value(normal_sf, F.col("z"), alternative))
 
@@ -111,7 +112,7 @@ def proportion_effect(p_1, p_2) -> Column:
 def sample_size(effect, alpha: float = 0.05, power: float = 0.8, ratio_: float = 1.0) -> Column:
     """Rows needed in the first group for a two-sided test of two proportions."""
     z = normal_quantile(F.lit(1 - alpha / 2)) + normal_quantile(F.lit(power))
-    step = z / as_column(effect)
+    step = ratio(z, effect)
     return step * step * F.lit(1 + 1 / ratio_)
 
 
@@ -123,7 +124,7 @@ def test_days(per_group, daily_users) -> Column:
 def normal_model(df: DataFrame, value: str, above: float, low: float, high: float) -> DataFrame:
     """Normal fitted to a column: P(X > above) and P(low < X < high)."""
     fit = df.agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sigma"))
-    z = lambda x: (F.lit(float(x)) - F.col("mu")) / F.col("sigma")
+    z = lambda x: ratio(F.lit(float(x)) - F.col("mu"), "sigma")
     return fit.select("mu", "sigma", normal_sf(z(above)).alias("p_above"),
                       (normal_cdf(z(high)) - normal_cdf(z(low))).alias("p_between"))
 

@@ -14,6 +14,21 @@ def order_by(df: DataFrame, *spec) -> DataFrame:
     return df.orderBy(*cols)
 
 
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Place of every row in a frame that is already sorted, from 1.
+
+    The sorted rows are kept (``persist``) and read twice: once for the number of rows of each sorted partition, one
+    number each, and once to number the rows inside their partition, after those of the partitions before.
+    """
+    inside = ordered.withColumn("_id", F.monotonically_increasing_id()).persist()
+    inside = inside.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))     # one row per partition
+    out = inside.join(F.broadcast(starts), "_part")
+    return out.select(*ordered.columns, (F.col("_before") + F.col("_row") + 1).alias(name))
+
+
 def top_k(df: DataFrame, k: int, *spec) -> DataFrame:
     """First k rows of the given order; end the order with a unique key to settle ties."""
     return order_by(df, *spec).limit(k)
@@ -62,35 +77,50 @@ def _sliced(df: DataFrame, order, slice_: Column | None, buckets: int) -> DataFr
     return _with_range(df, order[0], buckets, "_slice") if slice_ is None else df.withColumn("_slice", slice_)
 
 
-def with_ordinal(df: DataFrame, key: str, order, name: str, slice_: Column | None = None, buckets: int = 64) -> DataFrame:
+def _by_weight(df: DataFrame, key: str, heavy_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of keys with more than ``heavy_rows`` rows, with ``_k``, a key that is never NULL.
+
+    Sizes come from one count that combines map-side; the list of heavy keys is at most rows / ``heavy_rows`` long.
+    """
+    rows = df.withColumn("_k", F.struct(key))
+    heavy = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows).withColumn("_heavy", F.lit(True)).drop("_n")
+    marked = rows.join(heavy, "_k", "left")
+    return marked.filter(F.col("_heavy").isNull()).drop("_heavy"), marked.filter("_heavy").drop("_heavy")
+
+
+def with_ordinal(df: DataFrame, key: str, order, name: str, slice_: Column | None = None, buckets: int = 256,
+                 heavy_rows: int = 1_000_000) -> DataFrame:
     """1-based position of each row within its key, in the order of the named columns.
 
-    Rows are numbered inside (key, slice) and shifted by the size of the key's earlier slices, so
-    a key that owns a large part of the table is spread. By default slices are value ranges of
-    the first order column; ``slice_`` gives another coarse prefix of the order, such as the day.
+    Ordinary keys take one window. Rows of heavy keys are numbered inside (key, slice) and shifted by the size of
+    the key's earlier slices, so a key that owns a large part of the table is spread. By default slices are value
+    ranges of the first order column over the heavy keys' rows; ``slice_`` gives another coarse prefix of the order,
+    such as the day.
     """
-    rows = _sliced(df, order, slice_, buckets)
-    sizes = rows.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_slice", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
-    numbered = rows.withColumn("_rn", F.row_number().over(inside))
-    return (null_safe_join(numbered, offsets, [key, "_slice"])
-            .withColumn(name, F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_slice"))
+    light, heavy = _by_weight(df, key, heavy_rows)
+    numbered = light.withColumn(name, F.row_number().over(Window.partitionBy("_k").orderBy(*order)).cast("long"))
+    rows = _sliced(heavy, order, slice_, buckets)
+    sizes = rows.groupBy("_k", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_k", "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_k", "_slice").orderBy(*order)
+    spread = rows.withColumn("_rn", F.row_number().over(inside)).join(offsets, ["_k", "_slice"]).withColumn(name, F.col("_rn") + F.col("_off"))
+    return numbered.select(*df.columns, name).unionByName(spread.select(*df.columns, name))
 
 
 def with_previous(df: DataFrame, key: str, order, value: str, name: str, slice_: Column | None = None,
-                  buckets: int = 64) -> DataFrame:
-    """Value of the key's preceding row, NULL for its first; sliced like ``with_ordinal``."""
-    rows = _sliced(df, order, slice_, buckets)
-    last = rows.groupBy(key, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    earlier = Window.partitionBy(key).orderBy("_slice")
-    carried = last.select(key, "_slice", F.lag("_last").over(earlier).alias("_carry"))
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+                  buckets: int = 256, heavy_rows: int = 1_000_000) -> DataFrame:
+    """Value of the key's preceding row, NULL for its first; heavy keys are sliced like in ``with_ordinal``."""
+    light, heavy = _by_weight(df, key, heavy_rows)
+    plain = light.withColumn(name, F.lag(value).over(Window.partitionBy("_k").orderBy(*order)))
+    rows = _sliced(heavy, order, slice_, buckets)
+    last = rows.groupBy("_k", "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    earlier = Window.partitionBy("_k").orderBy("_slice")
+    carried = last.select("_k", "_slice", F.lag("_last").over(earlier).alias("_carry"))
+    inside = Window.partitionBy("_k", "_slice").orderBy(*order)
     out = rows.withColumn("_prev", F.lag(value).over(inside)).withColumn("_rn", F.row_number().over(inside))
-    return (null_safe_join(out, carried, [key, "_slice"])
-            .withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev")))
-            .drop("_prev", "_rn", "_carry", "_slice"))
+    spread = out.join(carried, ["_k", "_slice"]).withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev")))
+    return plain.select(*df.columns, name).unionByName(spread.select(*df.columns, name))
 
 
 def running_counts(counts: DataFrame, value: str, measures, buckets: int = 256) -> DataFrame:

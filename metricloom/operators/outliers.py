@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.operators.aggregates import share_where
 from metricloom.operators.attach import null_safe_join, scalar_of, with_scalars
+from metricloom.operators.ordering import top_k
 from metricloom.operators.quantiles import quantile_table, quantiles
 
 
@@ -55,6 +56,14 @@ def outlier_share(df: DataFrame, value: str, by, **fences) -> DataFrame:
         (share_where(F.col("is_outlier")) * 100).alias("outlier_percent"))
 
 
+def top_outlier_shares(df: DataFrame, value: str, by, k: int = 20, **fences) -> DataFrame:
+    """The groups with the largest percent of outliers, with their ``position``; ties by the group's own order."""
+    by = list(by)
+    top = top_k(outlier_share(df, value, by, **fences).filter(F.col("n_outliers") > 0), k, "-outlier_percent", *by)
+    order = Window.orderBy(F.desc("outlier_percent"), *by)             # at most ``k`` rows
+    return top.withColumn("position", F.row_number().over(order))
+
+
 def trim_upper(df: DataFrame, value: str, by, high: float = 0.99) -> DataFrame:
     """Negative values go, then everything above the group's quantile of the rest."""
     valid = df.filter(F.col(value) >= 0)

@@ -7,20 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricloom.functions.numbers import ratio
 from metricloom.operators.aggregates import QUARTILES, with_empty_groups
 from metricloom.operators.attach import null_safe_join, with_scalars
 from metricloom.operators.quantiles import quantiles
 
 
 def _bin_index(x: Column, low: Column, width: Column, bins) -> Column:
-    return F.least(F.floor((x - low) / width), bins - 1).cast("bigint")
+    return F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(ratio(x - low, width)), bins - 1)).cast("bigint")
 
 
-def histogram(df: DataFrame, value: str, bins: int | None = None, by=()) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int | None = None, by=(), empty: bool = True) -> DataFrame:
     """Equal-width bins over the whole range, the last one closed on the right.
 
     ``bins=None`` uses one bin per unit of the range (for whole-number columns). Without
-    ``by`` empty bins are kept.
+    ``by`` empty bins are kept; ``empty=False`` leaves them out, for units over a wide range.
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
@@ -32,8 +33,10 @@ def histogram(df: DataFrame, value: str, bins: int | None = None, by=()) -> Data
     edges = edges.select("_lo", ((F.col("_hi") - F.col("_lo")) / count).alias("_w"), count.cast("bigint").alias("_bins"))
     binned = with_scalars(rows, edges).withColumn("bin", _bin_index(F.col("_x"), F.col("_lo"), F.col("_w"), F.col("_bins")))
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n_rows"))
-    if not by:
-        domain = edges.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_bins") - 1)).alias("bin"))
+    if not by and empty:
+        step = 1 << 16                                  # two short sequences instead of one as long as the range
+        coarse = edges.select("_bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_bins") - 1, F.lit(step).cast("bigint"))).alias("_at"))
+        domain = coarse.select(F.explode(F.sequence("_at", F.least(F.col("_at") + (step - 1), F.col("_bins") - 1))).alias("bin"))
         counts = with_empty_groups(counts, domain, ["bin"], {"n_rows": 0})
     out = with_scalars(counts, edges)
     left = F.col("_lo") + F.col("bin") * F.col("_w")
@@ -54,7 +57,7 @@ def log_histogram(df: DataFrame, value: str, edges: int = 30, low_exponent: floa
     left = F.pow(F.lit(10.0), F.lit(low_exponent) + F.col("bin") * F.col("_w"))
     right = F.pow(F.lit(10.0), F.lit(low_exponent) + (F.col("bin") + 1) * F.col("_w"))
     return full.select("bin", left.alias("bin_left"), right.alias("bin_right"), "n_rows",
-                       (F.col("n_rows") / (F.col("_n") * (right - left))).alias("density"))
+                       ratio(F.col("n_rows"), F.col("_n") * (right - left)).alias("density"))
 
 
 def density_curve(df: DataFrame, value: str, points: int = 50) -> DataFrame:
@@ -69,11 +72,11 @@ def density_curve(df: DataFrame, value: str, points: int = 50) -> DataFrame:
         "_n", "_lo", ((F.col("_hi") - F.col("_lo")) / (points - 1)).alias("_step"),
         (F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"))
     counts = with_scalars(rows.groupBy("_x").agg(F.count(F.lit(1)).alias("_k")), shape)
-    z = lambda i: (F.col("_lo") + F.lit(float(i)) * F.col("_step") - F.col("_x")) / F.col("_h")
-    sums = counts.agg(F.array(*[F.sum(F.col("_k") * F.exp(F.lit(-0.5) * z(i) * z(i))) for i in range(points)]).alias("_sums"))
+    z = lambda i: (F.col("_lo") + F.lit(float(i)) * F.col("_step") - F.col("_x"))
+    sums = counts.agg(F.array(*[F.sum(F.col("_k") * F.exp(F.lit(-0.5) * ratio(z(i), "_h") * ratio(z(i), "_h"))) for i in range(points)]).alias("_sums"))
     out = with_scalars(sums.select(F.posexplode("_sums").alias("point", "_sum")), shape)
     return out.select("point", (F.col("_lo") + F.col("point") * F.col("_step")).alias("x"),
-                      (F.col("_sum") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
+                      ratio("_sum", F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)).alias("density"))
 
 
 def box_stats(df: DataFrame, value: str, by=(), whisker: float = 1.5) -> DataFrame:

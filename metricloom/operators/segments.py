@@ -65,10 +65,10 @@ def size_class_summary(df: DataFrame, key: str, mass_over: int = 120, mid_from:
     return with_share(out, "n_rows", "row_percent", scale=100.0, small=True)     # three classes
 
 
-def share_by_segment(df: DataFrame, segment, **measures: Column) -> DataFrame:
-    """Aggregates per segment, each also as percent of the sum over segments."""
+def share_by_segment(df: DataFrame, segment, *, small: bool = False, **measures: Column) -> DataFrame:
+    """Aggregates per segment, each also as percent of the sum over segments; ``small`` as in ``with_shares``."""
     totals = df.groupBy(segment).agg(*[m.alias(n) for n, m in measures.items()])
-    return with_shares(totals, {n: f"{n}_percent" for n in measures}, scale=100.0, small=True)
+    return with_shares(totals, {n: f"{n}_percent" for n in measures}, scale=100.0, small=small)
 
 
 def change_percent(new, old) -> Column:

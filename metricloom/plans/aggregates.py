@@ -179,15 +179,14 @@ def rows_of_the_largest_key(t):
   FROM (SELECT ts::DATE, count(DISTINCT user_id) AS users, avg(value) AS mean_value FROM events GROUP BY 1)""")
 def aggregate_of_aggregates(t):
     per_user = t.events.groupBy(day("ts").alias("d"), "user_id").agg(F.sum("value").alias("s"), F.count("value").alias("k"))
-    daily = per_user.groupBy("d").agg(F.count("user_id").alias("users"), (F.sum("s") / F.sum("k")).alias("m"))
+    daily = per_user.groupBy("d").agg(F.count("user_id").alias("users"), ratio(F.sum("s"), F.sum("k")).alias("m"))
     return daily.agg(F.round(F.avg("users"), 6).alias("mean_daily_users"), F.round(F.avg("m"), 6).alias("mean_of_daily_means"))
 
 
 @query("AGG21", """SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter_start, upper(o_orderstatus) AS status, count(*) AS n FROM orders GROUP BY 1, 2""")
 def group_by_expression(t):
-    t.orders.createOrReplaceTempView("orders")
     return t.spark.sql("""SELECT cast(date_trunc('quarter', o_orderdate) AS date) AS quarter_start, upper(o_orderstatus) AS status,
-      count(*) AS n FROM orders GROUP BY quarter_start, 2""")
+      count(*) AS n FROM {orders} GROUP BY quarter_start, 2""", orders=t.orders)
 
 
 @query("AGG22", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")
@@ -220,7 +219,7 @@ def _rollup(unit):
 def _rolled(t, period):
     out = period_rollup(t.orders, period, "o_custkey", n_orders=F.count("*"), total=F.sum("o_totalprice"))
     out = out.withColumn("total", F.round("total", 2))
-    return out.withColumn("per_order", F.col("total") / F.col("n_orders"))
+    return out.withColumn("per_order", ratio("total", "n_orders"))
 
 
 @query("AGG25", _rollup("week"))

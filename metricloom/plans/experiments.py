@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.dates import days_between
 from metricloom.operators import experiments
-from metricloom.operators.ordering import with_ordinal, with_previous
+from metricloom.operators.cleaning import keep_one
+from metricloom.operators.ordering import with_previous
 from metricloom.plans.bindings import SPLIT, VISITS, split, visits
 from metricloom.plans.registry import query
 
@@ -66,8 +67,7 @@ FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER
 
 @query("EXP7 EXP6", READOUT.format(h="floor(value / 10) >= 4", s=FIRST))
 def first_session_readout(t):
-    numbered = with_ordinal(split(t), "user_id", ["ts", "event_id"], "session_number")
-    first = numbered.filter(F.col("session_number") == 1)
+    first = keep_one(split(t), ["user_id"], ["ts", "event_id"])
     return rounded(experiments.readout(first, "user_id", "grp", F.floor(F.col("value") / 10) >= 4, "A", "B"))
 
 

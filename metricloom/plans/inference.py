@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.functions.dates import day
+from metricloom.functions.numbers import ratio
 from metricloom.operators import experiments, inference
 from metricloom.plans.bindings import SPLIT, split
 from metricloom.plans.registry import query
@@ -123,7 +124,7 @@ def normal_approximation_check(t):
 @query("INF7", f"SELECT round(2 * asin(sqrt(m_b / n_b)) - 2 * asin(sqrt(m_a / n_a)), 8) AS effect FROM ({COUNTS})")
 def proportion_effect_size(t):
     c = status_counts(t)
-    return c.select(F.round(inference.proportion_effect(F.col("m_b") / F.col("n_b"), F.col("m_a") / F.col("n_a")), 8).alias("effect"))
+    return c.select(F.round(inference.proportion_effect(ratio("m_b", "n_b"), ratio("m_a", "n_a")), 8).alias("effect"))
 
 
 # Normal quantiles at 0.975, 0.8 and 0.9.
@@ -132,7 +133,7 @@ Z975, Z80, Z90 = 1.959963984540054, 0.8416212335729143, 1.2815515655446004
 
 @query("INF8", f"SELECT round(2 * pow(({Z975} + {Z80}) / (2 * asin(sqrt(p * 1.03)) - 2 * asin(sqrt(p))), 2), 4) AS per_group FROM (SELECT m_a / n_a AS p FROM ({COUNTS}))")
 def needed_sample_size(t):
-    p = F.col("m_a") / F.col("n_a")
+    p = ratio("m_a", "n_a")
     effect = inference.proportion_effect(p * 1.03, p)
     return status_counts(t).select(F.round(inference.sample_size(effect), 4).alias("per_group"))
 

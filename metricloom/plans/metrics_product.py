@@ -286,6 +286,13 @@ def conversion_by_city(t):
     return city_conversion(t)
 
 
+@query("MET1 MET2", """SELECT ts::DATE AS log_date, count(DISTINCT u) AS users, count(DISTINCT u) FILTER (WHERE event_type = 'purchase') AS converted
+  FROM (SELECT *, CASE WHEN day(ts) % 2 = 0 THEN user_id END AS u FROM events) GROUP BY 1""")
+def daily_conversion_with_unknown_users(t):
+    e = t.events.withColumn("u", F.when(F.dayofmonth("ts") % 2 == 0, F.col("user_id")))
+    return product.conversion(e.withColumn("log_date", day("ts")), ["log_date"], "u", F.col("event_type") == "purchase").select("log_date", "users", "converted")
+
+
 @query("MET52 AGG19", f"SELECT n_name, conversion FROM ({CITY}) ORDER BY conversion DESC, n_name LIMIT 1")
 def city_with_best_conversion(t):
     return arg_max(city_conversion(t), "n_name", "conversion")

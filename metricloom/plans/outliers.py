@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.functions.dates import day
+from metricloom.functions.numbers import ratio
 from metricloom.operators import outliers, segments
 from metricloom.operators.aggregates import with_empty_groups
 from metricloom.operators.attach import with_share
@@ -43,10 +44,17 @@ SHARES = f"""SELECT {{k}}, count(*) AS n_rows, count(*) FILTER (WHERE {OUTSIDE})
 
 @query("OUT3", SHARES.format(k="l_suppkey") + " FROM (" + FENCED.format(k="l_suppkey", s="SELECT l_suppkey, l_extendedprice / l_quantity * l_tax AS x FROM lineitem") + ") GROUP BY 1")
 def outlier_shares(t):
-    li = t.lineitem.select("l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity") * F.col("l_tax")).alias("x"))
+    li = t.lineitem.select("l_suppkey", (ratio("l_extendedprice", "l_quantity") * F.col("l_tax")).alias("x"))
     return outliers.outlier_share(li, "x", ["l_suppkey"]).withColumn("outlier_percent", F.round("outlier_percent", 6))
 
 
+@query("OUT3", "SELECT *, row_number() OVER (ORDER BY outlier_percent DESC, l_partkey)::INT AS position FROM (" + SHARES.format(k="l_partkey") + " FROM ("
+       + FENCED.format(k="l_partkey", s="SELECT l_partkey, l_extendedprice AS x FROM lineitem") + ") GROUP BY 1) WHERE n_outliers > 0 ORDER BY position LIMIT 20")
+def groups_with_most_outliers(t):
+    top = outliers.top_outlier_shares(t.lineitem, "l_extendedprice", ["l_partkey"])
+    return top.withColumn("outlier_percent", F.round("outlier_percent", 6))
+
+
 @query("OUT4", """WITH e AS (SELECT event_type, value - 20 AS v FROM events WHERE value >= 20), l AS (SELECT event_type AS k, quantile_cont(v, 0.99) AS p FROM e GROUP BY 1)
   SELECT event_type, count(*) AS n, round(sum(v), 2) AS total FROM e JOIN l ON event_type = k WHERE v <= p GROUP BY 1""")
 def upper_tail_trimmed(t):

@@ -109,3 +109,8 @@ def association_by_phi_k(t):
 def strongest_feature(t):
     pairs = association.chi_square(association.pair_counts(features(t), FEATURES)).withColumn("cramers_v", F.round("cramers_v", 6))
     return association.strongest_with(pairs, "o_totalprice", "cramers_v")
+
+
+@query("DST6")
+def strongest_feature_by_phi_k(t):
+    return association.strongest_with(association.phi_k(association.pair_counts(features(t), FEATURES)), "o_totalprice", "phi_k")

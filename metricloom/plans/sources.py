@@ -8,7 +8,7 @@ from metricloom.functions.dates import day
 from metricloom.functions.numbers import parse_number
 from metricloom.operators.quality import table_overview
 from metricloom.plans.registry import query
-from metricloom.sources.tables import inline_rows, read_csv, register, shared_path, write_extract
+from metricloom.sources.tables import inline_rows, read_csv, run_sql, shared_path, write_extract
 
 
 @query("SRC1", "SELECT * FROM supplier")
@@ -18,8 +18,7 @@ def scan_table(t):
 
 @query("SRC1", "SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY 1")
 def scan_through_view(t):
-    register(t.spark, t.directory, ["orders"])
-    return t.spark.sql("SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY o_orderstatus")
+    return run_sql(t.spark, t.directory, "SELECT o_orderstatus, count(*) AS n_orders FROM {orders} GROUP BY o_orderstatus", ["orders"])
 
 
 @query("SRC2", """SELECT o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total,

@@ -11,7 +11,7 @@ from metricloom.operators.aggregates import value_counts
 from metricloom.operators.attach import with_group_totals, with_scalars, with_share
 from metricloom.operators.cleaning import fill_with_group_mode
 from metricloom.operators.ordering import (
-    dense_rank_small, order_by, sorted_by_labels, top_k, top_n_per_group, with_ordinal, with_previous,
+    dense_rank_small, order_by, sorted_by_labels, top_k, top_n_per_group, with_ordinal, with_previous, with_position,
 )
 from metricloom.operators.product import item_value_in_top
 from metricloom.plans.bindings import money
@@ -109,15 +109,17 @@ def session_number_per_user(t):
     return out.select("event_id", "user_id", "session_number")
 
 
-@query("SRT1", "SELECT c_mktsegment, c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment, c_nationkey, c_acctbal DESC, c_custkey")
+@query("SRT1", "SELECT c_mktsegment, c_nationkey, c_acctbal, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_nationkey, c_acctbal DESC, c_custkey) AS position FROM customer")
 def sort_mixed_directions(t):
-    return order_by(t.customer.select("c_mktsegment", "c_nationkey", "c_acctbal", "c_custkey"),
-                    "c_mktsegment", "c_nationkey", "-c_acctbal", "c_custkey")
+    return with_position(order_by(t.customer.select("c_mktsegment", "c_nationkey", "c_acctbal", "c_custkey"),
+                                  "c_mktsegment", "c_nationkey", "-c_acctbal", "c_custkey"))
 
 
-@query("SRT2")
+@query("SRT2", "SELECT 15::BIGINT AS n_rows, 15::BIGINT AS n_known")
 def unordered_sample(t):
-    return t.events.limit(15)
+    sample = t.events.limit(15)                         # any rows: only their number, and that the table has them, can be said
+    known = sample.join(t.events.select("event_id"), "event_id", "left_semi")
+    return sample.agg(F.count("*").alias("n_rows")).crossJoin(known.agg(F.count("*").alias("n_known")))
 
 
 @query("SRT3", """SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 10""")
@@ -133,12 +135,12 @@ def top_items_of_top_suppliers(t):
     return top_k(items, 5, "-ltv", "l_partkey")
 
 
-@query("SRT5", """SELECT dayname(o_orderdate) AS weekday, count(*) AS n_rows FROM orders GROUP BY 1""")
+@query("SRT5", """SELECT dayname(o_orderdate) AS weekday, count(*) AS n_rows, row_number() OVER (ORDER BY any_value(isodow(o_orderdate))) AS position FROM orders GROUP BY 1""")
 def sort_by_weekday(t):
     counts = value_counts(t.orders.withColumn("weekday", weekday_label("o_orderdate")), "weekday")
-    return sorted_by_labels(counts, "weekday", WEEKDAY_LABELS.values())
+    return with_position(sorted_by_labels(counts, "weekday", WEEKDAY_LABELS.values()))
 
 
-@query("SRT6", "SELECT * FROM part ORDER BY ALL")
+@query("SRT6", "SELECT *, row_number() OVER (ORDER BY p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) AS position FROM part")
 def full_row_sort(t):
-    return order_by(t.part, *t.part.columns)
+    return with_position(order_by(t.part, *t.part.columns))

@@ -15,10 +15,9 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def register(spark: SparkSession, directory: str, names) -> None:
-    """Tables as temporary views for SQL text."""
-    for n in names:
-        load(spark, directory, n).createOrReplaceTempView(n)
+def run_sql(spark: SparkSession, directory: str, text: str, names) -> DataFrame:
+    """SQL text over tables of a directory, written ``{name}`` in it; the session's own views stay as they are."""
+    return spark.sql(text, **{n: load(spark, directory, n) for n in names})
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", index: str | None = None,
@@ -52,7 +51,7 @@ def inline_rows(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 
 def write_extract(df: DataFrame, path: str, partition_by=(), fmt: str = "parquet", **options) -> str:
-    """Hand a result to the next job as files; returns the path."""
+    """Hand a result to the next job as files; returns the path. Writes at once: the one action of this library."""
     writer = df.write.mode("errorifexists").format(fmt).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
     return path
@@ -61,11 +60,12 @@ def write_extract(df: DataFrame, path: str, partition_by=(), fmt: str = "parquet
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the cluster names for checkpoints.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a session on this machine alone falls back to a temporary folder, without that setting. What is
+    written there stays; the folder's owner clears it, as it does with checkpoints.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="metricloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,21 +15,26 @@ def events(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5)
 
 
+HEAVY = [50, 1000, 10**6]       # every user, only the hot one, none is heavy
+
+
+@pytest.mark.parametrize("heavy_rows", HEAVY)
 @pytest.mark.parametrize("by_day", [True, False])
-def test_ordinal_of_a_hot_user(spark, by_day):
+def test_ordinal_of_a_hot_user(spark, by_day, heavy_rows):
     slice_ = F.to_date("ts") if by_day else None
     pdf, df = events(spark)
     want = pdf.sort_values(["u", "ts", "id"]).groupby("u").cumcount() + 1
-    got = with_ordinal(df, "u", ["ts", "id"], "n", slice_=slice_).toPandas().set_index("id").n
+    got = with_ordinal(df, "u", ["ts", "id"], "n", slice_=slice_, buckets=16, heavy_rows=heavy_rows).toPandas().set_index("id").n
     assert (got.sort_index() == want.sort_index()).all()
 
 
+@pytest.mark.parametrize("heavy_rows", HEAVY)
 @pytest.mark.parametrize("by_day", [True, False])
-def test_previous_row_crosses_slices(spark, by_day):
+def test_previous_row_crosses_slices(spark, by_day, heavy_rows):
     slice_ = F.to_date("ts") if by_day else None
     pdf, df = events(spark)
     want = pdf.sort_values(["u", "ts", "id"]).groupby("u").id.shift()
-    got = with_previous(df, "u", ["ts", "id"], "id", "prev", slice_=slice_).toPandas().set_index("id").prev
+    got = with_previous(df, "u", ["ts", "id"], "id", "prev", slice_=slice_, buckets=16, heavy_rows=heavy_rows).toPandas().set_index("id").prev
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
@@ -44,7 +49,8 @@ def test_default_slices_bound_the_share_of_a_hot_key(spark):
 
 def test_null_key_keeps_its_rows(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "u string, t int")
-    assert sorted(r.n for r in with_ordinal(df, "u", ["t"], "n", slice_=F.col("t")).collect()) == [1, 1, 2]
+    for heavy_rows in (1, 10):
+        assert sorted(r.n for r in with_ordinal(df, "u", ["t"], "n", slice_=F.col("t"), heavy_rows=heavy_rows).collect()) == [1, 1, 2]
 
 
 def test_running_counts_over_many_ranges(spark):

@@ -3,7 +3,7 @@ import gzip
 import pytest
 
 from metricloom.operators.quality import table_overview
-from metricloom.sources.tables import inline_rows, load, read_csv, register, shared_path, write_extract
+from metricloom.sources.tables import inline_rows, load, read_csv, run_sql, shared_path, write_extract
 
 
 def test_csv_with_index_padded_header_and_thousands(spark, tmp_path, rows):
@@ -36,5 +36,6 @@ def test_overview_and_views(spark, tmp_path):
     inline_rows(spark, [(1, "a"), (2, None)], "id int, s string").write.parquet(str(tmp_path / "t.parquet"))
     got = [tuple(r) for r in table_overview(load(spark, str(tmp_path), "t")).collect()]
     assert got == [(1, "id", "int", 2), (2, "s", "string", 2)]
-    register(spark, str(tmp_path), ["t"])
-    assert spark.sql("select count(s) from t").first()[0] == 1
+    spark.range(7).createOrReplaceTempView("t")
+    assert run_sql(spark, str(tmp_path), "select count(s) from {t}", ["t"]).first()[0] == 1
+    assert spark.sql("select count(*) from t").first()[0] == 7          # a view of the user's stays
