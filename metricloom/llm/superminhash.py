@@ -8,8 +8,8 @@ few steps for all but the shortest texts.
 Documents with the same shingle set are one class, represented by the least id. Classes whose signatures agree in
 a band are candidates. In every bucket all members are compared with its least and its greatest; links that hold on
 the full sets join classes into components. Only buckets that still hold several components are searched further, in
-blocks of rows, and pairs of different components that the signatures don't rule out are compared on the full sets.
-So no pair between different texts that meets in a bucket is lost, and no group is expanded into its pairs.
+blocks of rows: pairs of different components that the signatures don't rule out stay packed by blocks of documents,
+which meet once with their full sets and give only the links that join components. So no pair between different texts that meets in a bucket is lost, and no group is expanded into its pairs.
 
 Words are runs of all but blank and tab to carriage return after A-Z are lower-cased. A text with fewer words than a
 shingle is one shingle; a text without words, or null, is linked with nothing. Ties go to the smaller id. Repeated rows
@@ -121,41 +121,97 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return both.where(100 * F.col("common") >= percent * (F.size("items_a") + F.size("items_b") - F.col("common"))).select("a", "b")
 
 
-def _crossing(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _suspects(members: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Pairs of different components inside buckets (``key, band, a, component, marks, blocks``) that signatures don't rule out.
 
     A bucket is divided into blocks by a hash of the id; every pair of blocks is a group of bounded size. A pair comes
-    from the first band its members share. A pair is ruled out if it agrees in fewer slots than six standard deviations
-    under the threshold.
+    from the first band its members share. It is ruled out if it agrees in fewer slots than six standard deviations
+    under the threshold. The rest is packed by the blocks of the full search: ``low, high, pairs (binary), ids (array)``.
     """
     p = percent / 100
     least = SLOTS * p - 6 * (SLOTS * p * (1 - p)) ** 0.5
 
     def compare(table):
-        order = table.sort_by("a")
-        doc, component = order.column("a").to_numpy(), order.column("component").to_numpy()
-        block, band = order.column("block").to_numpy(), order.column("band")[0].as_py()
-        marks = np.frombuffer(b"".join(order.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        low, high = order.column("low")[0].as_py(), order.column("high")[0].as_py()
-        out = []
+        rows = table.sort_by("a")
+        doc, component, block, home = (rows.column(c).to_numpy() for c in ("a", "component", "block", "home"))
+        band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(doc)):
             rest = slice(i + 1, None)
             fit = component[rest] != component[i]
             if low != high:
                 fit &= block[rest] != block[i]
-            if not fit.any():
-                continue
             where = np.flatnonzero(fit) + i + 1
             same = marks[where] == marks[i]
             bands = same.reshape(len(where), BANDS, ROWS).all(axis=2)
-            keep = (same.sum(axis=1) >= least) & (bands.argmax(axis=1) == band)
-            out.extend((int(doc[i]), int(doc[j])) for j in where[keep])
-        return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            keep = where[(same.sum(axis=1) >= least) & (bands.argmax(axis=1) == band)]
+            left.append(np.full(len(keep), i))
+            right.append(keep)
+        left, right = np.concatenate(left), np.concatenate(right)
+        x, y = np.minimum(home[left], home[right]), np.maximum(home[left], home[right])
+        order = np.lexsort((y, x))
+        left, right, x, y = left[order], right[order], x[order], y[order]
+        borders = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]))) if len(x) else np.zeros(1, np.int64)
+        out = []
+        for start, end in zip(borders[:-1], borders[1:]):
+            a, b = left[start:end], right[start:end]
+            packed = np.stack((doc[a], doc[b], component[a], component[b]), axis=1).astype(np.int64)
+            out.append((int(x[start]), int(y[start]), packed.tobytes()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["low", "high", "pairs"])
+
+    def gather(key, table):
+        pairs = b"".join(table.column("pairs").to_pylist())
+        ids = np.unique(np.frombuffer(pairs, np.int64).reshape(-1, 4)[:, :2]).tolist()
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip((key[0].as_py(), key[1].as_py(), pairs, ids), (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["low", "high", "pairs", "ids"])
 
     dealt = members.withColumn("block", F.pmod(F.xxhash64("a", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return dealt.select("key", "band", "a", "component", "marks", "block", "low", "high").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("a", F.lit(11)), F.lit(blocks)).cast("int"))
+    found = (dealt.select("key", "band", "a", "component", "marks", "block", "home", "low", "high").groupBy("key", "low", "high")
+             .applyInArrow(compare, "low int, high int, pairs binary"))
+    return found.groupBy("low", "high").applyInArrow(gather, "low int, high int, pairs binary, ids array<long>")
+
+
+def _forest(suspects: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between components, by the full sets of packed pairs: of each group as many as its components need.
+
+    A group holds the sets of two blocks of documents, each once, and compares its pairs in place.
+    """
+    def confirm(key, packed, found):
+        ids = found.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        items = found.column("items").combine_chunks().take(pa.array(order))
+        _, codes = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        borders = np.concatenate(([0], np.cumsum(items.value_lengths().to_numpy())))
+        rows = np.concatenate([np.frombuffer(x, np.int64) for x in packed.column("pairs").to_pylist()]).reshape(-1, 4)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        left, right = np.searchsorted(ids[order], rows[:, 0]), np.searchsorted(ids[order], rows[:, 1])
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out, marked, last = [], np.zeros(len(codes) + 1, bool), -1
+        for (a, b), (x, y) in zip(rows[:, 2:].tolist(), zip(left.tolist(), right.tolist())):
+            if root(a) == root(b):
+                continue
+            if x != last:
+                marked[:] = False
+                marked[codes[borders[x]:borders[x + 1]]] = True
+                last = x
+            common = int(marked[codes[borders[y]:borders[y + 1]]].sum())
+            if 100 * common >= percent * (int(borders[x + 1] - borders[x] + borders[y + 1] - borders[y]) - common):
+                out.append((a, b))
+                parent[root(a)] = root(b)
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    wanted = suspects.select(F.col("low").alias("x"), F.col("high").alias("y"), F.explode("ids").alias("doc_id")).distinct()
+    placed = wanted.join(sets, "doc_id").select("x", "y", "doc_id", "items")
+    return suspects.select("low", "high", "pairs").groupBy("low", "high").cogroup(placed.groupBy("x", "y")).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 256) -> DataFrame:
@@ -176,11 +232,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     large = cut(of(slots.join(buckets.where("n > 2").select("key", "n"), "key")))
     mixed = cut(large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
     rest = large.join(mixed, "key").join(heads.select("a", "marks"), "a").withColumn("blocks", F.ceil(F.col("n") / block_rows))
-    pairs = cut(_crossing(rest, percent, block_rows).distinct())
-    more = _confirmed(pairs, docs, size, percent)
-    a, b = labels.toDF("a", "x"), labels.toDF("b", "y")
-    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    joined = components(between)
+    rest = cut(rest)
+    blocks = max(1, -(-rest.select("a").distinct().count() // block_rows))
+    suspects = cut(_suspects(rest, percent, blocks))
+    ids = suspects.select(F.explode("ids").alias("doc_id")).distinct()
+    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "shingles")
+    joined = components(_forest(suspects, sets, percent))
     final = labels.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     new = joined.join(labels, "node", "left_anti")      # classes that only the second search linked
     final = cut(final.unionByName(new.select("node", "component")))
