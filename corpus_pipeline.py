@@ -48,8 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every document that is left."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    found = word_table_bpe.decode(word_table_bpe.encode(docs, path), path)
+    found = word_table_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

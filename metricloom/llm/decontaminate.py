@@ -13,7 +13,6 @@ never hit. Empty items are ignored; equal items each count. Without items nothin
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -190,18 +189,13 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
 
     Overlapping spans of several blocks count each word once. Contaminated: at least one word in ``coverage`` is hit.
     """
-    def work(batch):
-        n_hit, n_items, digests = [], [], []
-        for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-            total, end = 0, -1
-            for s in sorted(spans, key=lambda s: s["first"]):
-                total += max(0, s["last"] - max(s["first"] - 1, end))
-                end = max(end, s["last"])
-            n_hit.append(total)
-            n_items.append(len(items))
-            digests.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-        n_hit = np.array(n_hit, np.int64)
-        n_words = batch.column("n_words").to_numpy()
-        return pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit), pa.array(np.array(n_items, np.int64)), pa.array(digests),
-                                pa.array((n_hit > 0) & (coverage * n_hit >= n_words))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-    return map_batches(found, work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
+
+    def add(so_far, span):
+        new = F.greatest(F.lit(0).cast("long"), span["last"] - F.greatest(span["first"] - 1, so_far["end"]))
+        return F.struct((so_far["n"] + new).alias("n"), F.greatest(so_far["end"], span["last"]).alias("end"))
+
+    n_hit = F.aggregate(F.array_sort("spans"), nothing, add)["n"]
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256")
+                        ).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from metricloom.llm.shared import map_batches
+from metricloom.llm.word_table_bpe import joined
 
 
 def id_lists(column: pa.ListArray) -> list[bytes]:
@@ -18,11 +19,15 @@ def id_lists(column: pa.ListArray) -> list[bytes]:
     return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def of_tokens(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows with ``doc_id, ids, decoded``."""
+def of_tokens(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows with ``doc_id, ids``, decoded with the vocabulary at ``path``."""
     def work(batch):
-        ids = id_lists(batch.column("ids"))
-        texts = batch.column("decoded").to_pylist()
-        return pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                                pa.array([hashlib.sha256((x or "").encode()).hexdigest() for x in texts], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return map_batches(decoded, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lengths, ids, texts = [], [], []
+        for low in range(0, batch.num_rows, 256):       # the pieces of a whole batch would be many
+            part = batch.column("ids").slice(low, 256)
+            for one in id_lists(part):
+                lengths.append(len(one) // 4)
+                ids.append(hashlib.sha256(one).hexdigest())
+            texts.extend(hashlib.sha256(memoryview(text.as_buffer() or b"")).hexdigest() for text in joined(part, path))
+        return pa.record_batch([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return map_batches(encoded, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

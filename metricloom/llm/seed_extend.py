@@ -66,7 +66,7 @@ def _least(table: pa.Table) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
     """``doc_id, n_words, spans (array of struct<first, last>: maximal runs of words to remove), kept (string)``."""
     docs = texts(docs, id_col, text_col)
     chunks = chunk_count(docs, chunk_bytes)

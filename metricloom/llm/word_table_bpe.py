@@ -74,8 +74,8 @@ def _merge(table: pa.Table, path: str) -> pa.Table:
                                 ["chunk", "shard", "sizes", "ids"])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id, ids (array of int)`` of every document under the word vocabulary at ``path``."""
+def encode(docs: DataFrame, path: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``doc_id, ids (array of int)`` of every document under the word vocabulary at ``path``; ``decoded`` adds the ids' text."""
     docs = texts(docs, id_col, text_col)
     chunks = chunk_count(docs, chunk_bytes)
     bits = anchors.shard_bits(chunks)
@@ -96,10 +96,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         out = [placed(p, words.which[a:b], sizes, flat) for p, a, b in zip(words.parts, words.borders[:-1], words.borders[1:])]
         counts = np.concatenate([np.diff(offsets) for _, offsets in out])
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-        return pa.Table.from_arrays([words.ids, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([ids for ids, _ in out]).astype(np.int32)))], ["doc_id", "ids"])
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([ids for ids, _ in out]).astype(np.int32)))
+        table = pa.Table.from_arrays([words.ids, ids], ["doc_id", "ids"])
+        return table.append_column("decoded", _in_parts(ids, path)) if decoded else table
 
     told = docs.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("shard").applyInArrow(lambda table: _merge(table, path), _TOLD)
-    return docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(join, "doc_id long, ids array<int>")
+    return docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(join, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 @lru_cache
@@ -125,11 +127,15 @@ def joined(ids: pa.ListArray, path: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), pa.scalar(" ", pa.large_string()))
 
 
+def _in_parts(ids: pa.ListArray, path: str, rows: int = 256) -> pa.Array:
+    """Decoded texts, a few rows at a time: the pieces of a whole batch would be many."""
+    return pa.concat_arrays([joined(ids.slice(low, rows), path).cast(pa.string()) for low in range(0, len(ids), rows)])
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows of ``encoded`` with ``decoded`` (string); a column that had this name is replaced."""
     rest = encoded.drop("decoded")
 
     def work(batch):
-        parts = [joined(batch.column(ids_col).slice(low, 256), path).cast(pa.string()) for low in range(0, batch.num_rows, 256)]
-        return batch.append_column("decoded", pa.concat_arrays(parts))
+        return batch.append_column("decoded", _in_parts(batch.column(ids_col), path))
     return map_batches(rest, work, T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
