@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, path: str, target: str, end_id: int | None = 2
             yield flush()
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(partitions, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")       # only ids are sampled
     ranged.mapInArrow(blocks, _ROW).write.option("compression", "none").parquet(target)
 
 
