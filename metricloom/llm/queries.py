@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, digests, hnsw, language_id, masked_scoring, seed_extend, suffix_repeats, superminhash, token_counts, token_files, word_table_bpe
+from metricloom.llm import (
+    decontaminate, digests, hnsw, language_id, masked_scoring, seed_extend, sql, suffix_repeats, superminhash, token_counts, token_files, word_table_bpe,
+)
 from metricloom.llm.shared import shared_folder, table
 
-QUERIES, SQL = {}, {}
+QUERIES = {}
+SQL = {"op3_common_prefix_intervals": sql.REPEATED_BYTES, "op5_superminhash": sql.NEAR_DUPLICATES,
+       "op6_suffix_automaton_decontamination": sql.CONTAMINATION, "op9_seed_and_extend": sql.REPEATED_WORDS}
 
 
 def query(run):
@@ -98,4 +102,4 @@ def op9_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded under the word vocabulary."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return digests.of_tokens(word_table_bpe.decode(word_table_bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return digests.of_tokens(word_table_bpe.encode(table(spark, sf_dir, "documents"), path), path)
