@@ -18,10 +18,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Reject documents without a language (null, or no letter); a missing ``lang`` becomes the predicted one."""
     labelled = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     model = language_id.fit(labelled)
-    found = language_id.identify(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")), model)
-    kept = found.where("doc_id is not null and lang_pred <> 'und'")
-    columns = [F.coalesce(F.col("rest.lang"), F.col("lang_pred")).alias("lang") if c == "lang" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return kept.select(*columns)
+    other = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    found = language_id.identify(docs.select("text", other.alias("rest")), model)
+    kept = found.where("rest.doc_id is not null and lang_pred <> 'und'")
+    own = {"text": F.col("text"), "lang": F.coalesce(F.col("rest.lang"), F.col("lang_pred")) if "lang" in docs.columns else None}
+    return kept.select(*[own[c].alias(c) if c in own else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

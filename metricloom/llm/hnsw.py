@@ -129,7 +129,7 @@ def points(rows: DataFrame, keep: int) -> DataFrame:
             found.setdefault(np.array(vector, np.float64).tobytes(), []).append(own)
         return pa.record_batch([pa.array([np.frombuffer(k, np.float64) for k in found], pa.list_(pa.float64())), pa.array([sorted(set(v))[:keep] for v in found.values()], pa.list_(pa.int64()))], ["vector", "ids"])
 
-    parts = map_batches(rows, reduce, "vector array<double>, ids array<long>")
+    parts = map_batches(rows, reduce, "vector array<double>, ids array<long>", rows=None)
     smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
     return parts.groupBy("vector").agg(smallest.alias("ids"))
 

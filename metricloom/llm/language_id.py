@@ -65,11 +65,11 @@ def _places(values: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 3000,
-        grams_per_language: int = 1 << 18, least_share: float = 2e-6, hashes: int = 3, order_col: str = "doc_id") -> Model:
+        least_share: float = 4e-6, hashes: int = 3, order_col: str = "doc_id") -> Model:
     """Learn the filters from labelled rows.
 
     The sample is bounded by parameters: about ``docs_per_language`` rows of each language, chosen by a hash of
-    ``order_col``, and the ``grams_per_language`` commonest 4-grams that make up ``least_share`` of it at least.
+    ``order_col``, and the 4-grams that make up ``least_share`` of a language's at least, so 1 / ``least_share`` at most.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(order_col).alias("key"))
     rows = rows.where("text is not null and lang is not null and lang <> 'und'")
@@ -93,13 +93,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", doc
             out.append(pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out and sum(len(b) for b in out) else None
 
-    counts = map_batches(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, count, "lang string, gram long, n long", rows=None).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * least_share)     # one total per language
-    best = {}
-    for i, lang in enumerate(languages):
-        top = kept.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(grams_per_language).select("gram").toArrow()
-        best[i] = top.column(0).to_numpy()
+    found = kept.select("lang", "gram").toArrow()        # at most 1 / least_share rows a language
+    of, values = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy()
+    best = {i: values[of == lang] for i, lang in enumerate(languages)}
     size = 1 << int(np.ceil(np.log2(max(1024, 12 * max(len(v) for v in best.values())))))
     slots = np.zeros((size, -(-len(languages) // 64)), U)
     for i, found in best.items():

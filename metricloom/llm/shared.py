@@ -85,7 +85,7 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
         return pa.record_batch([pa.array(chunk[order][borders[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "docs"])
 
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    return map_batches(dealt, pack, "chunk int, docs binary").repartition(min(chunks, partitions), "chunk")
+    return map_batches(dealt, pack, "chunk int, docs binary", rows=None).repartition(min(chunks, partitions), "chunk")
 
 
 def unpacked(table: pa.Table) -> pa.Table:
@@ -94,10 +94,11 @@ def unpacked(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``work`` on every Arrow batch of a partition; empty batches give nothing."""
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int | None = 1000) -> DataFrame:
+    """``work`` on every Arrow batch of a partition, at most ``rows`` rows at a time; empty batches give nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for low in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                if (out := work(batch.slice(low, rows))) is not None:
+                    yield out
     return df.mapInArrow(run, schema)

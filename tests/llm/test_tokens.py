@@ -109,6 +109,7 @@ def test_decoding_drops_unknown_ids_and_reads_nulls(spark):
 
 def test_digests(spark):
     from metricloom.llm.digests import of_tokens
-    rows = of_tokens(spark.createDataFrame([(1, [1, 2], "é"), (2, [], "")], "doc_id long, ids array<int>, decoded string")).collect()
-    assert rows[0]["ids_sha256"] == hashlib.sha256(b"\1\0\0\0\2\0\0\0").hexdigest() and rows[0]["decoded_sha256"] == hashlib.sha256("é".encode()).hexdigest()
-    assert rows[1]["n_tokens"] == 0 and rows[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    rows = of_tokens(spark.createDataFrame([(1, [320, 1]), (2, []), (3, None)], "doc_id long, ids array<int>"), WORDS).orderBy("doc_id").collect()
+    text = pretokens.library(WORDS).decode([320, 1], skip_special_tokens=False)
+    assert rows[0]["ids_sha256"] == hashlib.sha256(b"\x40\1\0\0\1\0\0\0").hexdigest() and rows[0]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert all(r["n_tokens"] == 0 and r["ids_sha256"] == r["decoded_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows[1:])
