@@ -9,7 +9,7 @@ _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B
 REPEATED_BYTES = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d)),
-f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f USING (k) WHERE least < doc_id),
 n AS (SELECT doc_id, count(*) AS removed, count(*) FILTER (WHERE before IS DISTINCT FROM p - 1) AS spans
   FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
