@@ -124,18 +124,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 def _suspects(members: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Pairs of different components inside buckets (``key, band, a, component, marks, blocks``) that signatures don't rule out.
 
-    A bucket is divided into blocks by a hash of the id; every pair of blocks is a group of bounded size. A pair comes
-    from the first band its members share. It is ruled out if it agrees in fewer slots than six standard deviations
+    A bucket is divided into blocks by a hash of the id; every pair of blocks is a group of bounded size. With ``bands``,
+    the keys of all buckets of a document, a pair comes from the first bucket its members share only; marks may agree in
+    a band whose keys differ, so they don't decide that. A pair is ruled out if it agrees in fewer slots than six standard deviations
     under the threshold. The rest is packed by the blocks of the full search: ``low, high, pairs (binary), ids (array)``.
     """
     p = percent / 100
     least = SLOTS * p - 6 * (SLOTS * p * (1 - p)) ** 0.5
+    full = "bands" in members.columns
 
     def compare(table):
         rows = table.sort_by("a")
         doc, component, block, home = (rows.column(c).to_numpy() for c in ("a", "component", "block", "home"))
         band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
         marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if full else None
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(doc)):
             rest = slice(i + 1, None)
@@ -143,9 +146,9 @@ def _suspects(members: DataFrame, percent: int, blocks: int) -> DataFrame:
             if low != high:
                 fit &= block[rest] != block[i]
             where = np.flatnonzero(fit) + i + 1
-            same = marks[where] == marks[i]
-            bands = same.reshape(len(where), BANDS, ROWS).all(axis=2)
-            keep = where[(same.sum(axis=1) >= least) & (bands.argmax(axis=1) == band)]
+            keep = where[(marks[where] == marks[i]).sum(axis=1) >= least]
+            if full:
+                keep = keep[(keys[keep] == keys[i]).argmax(axis=1) == band]
             left.append(np.full(len(keep), i))
             right.append(keep)
         left, right = np.concatenate(left), np.concatenate(right)
@@ -169,7 +172,7 @@ def _suspects(members: DataFrame, percent: int, blocks: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.withColumn("home", F.pmod(F.xxhash64("a", F.lit(11)), F.lit(blocks)).cast("int"))
-    found = (dealt.select("key", "band", "a", "component", "marks", "block", "home", "low", "high").groupBy("key", "low", "high")
+    found = (dealt.select("key", "band", "a", "component", "marks", *["bands"] * full, "block", "home", "low", "high").groupBy("key", "low", "high")
              .applyInArrow(compare, "low int, high int, pairs binary"))
     return found.groupBy("low", "high").applyInArrow(gather, "low int, high int, pairs binary, ids array<long>")
 
@@ -231,7 +234,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     of = lambda df: df.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))      # noqa: E731
     large = cut(of(slots.join(buckets.where("n > 2").select("key", "n"), "key")))
     mixed = cut(large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    rest = large.join(mixed, "key").join(heads.select("a", "marks"), "a").withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    rest = large.join(mixed, "key").join(heads.select("a", "marks", "bands"), "a").withColumn("blocks", F.ceil(F.col("n") / block_rows))
     rest = cut(rest)
     blocks = max(1, -(-rest.select("a").distinct().count() // block_rows))
     suspects = cut(_suspects(rest, percent, blocks))

@@ -53,6 +53,16 @@ def test_search_in_blocks_compares_each_pair_once(spark):
         assert sorted(tuple(sorted(p[:2])) for rows_ in found for p in rows_.tolist()) == [(1, 2), (1, 5), (2, 4), (2, 5), (4, 5)]
 
 
+def test_search_keeps_pairs_whose_marks_collide_in_an_earlier_band(spark):
+    """Equal marks of band 0 in documents of different buckets there: the pair comes from band 1, which both share, and only once."""
+    marks = bytearray(np.random.default_rng(0).integers(0, 256, superminhash.SLOTS, dtype=np.uint8).tobytes())
+    keys = {i: [100 * i, *range(1, superminhash.BANDS)] for i in (1, 2)}
+    rows = [(keys[i][band], band, i, i, marks, keys[i], 1) for i in (1, 2) for band in (0, 1, 5)]
+    members = spark.createDataFrame(rows, "key long, band int, a long, component long, marks binary, bands array<long>, blocks long")
+    found = [np.frombuffer(r["pairs"], np.int64).reshape(-1, 4) for r in superminhash._suspects(members, 80, 4).collect()]
+    assert [tuple(sorted(p[:2])) for rows_ in found for p in rows_.tolist()] == [(1, 2)]
+
+
 def test_forest_joins_components_by_full_sets(spark):
     pairs = np.array([[1, 2, 1, 2], [1, 3, 1, 3], [2, 3, 2, 3], [3, 4, 3, 4]], np.int64)
     suspects = spark.createDataFrame([(0, 1, bytearray(pairs.tobytes()), [1, 2, 3, 4])], "low int, high int, pairs binary, ids array<long>")
