@@ -1,13 +1,18 @@
 """Document scores by masked pseudo-likelihood: every token is predicted from the tokens on both sides of it.
 
 Tokens are words (runs of ASCII letters and digits and all characters above ASCII, A-Z lower-cased), each hashed to one
-of ``buckets``. Corpus counts of the buckets, over all documents, cut the vocabulary into classes of about equal mass. A
-window network with one hidden layer predicts the class of a token from its neighbours; the share of the token's bucket
-in its class, from the counts, does the rest. The sum of the log-probabilities of all tokens scores the document.
+of ``buckets``. Corpus counts of the buckets, over all documents, cut the buckets into classes of about equal mass. A
+window network with one hidden layer predicts from the neighbours of a token its class, and its bucket inside the class.
+The word's share of its bucket comes from the counts of all distinct words; one count is left for words never counted.
+So the words of a bucket share what the network knows of them, but not their frequency. The sum of the
+log-probabilities of all tokens scores the document.
+
+Distinct words, named by 64-bit hashes, are counted on Spark and kept as a table, packed by shards of hash values. To
+score, documents meet in chunks by a hash of their id; a chunk asks each shard about its distinct words once.
 
 The network is trained in numpy on every token of every document: each task starts from the same weights, runs through
 its documents in mini-batches, and gives its weights and its number of tokens; their weighted mean is the next start.
-The driver sees one set of weights and one count per bucket, whatever the corpus.
+The driver sees one set of weights and one count per bucket, whatever the corpus; the word counts stay on Spark.
 
 Nulls and texts without words have 0 tokens, score 0 and no mean. Repeated rows are trained on and scored each. An empty
 corpus leaves the weights as they start, and all buckets equally likely.
@@ -15,7 +20,8 @@ corpus leaves the weights as they start, and all buckets equally likely.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.shared import map_batches, texts
+from metricloom.llm import anchors
+from metricloom.llm.shared import chunk_count, chunked, stored, texts, unpacked
 from metricloom.llm.textarrays import LOWER, WORD, U, slices, utf8, words
 
+#: Leading bits of a word's hash that name its shard, and tokens a task counts before it gives their words on.
+SHARD_BITS, HELD = 10, 1 << 22
+
 
 @dataclass
 class Model:
@@ -36,15 +46,19 @@ class Model:
     class_of: np.ndarray
     inside: np.ndarray                                  # log share of every bucket in its class
     weights: np.ndarray
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))        # buckets by class
+    borders: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))      # of the classes in them
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))         # tokens of the counted words of every bucket
+    counted: DataFrame | None = None                    # ``shard, keys, counts``: the distinct words, packed
 
     @property
     def classes(self) -> int:
         return int(self.class_of.max()) + 1
 
     def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
-        """Views of the flat weights: contexts by position and bucket (the last: no token), hidden bias, output, output bias."""
+        """Views of the flat weights: contexts by position and bucket (the last: no token), hidden bias, output, output bias, output of the buckets by place."""
         flat = self.weights if flat is None else flat
-        shapes = ((2 * self.window, self.buckets + 1, self.hidden), (self.hidden,), (self.hidden, self.classes), (self.classes,))
+        shapes = ((2 * self.window, self.buckets + 1, self.hidden), (self.hidden,), (self.hidden, self.classes), (self.classes,), (self.buckets, self.hidden))
         out, at = [], 0
         for shape in shapes:
             size = int(np.prod(shape))
@@ -55,10 +69,16 @@ class Model:
 
 def tokens(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words, and the rows' offsets in them."""
-    _, _, hashes, before = words(LOWER[data], offsets, WORD)
+    hashes, before = hashed(data, offsets)
     return (hashes % U(buckets)).astype(np.int32), before
 
 
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the rows' offsets in them."""
+    _, _, hashes, before = words(LOWER[data], offsets, WORD)
+    return hashes, before
+
+
 def contexts(ids: np.ndarray, before: np.ndarray, window: int, none: int) -> np.ndarray:
     """Neighbours of every token by position; ``none`` beyond its document."""
     n, out = len(ids), np.full((2 * window, len(ids)), none, np.int32)
@@ -73,7 +93,7 @@ def contexts(ids: np.ndarray, before: np.ndarray, window: int, none: int) -> np.
 
 def forward(model: Model, around: np.ndarray, flat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hidden values, and log-probabilities of the classes."""
-    table, bias, out, out_bias = model.parts(flat)
+    table, bias, out, out_bias, _ = model.parts(flat)
     hidden = np.tanh(sum(table[k][around[k]] for k in range(len(around))) + bias)
     logits = hidden @ out + out_bias
     logits -= logits.max(axis=1, keepdims=True)
@@ -81,17 +101,52 @@ def forward(model: Model, around: np.ndarray, flat: np.ndarray | None = None) ->
     return hidden, logits
 
 
-def gradient(model: Model, around: np.ndarray, target: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Gradient of the mean negative log-probability of the target classes."""
+def inner(model: Model, hidden: np.ndarray, ids: np.ndarray, flat: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """For every class with several buckets: its tokens, its first and last place, log-probabilities of its buckets.
+
+    The sizes of classes weighed by their mass are about ``buckets / classes``, so this costs a token no more than its class.
+    """
+    out = model.parts(flat)[4]
+    share = np.empty(model.buckets, out.dtype)
+    share[model.place] = model.inside
+    of = model.class_of[ids]
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(model.classes + 1))
+    for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(model.borders) > 1)):
+        some, low, high = order[edges[c]:edges[c + 1]], int(model.borders[c]), int(model.borders[c + 1])
+        logits = hidden[some] @ out[low:high].T + share[low:high]
+        logits -= logits.max(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        yield some, low, high, logits
+
+
+def log_probabilities(model: Model, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Log-probability of the bucket of every token, by its neighbours."""
+    hidden, logs = forward(model, around)
+    out = logs[np.arange(len(ids)), model.class_of[ids]].astype(float)
+    for some, low, _, inside in inner(model, hidden, ids):
+        out[some] += inside[np.arange(len(some)), model.place[ids[some]] - low]
+    return out
+
+
+def gradient(model: Model, around: np.ndarray, target: np.ndarray, flat: np.ndarray, ids: np.ndarray | None = None) -> np.ndarray:
+    """Gradient of the mean negative log-probability of the target classes; with ``ids``, of these buckets."""
     grad = np.zeros_like(flat)
-    table, bias, out, out_bias = model.parts(grad)
+    table, bias, out, out_bias, places = model.parts(grad)
     hidden, logs = forward(model, around, flat)
     error = np.exp(logs)
     error[np.arange(len(target)), target] -= 1
     error /= len(target)
     out[:] = hidden.T @ error
     out_bias[:] = error.sum(axis=0)
-    back = (error @ model.parts(flat)[2].T) * (1 - hidden * hidden)
+    back = error @ model.parts(flat)[2].T
+    for some, low, high, inside in inner(model, hidden, ids, flat) if ids is not None else ():
+        wrong = np.exp(inside)
+        wrong[np.arange(len(some)), model.place[ids[some]] - low] -= 1
+        wrong /= len(target)
+        places[low:high] = wrong.T @ hidden[some]
+        back[some] += wrong @ model.parts(flat)[4][low:high]
+    back *= 1 - hidden * hidden
     bias[:] = back.sum(axis=0)
     for k in range(len(around)):
         for j in range(model.hidden):
@@ -122,6 +177,47 @@ def corpus_counts(docs: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """The distinct words of all documents with their counts, packed: ``shard, keys, counts``."""
+    def count(batches):
+        held, size = [], 0
+
+        def given():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(s, keys[a:b].tobytes(), anchors.pack(n[a:b])) for s, a, b in anchors.by_shard(keys, SHARD_BITS)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
+
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for low, high in slices(offsets):
+                own = offsets[low:high + 1]
+                held.append(hashed(data[own[0]:own[-1]], own - own[0])[0])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield given()
+                    held, size = [], 0
+        if size:
+            yield given()
+
+    def total(key, table):
+        keys, n = _counted(table)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([anchors.pack(n)], pa.binary())})
+
+    schema = "shard int, keys binary, counts binary"
+    return docs.select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(total, schema)
+
+
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of packed rows, sorted, and their total counts."""
+    if not table.num_rows:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    keys = np.concatenate([np.frombuffer(k, U) for k in table.column("keys").to_pylist()])
+    n = np.concatenate([anchors.unpack(c) for c in table.column("counts").to_pylist()])
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
+    return keys[order][first], np.add.reduceat(n[order], first)
+
+
 def start(counts: np.ndarray, classes: int, window: int, hidden: int, seed: int) -> Model:
     """An untrained model: classes of about equal mass, buckets by falling count."""
     order = np.argsort(-counts, kind="stable")
@@ -131,9 +227,12 @@ def start(counts: np.ndarray, classes: int, window: int, hidden: int, seed: int)
     class_of = np.empty(len(counts), np.int64)
     class_of[order] = of
     total = np.bincount(class_of, counts + 1.0)
-    model = Model(len(counts), window, hidden, class_of, np.log((counts + 1.0) / total[class_of]), np.zeros(0, np.float32))
+    place = np.empty(len(counts), np.int64)
+    place[order] = np.arange(len(counts))
+    model = Model(len(counts), window, hidden, class_of, np.log((counts + 1.0) / total[class_of]), np.zeros(0, np.float32),
+                  place, np.searchsorted(of, np.arange(len(total) + 1)), np.zeros(len(counts), np.int64))
     size = 2 * window * (len(counts) + 1) * hidden + hidden + hidden * model.classes + model.classes
-    model.weights = (np.random.default_rng(seed).standard_normal(size) * 0.1).astype(np.float32)
+    model.weights = np.concatenate((np.random.default_rng(seed).standard_normal(size) * 0.1, np.zeros(len(counts) * hidden))).astype(np.float32)
     model.parts()[3][:] = np.log(total / total.sum())
     return model
 
@@ -142,7 +241,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
         rounds: int = 2, batch: int = 16384, rate: float = 0.1, seed: int = 7) -> Model:
     """Train on all documents: ``rounds`` passes, with the weights averaged after each."""
     docs = texts(docs, id_col, text_col)
-    model = start(corpus_counts(docs, buckets), classes, window, hidden, seed)
+    counts = corpus_counts(docs, buckets)
+    model = start(counts, classes, window, hidden, seed)
+    counted = stored(word_counts(docs), "words")
     piece = 1 << 14
 
     for turn in range(rounds):
@@ -154,7 +255,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
             for ids, before in _token_batches(batches, buckets):
                 around = contexts(ids, before, window, buckets)
                 for low in range(0, len(ids), batch):
-                    step = gradient(own, around[:, low:low + batch], own.class_of[ids[low:low + batch]], flat)
+                    step = gradient(own, around[:, low:low + batch], own.class_of[ids[low:low + batch]], flat, ids[low:low + batch])
                     power += step * step
                     flat -= rate / (1 + turn) * step / np.sqrt(power)
                 seen += len(ids)
@@ -175,29 +276,52 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
         if rows.num_rows:
             model.weights = np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float32).copy()
         sent.unpersist()
-    return model
+    return replace(model, seen=counts, counted=counted)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", batch: int = 16384) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood`` (sum over all tokens), ``mean_log_prob`` (null without tokens)."""
     docs = texts(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(rows):
-        own = sent.value
-        data, offsets = utf8(rows.column("text"))
-        counts, sums = [], []
-        for low, high in slices(offsets):
-            span = offsets[low:high + 1]
-            ids, before = tokens(data[span[0]:span[-1]], span - span[0], own.buckets)
-            around, logs = contexts(ids, before, own.window, own.buckets), np.zeros(len(ids))
-            for at in range(0, len(ids), batch):
-                some = ids[at:at + batch]
-                logs[at:at + batch] = forward(own, around[:, at:at + batch])[1][np.arange(len(some)), own.class_of[some]] + own.inside[some]
-            total = np.concatenate(([0.0], np.cumsum(logs)))
-            counts.append(np.diff(before))
-            sums.append(np.where(np.diff(before) > 0, total[before[1:]] - total[before[:-1]], 0.0))
-        n, s = np.concatenate(counts), np.concatenate(sums)
-        return pa.record_batch([rows.column("doc_id"), pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
-
-    return map_batches(docs, work, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(replace(model, counted=None))
+    docs = chunked(docs, chunk_count(docs))
+    counted = model.counted if model.counted is not None else spark.createDataFrame([], "shard int, keys binary, counts binary")
+
+    def hashes_of(table):
+        data, offsets = utf8(table.column("text"))
+        return hashed(data, offsets)
+
+    def ask(key, table):
+        keys = np.unique(hashes_of(unpacked(table))[0])
+        rows = [(s, key[0].as_py(), keys[a:b].tobytes()) for s, a, b in anchors.by_shard(keys, SHARD_BITS)]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "chunk", "keys"])
+
+    def answer(asked, table):
+        keys, n = _counted(table)
+        out = []
+        for blob in asked.column("keys").to_pylist():
+            wanted, found = np.frombuffer(blob, U), np.zeros(len(blob) // 8, np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found = np.where(keys[at] == wanted, n[at], 0)
+            out.append(np.frombuffer(anchors.pack(found), np.uint8))
+        return anchors.reply(1, asked, out) if out else anchors.REPLY_SCHEMA.empty_table()
+
+    def finish(table, replies):
+        own, table = sent.value, unpacked(table)
+        hashes, before = hashes_of(table)
+        keys, which = np.unique(hashes, return_inverse=True)
+        n = np.concatenate([np.zeros(0, np.int64), *[anchors.unpack(part) for part in anchors.in_order(replies, 1)]])
+        ids = (hashes % U(own.buckets)).astype(np.int32)
+        logs = np.log(np.maximum(n, 1))[which] - np.log(own.seen + 1.0)[ids]        # share of the word in its bucket
+        around = contexts(ids, before, own.window, own.buckets)
+        for at in range(0, len(ids), batch):
+            logs[at:at + batch] += log_probabilities(own, around[:, at:at + batch], ids[at:at + batch])
+        rows = np.repeat(np.arange(len(before) - 1), np.diff(before))
+        n, s = np.diff(before), np.bincount(rows, logs, minlength=len(before) - 1).astype(float)
+        return pa.Table.from_arrays([table.column("doc_id").combine_chunks(), pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)],
+                                    ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+
+    asked = docs.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, keys binary")
+    replies = asked.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(answer, anchors.REPLY)
+    return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")

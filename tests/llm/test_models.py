@@ -117,6 +117,38 @@ def test_scores_of_edges(spark, edge_docs, edge_texts, no_docs):
     assert masked_scoring.score(no_docs, masked_scoring.fit(no_docs, buckets=64, classes=4)).collect() == []
 
 
+def test_rare_words_do_not_share_the_probability_of_their_bucket(spark):
+    rows = [(i, w) for i, w in enumerate(["common"] * 30 + ["garbage", "rare", "odd"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = masked_scoring.fit(docs, buckets=1, classes=1, rounds=1)            # one bucket: only the words' own counts are left
+    asked = spark.createDataFrame([(1, "common"), (2, "garbage"), (3, "unseen"), (4, "common rare"), (4, "common rare")], "doc_id long, text string")
+    got = sorted((r["doc_id"], round(float(np.exp(r["log_likelihood"])), 6)) for r in masked_scoring.score(asked, model).collect())
+    both = round(30 / 34 * 1 / 34, 6)
+    assert got == [(1, round(30 / 34, 6)), (2, round(1 / 34, 6)), (3, round(1 / 34, 6)), (4, both), (4, both)]
+
+
+def test_gradient_inside_classes_is_the_derivative():
+    model, rng = small(), np.random.default_rng(4)
+    flat = model.weights + rng.standard_normal(len(model.weights)) * 0.3
+    around, ids = rng.integers(0, 41, (4, 30)), rng.integers(0, 40, 30)
+    loss = lambda w: -masked_scoring.log_probabilities(masked_scoring.replace(model, weights=w), around, ids).mean()     # noqa: E731
+    grad = masked_scoring.gradient(model, around, model.class_of[ids], flat, ids)
+    for i in [*rng.integers(0, len(flat), 40), *rng.integers(len(flat) - 120, len(flat), 20)]:
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        assert abs((loss(flat + step) - loss(flat - step)) / 2e-6 - grad[i]) < 1e-6
+    total = sum(np.exp(masked_scoring.log_probabilities(masked_scoring.replace(model, weights=flat), around, np.full(30, b))) for b in range(40))
+    assert np.allclose(total, 1)
+
+
+def test_words_of_one_class_depend_on_their_neighbours(spark):
+    docs = spark.createDataFrame([(i, "a b " * 50 if i % 2 else "c d " * 50) for i in range(60)], "doc_id long, text string").repartition(2)
+    model = masked_scoring.fit(docs, buckets=64, classes=1, batch=256)
+    frame = spark.createDataFrame([(1, "a b a b a b"), (2, "a d a d a d")], "doc_id long, text string")
+    good, bad = (r["mean_log_prob"] for r in masked_scoring.score(frame, model).orderBy("doc_id").collect())
+    assert good > bad + 0.5
+
+
 # nearest neighbours
 
 def exact(rows, k):
