@@ -15,12 +15,15 @@ from metricloom.llm.shared import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language (null, or no letter); a missing ``lang`` becomes the predicted one."""
+    """Reject documents without a language (null, or no letter); a missing ``lang`` becomes the predicted one.
+
+    Where no row has a label but null or 'und', nothing can be learned: the others are kept, their ``lang`` as it is.
+    """
     labelled = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     model = language_id.fit(labelled)
     other = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-    found = language_id.identify(docs.select("text", other.alias("rest")), model)
-    kept = found.where("rest.doc_id is not null and lang_pred <> 'und'")
+    found = language_id.identify(docs.select("text", other.alias("rest")), model, unnamed=None)
+    kept = found.where("rest.doc_id is not null and (lang_pred is null or lang_pred <> 'und')")
     own = {"text": F.col("text"), "lang": F.coalesce(F.col("rest.lang"), F.col("lang_pred")) if "lang" in docs.columns else None}
     return kept.select(*[own[c].alias(c) if c in own else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 

@@ -122,10 +122,10 @@ def _judge(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return shares.argmax(axis=1), np.where(n > 0, np.clip(shares.max(axis=1), 0.0, 1.0), 0.0)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", unnamed: str | None = "und") -> DataFrame:
     """Documents with ``lang_pred`` (string) and ``score`` (the corrected share of 4-grams the language holds, 0 to 1).
 
-    Columns that had these names are replaced.
+    Columns that had these names are replaced. Texts with letters are ``unnamed`` if the model has no languages.
     """
     def predict(batch):
         column = batch.column(text_col)
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             for row, b, s in zip(range(low, high), best, score):
                 letters = plain[row] or any(map(str.isalpha, bytes(data[offsets[row]:offsets[row + 1]]).decode()))
                 known = letters and model.languages
-                langs.append(model.languages[b] if known else "und")
+                langs.append(model.languages[b] if known else unnamed if letters else "und")
                 scores.append(float(s) if known else 0.0)
         return batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 

@@ -59,3 +59,13 @@ def test_empty_documents(spark, folder, tmp_path):
     pq.write_table(empty, tmp_path / "documents.parquet")
     pq.write_table(pq.read_table(f"{path}/benchmark.parquet"), tmp_path / "benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("lang", [None, "und", "missing"])
+def test_language_stage_without_labels_rejects_only_texts_without_letters(spark, lang):
+    rows = [(1, "some words", lang), (2, None, lang), (3, "", lang), (4, "12 ?!", lang), (5, "é", lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.drop("lang") if lang == "missing" else docs
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [r[:len(docs.columns)] for r in rows if r[0] in (1, 5)]
