@@ -1,9 +1,13 @@
 import random
+import time
 
 import brute
 import numpy as np
+import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
+from metricloom.llm import components as steps
 from metricloom.llm import superminhash
 from metricloom.llm.components import components
 
@@ -105,3 +109,31 @@ def test_components(spark):
     frame = spark.createDataFrame(links, "a long, b long")
     assert dict(map(tuple, components(frame).collect())) == {x: root(x) for x in list(parent)}
     assert components(frame.filter("a = b")).collect() == []
+
+
+@pytest.mark.parametrize("links, most", [
+    ([(i, i + 1) for i in range(60)], 12),
+    ([(i, i + 1) for i in range(100_000)], 18),
+    ([(5, 9), (9, 1), (1, 7), (7, 4), (4, 8), (8, 2), (2, 6), (6, 3)], 20)], ids=["short chain", "long chain", "valleys"])
+def test_rounds_of_components_grow_with_the_logarithm(spark, monkeypatch, links, most):
+    times, real = [], steps.stored
+
+    def counted(df, name):
+        start = time.time()
+        out = real(df, name)
+        times.append(time.time() - start)
+        return out
+    monkeypatch.setattr(steps, "stored", counted)
+    found = steps.components(spark.createDataFrame(links, "a long, b long"))
+    assert found.agg(F.min("component"), F.max("component"), F.count("*")).first() == (min(min(x) for x in links), min(min(x) for x in links), len({n for x in links for n in x}))
+    assert len(times) <= most
+    assert max(times[-3:]) < 5 + 3 * times[0]
+
+
+def test_components_of_random_trees(spark):
+    rnd = random.Random(7)
+    names = rnd.sample(range(10**12), 3000)
+    links = [(names[i], names[max(0, i - rnd.randrange(1, 4))]) for i in range(1, 1500)] + [(names[i], names[i - 1]) for i in range(1501, 3000)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert set(got.values()) == {min(names[:1500]), min(names[1500:])}
+    assert {got[n] for n in names[:1500]} == {min(names[:1500])}
