@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import (
-    decontaminate, digests, hnsw, language_id, masked_scoring, seed_extend, sql, suffix_repeats, superminhash, token_counts, token_files, word_table_bpe,
+    decontaminate, digests, hnsw, language_id, masked_scoring, merkle, quality_rules, seed_extend, sql, suffix_repeats, superminhash, token_counts, token_files,
+    word_table_bpe,
 )
-from metricloom.llm.shared import shared_folder, table
+from metricloom.llm.shared import shared_folder, stored, table
 
 QUERIES = {}
 SQL = {"op3_common_prefix_intervals": sql.REPEATED_BYTES, "op5_superminhash": sql.NEAR_DUPLICATES,
-       "op6_suffix_automaton_decontamination": sql.CONTAMINATION, "op9_seed_and_extend": sql.REPEATED_WORDS}
+       "op6_suffix_automaton_decontamination": sql.CONTAMINATION, "op9_seed_and_extend": sql.REPEATED_WORDS, "op12_merkle_manifest": sql.MERKLE,
+       "op13_rule_bitmask_ledger": sql.QUALITY}
 
 
 def query(run):
@@ -103,3 +105,22 @@ def op10_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded under the word vocabulary."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return digests.of_tokens(word_table_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, half of them folded from a text that has lost its line ends."""
+    docs, names = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    columns = [F.col(c) for c in names]
+    cut_text = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in names]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(*cut_text))
+    found = merkle.verified(merkle.manifest(docs, merkle.leaf(*columns), "source", "doc_id", tampered))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op13_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts of every document: the stored ledger, judged by the base rules and the newest policy."""
+    rows = stored(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    base, newest = quality_rules.failed_any(quality_rules.BASE), quality_rules.failed_any(quality_rules.POLICIES[-1])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~newest).alias("kept"), "failed")
