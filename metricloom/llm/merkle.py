@@ -5,9 +5,9 @@ consecutive ones each, the last run shorter; a level of one node ends the tree.
 the groups, are the leaves of the tree whose root stands for the dataset.
 
 Leaves are sorted and written once, by group, id and digest, and get their place from the rows before them (one number
-for each range and group). ``HEIGHT`` levels of the tree are a block: an aligned subtree that one task builds, whatever
+for each range and group). ``height`` levels of the tree are a block: an aligned subtree that one task builds, whatever
 group it belongs to. The roots of all blocks are the leaves of the next tree, which is cut into blocks alike, until every
-group has one block; so no task holds more than a block, and what a round works on is 1 / FANOUT^HEIGHT of the last one.
+group has one block; so no task holds more than a block, and what a round works on is 1 / FANOUT^height of the last one.
 
 Inside a block the digests lie in van Emde Boas order: the upper half of the levels first, then each subtree below it,
 every one of them cut again the same way. ``addresses`` computes the place of every node; building and the search for
@@ -133,15 +133,15 @@ def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 _BLOCK = "tree long, block long, n int, total long, digest binary, nodes binary, {payload}"
 
 
-def _blocks(nodes: DataFrame, payload: dict[str, pa.DataType]) -> DataFrame:
+def _blocks(nodes: DataFrame, payload: dict[str, pa.DataType], height: int) -> DataFrame:
     """Blocks of ``tree, place, total, digest`` (binary) and further columns, kept packed: one row for each aligned subtree."""
-    width = FANOUT ** HEIGHT
+    width = FANOUT ** height
 
     def build(key, table):
         table = table.sort_by("place")
         digests = np.frombuffer(b"".join(table.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
         block, total = Block.of(digests), table.column("total")[0].as_py()
-        above = HEIGHT - len(block.sizes) + 1 if total > width else 0
+        above = len(_stem(block, total, height)) // 2
         root = _lone(block.level(len(block.sizes) - 1)[0].tobytes(), above)
         row = [[key[0].as_py()], [key[1].as_py()], [len(digests)], [total], [root], [block.data.tobytes()], *[[table.column(c).to_pylist()] for c in payload]]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *map(pa.list_, payload.values())]
@@ -153,22 +153,22 @@ def _blocks(nodes: DataFrame, payload: dict[str, pa.DataType]) -> DataFrame:
     return stored(dealt.select("tree", "block", "place", "total", "digest", *payload).groupBy("tree", "block").applyInArrow(build, schema), "blocks")
 
 
-def _paths(blocks: DataFrame) -> DataFrame:
+def _paths(blocks: DataFrame, height: int) -> DataFrame:
     """``tree, block, path`` (binary) and ``root``: what leads from every block of a tree to the tree's root."""
-    width = FANOUT ** HEIGHT
+    width = FANOUT ** height
     single = blocks.where(f"total <= {width}").select("tree", "block", F.lit(b"").alias("path"), F.col("digest").alias("root"))
     several = blocks.where(f"total > {width}")
     if several.isEmpty():
         return single
     roots = several.select("tree", F.col("block").alias("place"), F.ceil(F.col("total") / F.lit(width)).cast("long").alias("total"), "digest")
-    up = climbed(_blocks(roots, {}))
+    up = climbed(_blocks(roots, {}, height), height)
     return single.union(up.select("tree", F.col("place").alias("block"), "path", "root"))
 
 
-def climbed(blocks: DataFrame) -> DataFrame:
+def climbed(blocks: DataFrame, height: int) -> DataFrame:
     """``tree, place, path, root`` for every leaf of the blocks: a path is, level by level, a byte for the size of the
     run, one for the slot in it, and the siblings' digests, left to right."""
-    joined = blocks.join(_paths(blocks).withColumnsRenamed({"path": "up", "root": "top"}), ["tree", "block"])
+    joined = blocks.join(_paths(blocks, height).withColumnsRenamed({"path": "up", "root": "top"}), ["tree", "block"])
 
     def work(batch):
         out = {"tree": [], "place": [], "path": [], "root": []}
@@ -181,18 +181,18 @@ def climbed(blocks: DataFrame) -> DataFrame:
                     first = own - own % FANOUT
                     run = range(first, min(first + FANOUT, len(nodes)))
                     path.append(bytes((len(run), own - first)) + b"".join(nodes[k].tobytes() for k in run if k != own))
-            tail = _stem(block, row["total"]) + row["up"]
+            tail = _stem(block, row["total"], height) + row["up"]
             out["tree"] += [row["tree"]] * block.n
-            out["place"] += [row["block"] * FANOUT ** HEIGHT + i for i in range(block.n)]
+            out["place"] += [row["block"] * FANOUT ** height + i for i in range(block.n)]
             out["path"] += [b"".join(p) + tail for p in paths]
             out["root"] += [row["top"]] * block.n
         return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], list(out))
     return cut(map_batches(joined.select("tree", "block", "n", "total", "nodes", "up", "top"), work, "tree long, place long, path binary, root binary", rows=64))
 
 
-def _stem(block: Block, total: int) -> bytes:
+def _stem(block: Block, total: int, height: int) -> bytes:
     """The steps of the lone nodes between a block's top and the height of a full block, if the tree has several."""
-    return bytes((1, 0)) * (HEIGHT - len(block.sizes) + 1 if total > FANOUT ** HEIGHT else 0)
+    return bytes((1, 0)) * (height - len(block.sizes) + 1 if total > FANOUT ** height else 0)
 
 
 def steps(path: bytes) -> list[tuple[int, int, bytes]]:
@@ -212,25 +212,25 @@ def fold(digest: bytes, path: bytes) -> bytes:
     return digest
 
 
-def manifest(rows: DataFrame, digest: Column, by: str, id_col: str, claim: Column | None = None) -> DataFrame:
+def manifest(rows: DataFrame, digest: Column, by: str, id_col: str, claim: Column | None = None, height: int = HEIGHT) -> DataFrame:
     """Blocks of all rows with what leads from them to the root of the dataset; a stored table.
 
     ``tree`` (place of the group in the order of groups), ``block, n, total, digest, nodes`` (van Emde Boas order), ``ids``
     and ``claims`` (packed by place; a claim is a digest that :func:`verified` folds in place of the leaf, null: the leaf),
-    ``up`` (path from the block's root to the dataset's), ``subroot`` and ``root``.
+    ``up`` (path from the block's root to the dataset's), ``subroot``, ``root`` and ``height`` (levels of a full block).
     """
     claim = F.lit(None).cast("string") if claim is None else claim
     leaves = rows.select(F.col(by).cast("string").alias("grp"), F.col(id_col).cast("long").alias("id"), F.unhex(digest).alias("digest"), F.unhex(claim).alias("claim"))
     placed = numbered(leaves, ["grp"], ["id", "digest"])
     groups = cut(numbered(placed.select("grp").distinct(), [], ["grp"]).select("grp", F.col("place").alias("tree")))
     named = placed.join(groups.withColumnRenamed("grp", "g"), F.col("grp").eqNullSafe(F.col("g"))).drop("g", "grp")
-    blocks = _blocks(named.withColumnsRenamed({"id": "ids", "claim": "claims"}), {"ids": pa.int64(), "claims": pa.binary()})
-    inside = cut(_paths(blocks))
+    blocks = _blocks(named.withColumnsRenamed({"id": "ids", "claim": "claims"}), {"ids": pa.int64(), "claims": pa.binary()}, height)
+    inside = cut(_paths(blocks, height))
     subroots = inside.where("block = 0").select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("root").alias("digest"))
-    counted = subroots.crossJoin(subroots.agg(F.count("*").alias("total")))         # one row
-    over = climbed(_blocks(counted, {})).select(F.col("place").alias("tree"), F.col("path").alias("over"), F.col("root").alias("whole"))
+    counted = subroots.withColumn("total", F.lit(groups.count()).cast("long"))
+    over = climbed(_blocks(counted, {}, height), height).select(F.col("place").alias("tree"), F.col("path").alias("over"), F.col("root").alias("whole"))
     ways = inside.withColumnRenamed("root", "subroot").join(over, "tree").select("tree", "block", "subroot", F.concat("path", "over").alias("up"), F.col("whole").alias("root"))
-    return stored(blocks.join(ways, ["tree", "block"]), "manifest")
+    return stored(blocks.join(ways, ["tree", "block"]).withColumn("height", F.lit(height)), "manifest")
 
 
 def verified(blocks: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def verified(blocks: DataFrame) -> DataFrame:
         out = {c: [] for c in ("id", "leaf", "subroot", "root", "proof_sha256", "folded_root")}
         for row in batch.to_pylist():
             block = Block(row["n"], np.frombuffer(row["nodes"], np.uint8).reshape(-1, 32))
-            n, up = block.n, _stem(block, row["total"]) + row["up"]
+            n, up = block.n, _stem(block, row["total"], row["height"]) + row["up"]
             leaves = block.level(0)
             folded = leaves.copy()
             for i, claim in enumerate(row["claims"]):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import (
-    decontaminate, digests, hnsw, language_id, masked_scoring, merkle, quality_rules, seed_extend, sql, suffix_repeats, superminhash, token_counts, token_files,
+    alignment, decontaminate, digests, hnsw, language_id, masked_scoring, merkle, quality_rules, seed_extend, sql, suffix_repeats, superminhash, token_counts, token_files,
     word_table_bpe,
 )
 from metricloom.llm.shared import shared_folder, stored, table
@@ -107,6 +107,13 @@ def op10_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.of_tokens(word_table_bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+@query
+def op11_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the byte-level and the piece vocabulary, aligned; links are tokens that end together."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), *paths, links="end", digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, half of them folded from a text that has lost its line ends."""
