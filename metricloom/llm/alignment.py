@@ -18,16 +18,16 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from metricloom.llm.pretokens import byte_letters
-from metricloom.llm.shared import map_batches, stored, texts
+from metricloom.llm.pretokens import Encoder, byte_letters
+from metricloom.llm.shared import stored, texts
 from metricloom.llm.textarrays import slices, utf8
 
 _CHUNK = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, "
@@ -38,13 +38,12 @@ class Sides:
     """Both vocabularies: encoders, and the bytes and lengths of every id."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.a = Encoder(path_a, words=False)
+        self.a.special = {}                             # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = {letter: byte for byte, letter in byte_letters().items()}
-        pieces = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
+        own = self.a.tokenizer
+        pieces = [own.id_to_token(i) or "" for i in range(own.get_vocab_size(with_added_tokens=True))]
         self.bytes_a = [bytes(back[c] for c in p) if all(c in back for c in p) else p.encode() for p in pieces]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
@@ -63,16 +62,17 @@ def sides(path_a: str, path_b: str) -> Sides:
 
 def intervals(both: Sides, rows: list[str]) -> tuple[np.ndarray, ...]:
     """Ids of all texts and their offsets, A and then B; texts that a side doesn't give back have none."""
-    encoded = [e.ids for e in both.a.encode_batch_fast([" " + t for t in rows], add_special_tokens=False)]
-    other = both.b.encode(rows, out_type=int, num_threads=1)
-    for i, text in enumerate(rows):
+    ids_a, offsets_a = both.a.ids([" " + t for t in rows])
+    listed, other = ids_a.tolist(), both.b.encode(rows, out_type=int, num_threads=1)
+    good = np.ones(len(rows), bool)
+    for i, (text, low, high) in enumerate(zip(rows, offsets_a[:-1].tolist(), offsets_a[1:].tolist())):
         want = b" " + text.encode()
-        if not text or b"".join(map(both.bytes_a.__getitem__, encoded[i])) != want or b"".join(map(both.bytes_b.__getitem__, other[i])) != want:
-            encoded[i] = other[i] = []
-    out = []
-    for ids in (encoded, other):
-        out += [np.array([x for own in ids for x in own], np.int64), np.concatenate(([0], np.cumsum([len(own) for own in ids]))).astype(np.int64)]
-    return tuple(out)
+        if not text or b"".join(map(both.bytes_b.__getitem__, other[i])) != want or b"".join(map(both.bytes_a.__getitem__, listed[low:high])) != want:
+            good[i], other[i] = False, []
+    sizes = np.diff(offsets_a)
+    ids_b = np.fromiter(chain.from_iterable(other), np.int64, sum(map(len, other)))
+    borders = [np.concatenate(([0], np.cumsum(n))).astype(np.int64) for n in (sizes * good, [len(own) for own in other])]
+    return ids_a[np.repeat(good, sizes)], borders[0], ids_b, borders[1]
 
 
 def coalesced(start_a, end_a, start_b, end_b) -> tuple[np.ndarray, np.ndarray]:
