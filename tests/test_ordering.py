@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.operators.attach import with_group_totals, with_scalars, with_share
-from metricloom.operators.ordering import arg_max, order_by, running_counts, top_k, top_n_per_group, with_ordinal, with_previous
+from metricloom.operators.ordering import (
+    _ranged, arg_max, order_by, range_count, running_counts, top_k, top_n_per_group, with_ordinal, with_position, with_previous,
+)
 
 
 def events(spark):
@@ -15,53 +17,80 @@ def events(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5)
 
 
-HEAVY = [50, 1000, 10**6]       # every user, only the hot one, none is heavy
+RANGES = [1, 4, 37]
 
 
-@pytest.mark.parametrize("heavy_rows", HEAVY)
-@pytest.mark.parametrize("by_day", [True, False])
-def test_ordinal_of_a_hot_user(spark, by_day, heavy_rows):
-    slice_ = F.to_date("ts") if by_day else None
+@pytest.mark.parametrize("ranges", RANGES)
+def test_ordinal_of_a_hot_user(spark, ranges):
     pdf, df = events(spark)
     want = pdf.sort_values(["u", "ts", "id"]).groupby("u").cumcount() + 1
-    got = with_ordinal(df, "u", ["ts", "id"], "n", slice_=slice_, buckets=16, heavy_rows=heavy_rows).toPandas().set_index("id").n
+    got = with_ordinal(df, "u", ["ts", "id"], "n", ranges=ranges).toPandas().set_index("id").n
     assert (got.sort_index() == want.sort_index()).all()
 
 
-@pytest.mark.parametrize("heavy_rows", HEAVY)
-@pytest.mark.parametrize("by_day", [True, False])
-def test_previous_row_crosses_slices(spark, by_day, heavy_rows):
-    slice_ = F.to_date("ts") if by_day else None
+@pytest.mark.parametrize("ranges", RANGES)
+def test_previous_row_crosses_ranges(spark, ranges):
     pdf, df = events(spark)
     want = pdf.sort_values(["u", "ts", "id"]).groupby("u").id.shift()
-    got = with_previous(df, "u", ["ts", "id"], "id", "prev", slice_=slice_, buckets=16, heavy_rows=heavy_rows).toPandas().set_index("id").prev
+    got = with_previous(df, "u", ["ts", "id"], "id", "prev", ranges=ranges).toPandas().set_index("id").prev
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
-def test_default_slices_bound_the_share_of_a_hot_key(spark):
-    """Nine tenths of the rows are one user within one hour; no (user, slice) group holds more than a few percent."""
-    df = spark.range(10_000).select(F.when(F.col("id") < 9000, 0).otherwise(F.col("id")).alias("u"),
-                                    F.when(F.col("id") < 9000, F.col("id") / 9000).otherwise(F.col("id")).alias("hour"))
-    from metricloom.operators.ordering import _sliced
-    largest = _sliced(df, ["hour"], None, 64).groupBy("u", "_slice").count().agg(F.max("count")).first()[0]
-    assert largest < 300
+def test_ranges_divide_a_hot_key_and_equal_order_values(spark):
+    """Nine tenths of the rows are one user at one time; no range holds more than a few percent, and places are whole."""
+    df = spark.range(10_000, numPartitions=4).select("id", F.when(F.col("id") < 9000, 0).otherwise(F.col("id")).alias("u"), F.lit(1).alias("t"))
+    held = _ranged(df, "u", ["t"], ranges=32)
+    assert held.groupBy("_part").count().agg(F.max("count")).first()[0] < 900
+    got = with_ordinal(df, "u", ["t"], "n", ranges=32).where("u = 0").agg(F.count("n"), F.countDistinct("n"), F.max("n"), F.min("n")).first()
+    assert tuple(got) == (9000, 9000, 9000, 1)
 
 
-def test_null_key_keeps_its_rows(spark):
+def test_one_shuffle_of_the_rows(spark):
+    """What is left of the plan reads the written ranges; the table is never exchanged again."""
+    df = spark.range(1000).withColumn("u", F.col("id") % 7)
+    for out in (with_ordinal(df, "u", ["id"], "n"), with_previous(df, "u", ["id"], "id", "p"), running_counts(df, "id", ["u"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "RangePartitioning" not in plan and "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_more_files_make_more_ranges(spark, tmp_path):
+    spark.range(200_000).withColumn("x", F.rand(1)).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    few, many = range_count(df, 1 << 20), range_count(df.filter("id > 5").groupBy("id").agg(F.sum("x")), 1 << 14)
+    assert few == 4 and many > 50
+    assert range_count(spark.range(5)) == 4
+
+
+@pytest.mark.parametrize("ranges", RANGES)
+def test_null_and_nan_keys_keep_their_rows(spark, ranges):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "u string, t int")
-    for heavy_rows in (1, 10):
-        assert sorted(r.n for r in with_ordinal(df, "u", ["t"], "n", slice_=F.col("t"), heavy_rows=heavy_rows).collect()) == [1, 1, 2]
+    assert sorted(r.n for r in with_ordinal(df, "u", ["t"], "n", ranges=ranges).collect()) == [1, 1, 2]
+    df = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (0.0, 3), (-0.0, 4), (None, 5), (None, 6)], "u double, t int")
+    assert {r.t: r.n for r in with_ordinal(df, "u", ["t"], "n", ranges=ranges).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1, 6: 2}
+    assert {r.t: r.p for r in with_previous(df, "u", ["t"], "t", "p", ranges=ranges).collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: 5}
+    assert with_ordinal(df.limit(0), "u", ["t"], "n").collect() == []
 
 
-def test_running_counts_over_many_ranges(spark):
+@pytest.mark.parametrize("ranges", RANGES)
+def test_running_counts_over_many_ranges(spark, ranges):
     rng = np.random.default_rng(3)
     values = np.unique(np.round(rng.normal(size=3000), 3))
     pdf = pd.DataFrame({"x": values, "a": rng.integers(0, 5, len(values)), "b": rng.integers(0, 5, len(values))})
-    got = running_counts(spark.createDataFrame(pdf).repartition(4), "x", ["a", "b"], buckets=16).toPandas().sort_values("x")
+    got = running_counts(spark.createDataFrame(pdf).repartition(4), "x", ["a", "b"], ranges=ranges).toPandas().sort_values("x")
     assert (got.a_before.values == np.concatenate([[0], pdf.a.cumsum().values[:-1]])).all()
     assert (got.b_before.values == np.concatenate([[0], pdf.b.cumsum().values[:-1]])).all()
 
 
+def test_positions_stay_when_the_cache_is_dropped(spark):
+    df = spark.range(5000, numPartitions=6).withColumn("x", F.col("id") % 3)
+    placed = with_position(order_by(df, "x"))
+    first = {r.id: r.position for r in placed.collect()}
+    spark.catalog.clearCache()
+    assert {r.id: r.position for r in placed.collect()} == first
+    assert sorted(first.values()) == list(range(1, 5001))
+    assert all(first[i] <= 1667 for i in first if i % 3 == 0)
+
+
 def test_top_lists_put_null_last(spark, rows):
     df = spark.createDataFrame([("a", None), ("b", 2), ("c", 5), ("d", 5)], "k string, n int")
     assert [r.k for r in top_k(df, 2, "-n", "k").collect()] == ["c", "d"]
@@ -101,13 +130,3 @@ def test_no_raw_rows_in_a_global_window(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
     plan = with_share(df, "v", "s")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-
-
-def test_ranges_match_a_linear_search(spark):
-    from metricloom.operators.ordering import _with_range
-    df = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 2, 3, 5, 8, 13, 21, 34, 34, 55] * 5] + [(None,)], "v double")
-    cuts = df.agg(F.percentile_approx("v", [i / 8 for i in range(1, 8)], 80)).first()[0]
-    for r in _with_range(df, "v", 8, "b").collect():
-        assert r.b == (0 if r.v is None else sum(c < r.v for c in cuts))
-    with pytest.raises(ValueError):
-        _with_range(df, "v", 10, "b")
