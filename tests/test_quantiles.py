@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from metricloom.operators import quantiles as quantile_module
 from metricloom.operators.aggregates import describe
 from metricloom.operators.quantiles import quantile_table, quantiles
 
@@ -118,3 +119,16 @@ def test_bracket_pass_keeps_only_a_slice_of_the_rows(spark):
     assert "percentile_cont" not in plan and "collect" not in plan
     values = np.sort(df.toPandas().v.values)
     assert q.first()["m"] == pytest.approx(np.median(values), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 9_999, 10_001, 1_000_000])
+def test_cells_of_a_group_stay_few(spark, n, monkeypatch):
+    """What the last window orders hardly grows with a group of different values, and small groups are narrowed alike."""
+    seen = []
+    real = quantile_module._pick
+    monkeypatch.setattr(quantile_module, "_pick", lambda cells, *rest: seen.append(cells.groupBy("g", "_n").count().agg(F.max("count")).first()[0]) or real(cells, *rest))
+    df = spark.range(n).select(F.lit("a").alias("g"), F.xxhash64("id").cast("double").alias("v"))
+    got = quantiles(df, "v", PROBS, ["g"]).first()
+    values = df.toPandas().v.values
+    assert [got[name] for name in PROBS] == pytest.approx([np.quantile(values, p) for p in PROBS.values()], rel=1e-12)
+    assert seen[0] <= min(n, 150)
