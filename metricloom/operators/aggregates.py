@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.numbers import ratio
-from metricloom.operators.attach import null_safe_join, with_share
+from metricloom.operators.attach import null_safe_join, with_scalars, with_share
 from metricloom.operators.cleaning import drop_missing
 from metricloom.operators.quantiles import quantiles
 
@@ -57,10 +57,10 @@ def distinct_counts(df: DataFrame, by, columns, rsd: float | None = None) -> Dat
     by = list(by)
     if rsd is not None:
         return df.groupBy(*by).agg(*[F.approx_count_distinct(c, rsd).alias(f"n_{c}") for c in columns])
-    parts = [df.groupBy(*by).agg(F.count_distinct(c).alias(f"n_{c}")) for c in columns]
+    parts = [df.select(*by, c).distinct().groupBy(*by).agg(F.count(c).alias(f"n_{c}")) for c in columns]
     out = parts[0]
     for p in parts[1:]:
-        out = null_safe_join(out, p, by)
+        out = null_safe_join(out, p, by) if by else with_scalars(out, p)
     return out
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from metricloom.operators.attach import null_safe_join, with_scalars
 from metricloom.operators.ordering import arg_max
@@ -73,18 +74,26 @@ def fill_with_group_mean(df: DataFrame, column: str, by) -> DataFrame:
 
 
 def keep_one(df: DataFrame, subset, order, keep: str = "first") -> DataFrame:
-    """One row per distinct ``subset``: the first or last in an explicit order.
+    """One row per distinct ``subset``: the first or last in an explicit order; NULL is the least value.
 
-    A minimum over (order, whole row) rather than a numbered sort, so copies collapse before
-    the shuffle and a value with very many copies never meets in one task. Columns not in
-    the order break remaining ties.
+    Two phases. The best value of the leading order column, a number or a time, is a hash aggregate that combines
+    map-side; a semi join leaves the rows that have it, one for most keys. Only these are put in order, by the rest of
+    the order and then the other columns, and every map task passes on one row of a key: a value with very many
+    copies never meets in one task. A leading column of another type is ordered in the second phase.
     """
     subset, order = list(subset), list(order)
-    rest = [c for c in df.columns if c not in subset and c not in order]
-    packed = F.struct(*order, *rest, *subset)
-    pick = F.min(packed) if keep == "first" else F.max(packed)
-    return df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in subset]).agg(pick.alias("_row")).select(
-        *[F.col(f"_row.{c}").alias(c) for c in df.columns])
+    lead, rows = order[0], df
+    fixed = (NumericType, DateType, TimestampType, TimestampNTZType, BooleanType)
+    if isinstance(df.schema[lead].dataType, fixed):
+        best = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in subset]).agg(
+            (F.min(lead) if keep == "first" else F.max(lead)).alias("_best"), F.bool_or(F.col(lead).isNull()).alias("_null"))
+        best = best.withColumn("_best", F.when(~F.col("_null"), F.col("_best"))).drop("_null") if keep == "first" else best.drop("_null")
+        same = [df[c].eqNullSafe(best[f"_k_{c}"]) for c in subset] + [df[lead].eqNullSafe(best["_best"])]
+        rows = df.join(best, reduce(lambda x, y: x & y, same), "left_semi")
+    rest = [*order, *[c for c in df.columns if c not in subset and c not in order], *subset]
+    columns = [F.asc_nulls_first(c) if keep == "first" else F.desc_nulls_last(c) for c in rest]
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*subset).orderBy(*columns)))
+    return ranked.filter("_rn = 1").drop("_rn")
 
 
 def merge_near_duplicates(df: DataFrame, key, measures) -> DataFrame:

@@ -77,7 +77,8 @@ def blank_outliers(df: DataFrame, value: str, by, **fences) -> DataFrame:
     return flagged.withColumn(value, F.when(~F.col("_out"), F.col(value))).select(*df.columns)
 
 
-def keep_large_groups(df: DataFrame, key: str, total: Column, at_least) -> DataFrame:
-    """Rows of the keys whose total reaches a minimum."""
-    keys = df.groupBy(key).agg(total.alias("_t")).filter(F.col("_t") >= at_least).select(key)
-    return df.join(keys, key, "left_semi")
+def keep_large_groups(df: DataFrame, key: str, total: Column, at_least=None, share: float | None = None) -> DataFrame:
+    """Rows of the keys whose total (a sum or count) reaches a minimum, or a share of all keys' totals."""
+    keys = df.groupBy(key).agg(total.alias("_t"))
+    least = F.lit(at_least) if share is None else keys.agg(F.sum("_t")).scalar() * F.lit(share)
+    return df.join(keys.filter(F.col("_t") >= least).select(key), key, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.arrays import as_column
 from metricloom.functions.dates import within_days
 from metricloom.functions.numbers import ratio
-from metricloom.operators.attach import with_group_totals, with_share, with_shares
+from metricloom.operators.attach import null_safe_join, with_share, with_shares
 
 
 def bands(col, edges, labels, include_top: bool = True) -> Column:
@@ -38,18 +38,21 @@ def span_group(first, last, rounds) -> Column:
             .when(within_days(l, f, 365), "up to a year").otherwise("over a year"))
 
 
-def size_class(count, mass_over: int = 120, mid_from: int = 35) -> Column:
-    """Class of a population count: mass above one bound, mid from the other, else niche."""
-    c = as_column(count)
-    return F.when(c > mass_over, "mass").when(c >= mid_from, "mid").otherwise("niche")
+def size_class(count, mass_over: float = 120, mid_from: float = 35, of: Column | None = None) -> Column:
+    """Class of a population count: mass above one bound, mid from the other, else niche. With ``of``, a total, the bounds
+    are shares of it."""
+    c, total = as_column(count), F.lit(1) if of is None else of
+    return F.when(c > total * F.lit(mass_over), "mass").when(c >= total * F.lit(mid_from), "mid").otherwise("niche")
 
 
-def with_size_class(df: DataFrame, key: str, mass_over: int = 120, mid_from: int = 35) -> DataFrame:
-    """Rows with the population of their key and its class; a NULL key has neither."""
-    out = with_group_totals(df, [key], key_count=F.count(key))
+def with_size_class(df: DataFrame, key: str, mass_over: float = 120, mid_from: float = 35, shares: bool = False) -> DataFrame:
+    """Rows with the population of their key and its class; a NULL key has neither. With ``shares`` the bounds are shares
+    of the rows with a key, so classes mean the same at every size of the table."""
+    counts = df.groupBy(key).agg(F.count(key).alias("key_count"))
+    total = counts.agg(F.sum("key_count")).scalar() if shares else None
     known = F.col(key).isNotNull()
-    return (out.withColumn("key_count", F.when(known, F.col("key_count")))
-            .withColumn("size_class", F.when(known, size_class("key_count", mass_over, mid_from))))
+    classed = counts.withColumn("size_class", F.when(known, size_class("key_count", mass_over, mid_from, total)))
+    return null_safe_join(df, classed.withColumn("key_count", F.when(known, F.col("key_count"))), [key])
 
 
 def collapse_small(key: str, cls: str = "size_class") -> Column:
@@ -57,10 +60,11 @@ def collapse_small(key: str, cls: str = "size_class") -> Column:
     return (F.when(F.col(cls) == "mass", F.col(key)).when(F.col(cls) == "mid", "mid").otherwise("niche"))
 
 
-def size_class_summary(df: DataFrame, key: str, mass_over: int = 120, mid_from: int = 35) -> DataFrame:
-    """Per class: number of keys, rows, percent of rows."""
+def size_class_summary(df: DataFrame, key: str, mass_over: float = 120, mid_from: float = 35, shares: bool = False) -> DataFrame:
+    """Per class: number of keys, rows, percent of rows; ``shares`` as in ``with_size_class``."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
-    out = (counts.withColumn("size_class", size_class("_k", mass_over, mid_from)).groupBy("size_class")
+    total = counts.agg(F.sum("_k")).scalar() if shares else None
+    out = (counts.withColumn("size_class", size_class("_k", mass_over, mid_from, total)).groupBy("size_class")
            .agg(F.count(F.lit(1)).alias("n_keys"), F.sum("_k").alias("n_rows")))
     return with_share(out, "n_rows", "row_percent", scale=100.0, small=True)     # three classes
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from metricloom.functions.dates import day, month_start, week_start
@@ -10,7 +12,7 @@ from metricloom.operators.aggregates import (
     QUARTILES, column_totals, describe, distinct_counts as count_distinct_values, drill_down, period_rollup, summarise, value_counts,
     with_empty_groups,
 )
-from metricloom.operators.attach import with_share
+from metricloom.operators.attach import null_safe_join, with_share
 from metricloom.operators.cleaning import group_mode
 from metricloom.operators.ordering import arg_max
 from metricloom.operators.quantiles import quantiles
@@ -45,9 +47,18 @@ def distinct_counts(t):
     return out.withColumnsRenamed({"n_user_id": "users", "n_day": "days"})
 
 
-@query("AGG4")
+def _near(column: str) -> str:
+    return f"abs(approx_count_distinct({column}) - count(DISTINCT {column})) <= 0.2 * count(DISTINCT {column})"
+
+
+@query("AGG4", f"SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events, {_near('user_id')} AND {_near('event_id')} AS near FROM events GROUP BY 1")
 def approximate_distinct_counts(t):
-    return count_distinct_values(t.events, ["event_type"], ["user_id", "event_id"], rsd=0.02)
+    # beside the exact counts: whether the estimates lie within ten standard errors, on either engine
+    keys, columns = ["event_type"], {"user_id": "users", "event_id": "events"}
+    guess = count_distinct_values(t.events, keys, list(columns), rsd=0.02).withColumnsRenamed({f"n_{c}": f"g_{c}" for c in columns})
+    both = null_safe_join(count_distinct_values(t.events, keys, list(columns)), guess, keys)
+    near = reduce(lambda a, b: a & b, [F.abs(F.col(f"g_{c}") - F.col(f"n_{c}")) <= 0.2 * F.col(f"n_{c}") for c in columns])
+    return both.select(*keys, *[F.col(f"n_{c}").alias(n) for c, n in columns.items()], near.alias("near"))
 
 
 @query("AGG5", """SELECT ts::DATE AS d, count(*) FILTER (WHERE event_type = 'error') AS errors,
@@ -99,9 +110,17 @@ def median_of_few_values(t):
     return q.withColumn("median", F.round("median", 6))
 
 
-@query("AGG10")
+_GUESSES = ", ".join(f"approx_quantile(l_extendedprice, {p}) AS {c}" for c, p in QUARTILES.items())
+_NEAR = " AND ".join(f"abs(count(*) FILTER (WHERE l_extendedprice <= {c})::DOUBLE / count(*) - {p}) <= 0.02" for c, p in QUARTILES.items())
+
+
+@query("AGG10", f"""WITH g AS (SELECT l_returnflag, {_GUESSES} FROM lineitem GROUP BY 1)
+  SELECT l_returnflag, count(*) AS n, {_NEAR} AS near FROM lineitem JOIN g USING (l_returnflag) GROUP BY l_returnflag, {', '.join(QUARTILES)}""")
 def approximate_quantiles(t):
-    return quantiles(t.lineitem, "l_extendedprice", QUARTILES, ["l_returnflag"], method="approx")
+    # whether the share of rows up to each estimate lies within 0.02 of the share asked for, on either engine
+    rows = null_safe_join(t.lineitem, quantiles(t.lineitem, "l_extendedprice", QUARTILES, ["l_returnflag"], method="approx"), ["l_returnflag"])
+    shares = [F.abs(F.count_if(F.col("l_extendedprice") <= F.col(c)) / F.count("*") - p) <= 0.02 for c, p in QUARTILES.items()]
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), reduce(lambda a, b: a & b, shares).alias("near"))
 
 
 @query("AGG11", """SELECT event_type, round(stddev_samp(value), 6) AS std, round(var_samp(value), 6) AS variance FROM events GROUP BY 1""")

@@ -85,9 +85,10 @@ def filter_not_zero_keeps_unknown(t):
 
 
 @query("FLT10", """SELECT l_suppkey, count(*) AS n_lines FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem
-  GROUP BY 1 HAVING sum(l_quantity) >= 15500) GROUP BY 1""")
+  GROUP BY 1 HAVING sum(l_quantity) >= (SELECT sum(l_quantity) / count(DISTINCT l_suppkey) FROM lineitem)) GROUP BY 1""")
 def filter_by_computed_keys(t):
-    keys = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")).filter(F.col("q") >= 15500)
+    sold = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    keys = sold.filter(F.col("q") >= sold.agg(F.sum("q") / F.count("l_suppkey")).scalar())      # at least the mean supplier's
     return (t.lineitem.join(keys.select("l_suppkey"), "l_suppkey", "left_semi")
             .groupBy("l_suppkey").agg(F.count("*").alias("n_lines")))
 
@@ -106,17 +107,18 @@ def flag_contains_any(t):
     return t.part.groupBy(contains_any(name, ["red", "blue"]).alias("has_color")).agg(F.count("*").alias("n"))
 
 
-@query("FLT13 SEG4", """WITH s AS (SELECT CASE WHEN n > 82 THEN b WHEN n >= 78 THEN 'mid' ELSE 'niche' END AS market FROM part
+@query("FLT13 SEG4", """WITH s AS (SELECT CASE WHEN n > 0.04::DOUBLE * (SELECT count(p_brand) FROM part) THEN b WHEN n >= 0.039::DOUBLE * (SELECT count(p_brand) FROM part) THEN 'mid' ELSE 'niche' END AS market FROM part
   JOIN (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1) ON p_brand = b)
   SELECT market, count(*) AS n_parts FROM s WHERE market NOT IN ('mid', 'niche') GROUP BY 1""")
 def filter_out_collapsed_groups(t):
     # compared exactly: a substring test would also drop names that merely contain the word
-    p = with_size_class(t.part, "p_brand", mass_over=82, mid_from=78).withColumn("market", collapse_small("p_brand"))
+    p = with_size_class(t.part, "p_brand", mass_over=0.04, mid_from=0.039, shares=True).withColumn("market", collapse_small("p_brand"))
     return p.filter(~F.col("market").isin("mid", "niche")).groupBy("market").agg(F.count("*").alias("n_parts"))
 
 
 @query("FLT14", """SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1
-  HAVING round(sum(l_extendedprice * (1 - l_discount)), 2) > 22000000""")
+  HAVING sum(l_extendedprice * (1 - l_discount)) > (SELECT sum(l_extendedprice * (1 - l_discount)) / count(DISTINCT l_suppkey) FROM lineitem)""")
 def filter_on_aggregate(t):
-    return (t.lineitem.groupBy("l_suppkey").agg(F.round(F.sum(money()), 2).alias("revenue"))
-            .filter(F.col("revenue") > 22_000_000))
+    earned = t.lineitem.groupBy("l_suppkey").agg(F.sum(money()).alias("revenue"))
+    above = earned.filter(F.col("revenue") > earned.agg(F.sum("revenue") / F.count("l_suppkey")).scalar())
+    return above.withColumn("revenue", F.round("revenue", 2))

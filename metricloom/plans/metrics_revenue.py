@@ -129,19 +129,19 @@ def returns_by_type(t):
     return tall.groupBy("measure").agg(F.round(F.sum("amount"), 2).alias("total"), F.count_if(F.col("amount") != 0).alias("non_zero"))
 
 
-@query("MET46 OUT6", """SELECT year(o_orderdate)::INT AS y, round(median(o_totalprice), 6) AS median_size, count(*) AS rounds FROM orders GROUP BY 1 HAVING count(*) >= 50""")
+@query("MET46 OUT6", """SELECT year(o_orderdate)::INT AS y, round(median(o_totalprice), 6) AS median_size, count(*) AS rounds FROM orders GROUP BY 1 HAVING count(*) >= 0.1::DOUBLE * (SELECT count(*) FROM orders)""")
 def yearly_median_and_count(t):
-    o = keep_large_groups(t.orders.withColumn("y", F.year("o_orderdate")), "y", F.count("*"), 50)
+    o = keep_large_groups(t.orders.withColumn("y", F.year("o_orderdate")), "y", F.count("*"), share=0.1)
     med = quantiles(o, "o_totalprice", {"median_size": 0.5}, ["y"])
     return rounded(med.join(o.groupBy("y").agg(F.count("*").alias("rounds")), "y"), "median_size")
 
 
-MARKETS = """SELECT l.*, CASE WHEN n > 82 THEN p_brand WHEN n >= 78 THEN 'mid' ELSE 'niche' END AS market, year(l_shipdate)::INT AS y FROM lineitem l JOIN part ON l_partkey = p_partkey
+MARKETS = """SELECT l.*, CASE WHEN n > 0.04::DOUBLE * (SELECT count(p_brand) FROM part) THEN p_brand WHEN n >= 0.039::DOUBLE * (SELECT count(p_brand) FROM part) THEN 'mid' ELSE 'niche' END AS market, year(l_shipdate)::INT AS y FROM lineitem l JOIN part ON l_partkey = p_partkey
   JOIN (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1) ON p_brand = b"""
 
 
 def markets(t):
-    parts = with_size_class(t.part, "p_brand", 82, 78).withColumn("market", collapse_small("p_brand"))
+    parts = with_size_class(t.part, "p_brand", 0.04, 0.039, shares=True).withColumn("market", collapse_small("p_brand"))
     return t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("y", F.year("l_shipdate"))
 
 

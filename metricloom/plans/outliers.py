@@ -70,10 +70,10 @@ def outliers_blanked(t):
     return outliers.blank_outliers(daily, "x", ["g"]).withColumn("x", F.round("x", 4))
 
 
-@query("OUT6", """SELECT year(l_shipdate)::INT AS y, count(*) AS n FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 220000""")
+@query("OUT6", """SELECT year(l_shipdate)::INT AS y, count(*) AS n FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 0.13::DOUBLE * (SELECT sum(l_quantity) FROM lineitem)""")
 def large_groups_kept(t):
     li = t.lineitem.select(F.year("l_shipdate").alias("y"), "l_quantity")
-    return outliers.keep_large_groups(li, "y", F.sum("l_quantity"), 220_000).groupBy("y").agg(F.count("*").alias("n"))
+    return outliers.keep_large_groups(li, "y", F.sum("l_quantity"), share=0.13).groupBy("y").agg(F.count("*").alias("n"))
 
 
 @query("SEG1 AGG18", """SELECT band, coalesce(n, 0) AS n FROM (VALUES ('low'), ('middle'), ('high'), ('extra')) d(band) LEFT JOIN (SELECT CASE WHEN p_size >= 1 AND p_size < 10 THEN 'low'
@@ -106,18 +106,18 @@ def span_groups(t):
     return companies(t).groupBy(segments.span_group("a", "b", "n").alias("span")).agg(F.count("*").alias("companies"))
 
 
-@query("SEG3", """SELECT p_partkey, p_brand, n AS key_count, CASE WHEN n > 82 THEN 'mass' WHEN n >= 78 THEN 'mid' WHEN n IS NOT NULL THEN 'niche' END AS size_class
+@query("SEG3", """SELECT p_partkey, p_brand, n AS key_count, CASE WHEN n > 0.04::DOUBLE * (SELECT count(nullif(p_brand, 'Brand#4')) FROM part) THEN 'mass' WHEN n >= 0.039::DOUBLE * (SELECT count(nullif(p_brand, 'Brand#4')) FROM part) THEN 'mid' WHEN n IS NOT NULL THEN 'niche' END AS size_class
   FROM (SELECT p_partkey, nullif(p_brand, 'Brand#4') AS p_brand FROM part) p LEFT JOIN (SELECT nullif(p_brand, 'Brand#4') AS b, count(*) AS n FROM part GROUP BY 1) ON b = p.p_brand""")
 def segment_by_population(t):
     p = t.part.select("p_partkey", F.nullif(F.col("p_brand"), F.lit("Brand#4")).alias("p_brand"))
-    return segments.with_size_class(p, "p_brand", mass_over=82, mid_from=78)
+    return segments.with_size_class(p, "p_brand", mass_over=0.04, mid_from=0.039, shares=True)
 
 
-@query("SEG4", """SELECT market, count(*) AS n FROM (SELECT CASE WHEN n > 82 THEN b WHEN n >= 78 THEN 'mid' ELSE 'niche' END AS market
+@query("SEG4", """SELECT market, count(*) AS n FROM (SELECT CASE WHEN n > 0.04::DOUBLE * (SELECT count(nullif(p_brand, 'Brand#4')) FROM part) THEN b WHEN n >= 0.039::DOUBLE * (SELECT count(nullif(p_brand, 'Brand#4')) FROM part) THEN 'mid' ELSE 'niche' END AS market
   FROM (SELECT p_partkey, nullif(p_brand, 'Brand#4') AS p_brand FROM part) p LEFT JOIN (SELECT nullif(p_brand, 'Brand#4') AS b, count(*) AS n FROM part GROUP BY 1) ON b = p.p_brand) GROUP BY 1""")
 def small_markets_collapsed(t):
     p = t.part.select("p_partkey", F.nullif(F.col("p_brand"), F.lit("Brand#4")).alias("p_brand"))
-    classed = segments.with_size_class(p, "p_brand", mass_over=82, mid_from=78)
+    classed = segments.with_size_class(p, "p_brand", mass_over=0.04, mid_from=0.039, shares=True)
     return classed.groupBy(segments.collapse_small("p_brand").alias("market")).agg(F.count("*").alias("n"))
 
 
@@ -129,10 +129,10 @@ def segment_shares(t):
     return out.withColumns({"total": F.round("total", 2), "companies_percent": F.round("companies_percent", 6), "total_percent": F.round("total_percent", 6)})
 
 
-@query("SEG6", """SELECT size_class, count(*) AS n_keys, sum(n)::BIGINT AS n_rows, round(100.0 * sum(n) / sum(sum(n)) OVER (), 6) AS row_percent FROM (SELECT n, CASE WHEN n > 82 THEN 'mass' WHEN n >= 78 THEN 'mid' ELSE 'niche' END AS size_class
+@query("SEG6", """SELECT size_class, count(*) AS n_keys, sum(n)::BIGINT AS n_rows, round(100.0 * sum(n) / sum(sum(n)) OVER (), 6) AS row_percent FROM (SELECT n, CASE WHEN n > 0.04::DOUBLE * (SELECT count(p_brand) FROM part) THEN 'mass' WHEN n >= 0.039::DOUBLE * (SELECT count(p_brand) FROM part) THEN 'mid' ELSE 'niche' END AS size_class
   FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)) GROUP BY 1""")
 def size_class_shares(t):
-    return segments.size_class_summary(t.part, "p_brand", 82, 78).withColumn("row_percent", F.round("row_percent", 6))
+    return segments.size_class_summary(t.part, "p_brand", 0.04, 0.039, shares=True).withColumn("row_percent", F.round("row_percent", 6))
 
 
 @query("SEG6", """WITH s AS (SELECT CASE WHEN p_size <= 15 THEN 'small' WHEN p_size <= 35 THEN 'middle' ELSE 'large' END AS seg, count(*) AS n FROM part GROUP BY 1)

@@ -159,3 +159,13 @@ def test_period_rollup_counts_users_once(spark, rows):
 def test_sketched_distinct_counts(spark):
     df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id").alias("u"))
     assert distinct_counts(df, ["g"], ["u"], rsd=0.02).first()["n_u"] == pytest.approx(20_000, rel=0.08)
+
+
+def test_keep_one_edges_and_plan(spark, rows):
+    df = spark.createDataFrame([("a", None, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 2, "q"), ("b", 2, "p"), (None, 3, "n"), (None, 4, "m")], "k string, n int, what string")
+    assert rows(cleaning.keep_one(df, ["k"], ["n"])) == [("a", None, "x"), ("b", 2, "p"), (None, 3, "n")]
+    assert rows(cleaning.keep_one(df, ["k"], ["n"], keep="last")) == [("a", 1, "z"), ("b", 2, "q"), (None, 4, "m")]
+    assert rows(cleaning.keep_one(df, ["k"], ["what"])) == [("a", None, "x"), ("b", 2, "p"), (None, 4, "m")]
+    assert cleaning.keep_one(df.limit(0), ["k"], ["n"]).collect() == []
+    plan = cleaning.keep_one(df, ["k"], ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2

@@ -150,3 +150,12 @@ def test_ticket_revenue_without_tickets(spark):
     df = spark.createDataFrame([("x", 10.0, 1, "u", 0)], "k string, r double, o int, u string, t int")
     r = revenue.revenue_by(df, ["k"], "r", "o", "u", "t").first()
     assert r.one_ticket_cost is None and r.total_users == 1
+
+
+def test_several_distinct_counts_copy_no_row(spark):
+    from metricloom.operators.aggregates import distinct_counts
+    df = spark.createDataFrame([(1, "a", None), (1, "b", None), (2, "a", None), (None, "c", None)], "x int, y string, z int")
+    out = distinct_counts(df, [], ["x", "y", "z"])
+    assert tuple(out.first()) == (2, 3, 0)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert tuple(distinct_counts(df.limit(0), [], ["x", "y"]).first()) == (0, 0)

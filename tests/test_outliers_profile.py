@@ -136,3 +136,11 @@ def test_reshape(spark, rows):
     assert rows(stack_tagged({"l": df.select("n"), "r": df.select("n").filter("n = 5")}, "side"))[-1] == (5, "r")
     lists = spark.createDataFrame([(["m", "s"], [1250, 857])], "cities array<string>, users array<int>")
     assert rows(zip_lists(lists, city="cities", n="users")) == [("m", 1250), ("s", 857)]
+
+
+def test_shares_of_a_total_as_thresholds(spark, rows):
+    df = spark.createDataFrame([("a", 6), ("a", 0), ("b", 3), ("c", 1), (None, 90)], "k string, n int")
+    assert rows(outliers.keep_large_groups(df.filter("k is not null"), "k", F.sum("n"), share=0.3).select("n")) == [(0,), (3,), (6,)]
+    classed = segments.with_size_class(df, "k", 0.3, 0.25, shares=True)
+    assert rows(classed.select("k", "key_count", "size_class")) == [("a", 2, "mass"), ("a", 2, "mass"), ("b", 1, "mid"), ("c", 1, "mid"), (None, None, None)]
+    assert rows(segments.size_class_summary(df, "k", 0.3, 0.25, shares=True).select("size_class", "n_keys", "n_rows")) == [("mass", 1, 2), ("mid", 2, 2)]
