@@ -6,9 +6,10 @@ item passage that ends there. A document word is hit if it lies in an occurrence
 item words, or of a whole item that has fewer. Only stretches of a document whose short word grams occur in
 an item at all are streamed; all others cannot hold a window.
 
-Items go in blocks of bounded size; each block has its own automaton and its own pass, and the passes are
-united, so nothing that a task or a broadcast holds grows with the benchmark. Nulls have no words and are
-never hit. Empty items are ignored; equal items each count. Without items nothing is hit.
+Items go in blocks of bounded size; each block has its own automaton and its own pass, one after the other,
+and the passes are united, so nothing that a task, the driver or a broadcast holds grows with the benchmark.
+Nulls have no words and are never hit. Empty items are ignored; equal items each count. Without items nothing
+is hit. Repeated rows stay repeated at any size of the benchmark; rows without id are dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.shared import map_batches, texts
+from metricloom.llm.shared import map_batches, stored, texts
 from metricloom.llm.textarrays import LOWER, WORD, Spans, inside, runs, slices, utf8, words
 
 
@@ -141,22 +142,60 @@ def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
-         item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """``doc_id, n_words, spans (array of struct<first, last>: hit word ranges), items (array of string)`` of every document.
+         item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2 << 20, carry: bool = False) -> DataFrame:
+    """``doc_id, n_words, spans (array of struct<first, last>: hit word ranges), items (array of string)`` of every document,
+    one row for each row of ``docs`` with an id; ``carry`` adds the text.
 
-    ``block_bytes``: item text one automaton is built of.
+    ``block_bytes``: item text one automaton is built of. A larger benchmark is divided; its blocks are scanned one after
+    the other over a written copy of the documents with a number for each row, and every pass is written, so that one
+    automaton exists at a time and equal rows stay apart.
     """
     docs = texts(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    passes = [_pass(docs, block, window) for block in _blocks(items, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    united = reduce(DataFrame.unionByName, passes)
-    return united.groupBy("doc_id", "n_words").agg(
+    blocks = _blocks(items, block_bytes)
+    if len(blocks) == 1:
+        return _pass(docs, blocks[0], window, carry)
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
+    united = reduce(DataFrame.unionByName, [stored(_pass(docs, block, window), "hits") for block in blocks])
+    found = united.groupBy("row", "doc_id", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return (found.join(docs.select("row", "text"), "row") if carry else found).drop("row")
 
 
-def _pass(docs: DataFrame, block: DataFrame, window: int) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, coverage: int = 20, **more) -> DataFrame:
+    """``doc_id, text, n_removed`` of the documents that are kept, without their benchmark passages.
+
+    Stretches of ``least_words`` hit words and more are cut, from the first byte of the first word to the last of the last
+    one; overlapping spans, also of several blocks, are one stretch. A document of whose words one in ``coverage`` or more
+    is hit is dropped. ``more`` goes to :func:`hits`.
+    """
+    found = hits(docs, benchmark, carry=True, **more)
+    flags = judged(found.withColumn("kept", F.struct("text", "spans")), coverage, "kept").where("not contaminated")
+
+    def work(batch):
+        rows, removed = batch.column("kept").to_pylist(), []
+        data, offsets = utf8(pa.array([r["text"] for r in rows], pa.string()))
+        starts, ends, _, before = words(LOWER[data], offsets, WORD)
+        texts_, whole = [], data.tobytes()
+        for i, row in enumerate(rows):
+            spans = []
+            for span in sorted((x["first"], x["last"]) for x in row["spans"]):
+                if spans and span[0] <= spans[-1][1] + 1:
+                    spans[-1][1] = max(spans[-1][1], span[1])
+                else:
+                    spans.append(list(span))
+            parts, at, n = [], int(offsets[i]), 0
+            for first, last in spans:
+                if last - first + 1 >= least_words:
+                    parts.append(whole[at:int(starts[before[i] + first])])
+                    at, n = int(ends[before[i] + last]), n + last - first + 1
+            texts_.append(b"".join((*parts, whole[at:int(offsets[i + 1])])).decode())
+            removed.append(n)
+        return pa.record_batch([batch.column("doc_id"), pa.array(texts_, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_removed"])
+    return map_batches(flags.select("doc_id", "kept"), work, "doc_id long, text string, n_removed long", rows=200)
+
+
+def _pass(docs: DataFrame, block: DataFrame, window: int, carry: bool = False) -> DataFrame:
     rows = block.toArrow()                              # bounded by the block size
     data, offsets = utf8(rows.column("text"))
     _, _, hashes, before = words(LOWER[data], offsets, WORD)
@@ -178,14 +217,18 @@ def _pass(docs: DataFrame, block: DataFrame, window: int) -> DataFrame:
                 for row, first, last, names in _scan(automaton, grams, hashes, before):
                     spans[low + row].append({"first": first - int(before[row]), "last": last - 1 - int(before[row])})
                     items[low + row] |= names
-        return pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(n_words)), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                                pa.array([sorted(i) for i in items], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+        first = ["row"] if "row" in batch.schema.names else []
+        last = ["text"] if carry else []
+        return pa.record_batch([*map(batch.column, first), batch.column("doc_id"), pa.array(np.concatenate(n_words)), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                                pa.array([sorted(i) for i in items], pa.list_(pa.string())), *map(batch.column, last)], [*first, "doc_id", "n_words", "spans", "items", *last])
 
-    return map_batches(docs, work, "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>")
+    schema = ("row long, " * ("row" in docs.columns) + "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+              + ", text string" * carry)
+    return map_batches(docs, work, schema)
 
 
-def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` from the spans of :func:`hits`.
+def judged(found: DataFrame, coverage: int = 20, *more: str) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` from the spans of :func:`hits`, and ``more`` of its columns.
 
     Overlapping spans of several blocks count each word once. Contaminated: at least one word in ``coverage`` is hit.
     """
@@ -197,5 +240,5 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
 
     n_hit = F.aggregate(F.array_sort("spans"), nothing, add)["n"]
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256")
+                        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), *more
                         ).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))

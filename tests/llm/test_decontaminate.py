@@ -4,7 +4,7 @@ import brute
 import pytest
 from conftest import prose
 
-from metricloom.llm.decontaminate import Automaton, hits, judged
+from metricloom.llm.decontaminate import Automaton, cleaned, hits, judged
 
 COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -36,6 +36,29 @@ def test_blocks_of_items_agree(spark, texts, items):
     assert found(spark, texts, items, block_bytes=300) == brute.contamination(texts, items)
 
 
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
+def test_repeated_rows_stay_over_blocks(spark, texts, items, block_bytes):
+    docs = spark.createDataFrame([*texts, *texts, texts[0]], "doc_id long, text string").repartition(4)
+    got = judged(hits(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)).collect()
+    want = brute.contamination(texts, items)
+    assert len(got) == 2 * len(texts) + 1
+    assert all(tuple(r[c] for c in COLUMNS) == want[r["doc_id"]] for r in got)
+
+
+@pytest.mark.parametrize("block_bytes", [80, 1 << 20])
+def test_passages_are_cut_and_covered_documents_dropped(spark, block_bytes):
+    item, short = " ".join(f"w{i}" for i in range(20)), "tiny item here"
+    plain = " ".join(f"p{i}" for i in range(600))
+    rows = [(1, f"{plain} ({item.upper()})! é {plain}"), (2, item), (3, plain), (4, None), (5, f"{plain}\n{short}, {plain}"), (6, f"{plain} {item} x {item}")]
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string").repartition(2)
+    got = sorted(tuple(r) for r in cleaned(docs, bench, block_bytes=block_bytes).collect())
+    cut = (1, f"{plain} ()! é {plain}", 20)
+    assert got == [cut, cut, (3, plain, 0), (4, "", 0), (5, rows[4][1], 0)]
+    got = {r[0]: r[2] for r in cleaned(docs, bench, least_words=3, coverage=5, block_bytes=block_bytes).collect()}
+    assert got == {1: 20, 3: 0, 4: 0, 5: 3, 6: 40}
+
+
 def test_without_items_or_documents(spark, texts, items):
     assert all(v[1:3] == (0, 0) and not v[4] for v in found(spark, texts, []).values())
     assert found(spark, [], items) == {}
