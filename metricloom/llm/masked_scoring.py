@@ -91,66 +91,108 @@ def contexts(ids: np.ndarray, before: np.ndarray, window: int, none: int) -> np.
     return out
 
 
-def forward(model: Model, around: np.ndarray, flat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values, and log-probabilities of the classes."""
-    table, bias, out, out_bias, _ = model.parts(flat)
-    hidden = np.tanh(sum(table[k][around[k]] for k in range(len(around))) + bias)
-    logits = hidden @ out + out_bias
+#: Rows of a matrix of scores at a time: larger ones are given fresh memory by the system, whose clearing costs more than the work.
+PART = 4096
+
+
+def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turn scores into exponentials, in place and once; log-probabilities of the targets, and the sums of the rows."""
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return hidden, logits
+    chosen = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return chosen - np.log(sums), sums
+
+
+def hidden_values(model: Model, around: np.ndarray, flat: np.ndarray | None = None) -> np.ndarray:
+    table, bias, _, _, _ = model.parts(flat)
+    hidden = np.take(table[0], around[0], axis=0)
+    for k in range(1, len(around)):
+        hidden += np.take(table[k], around[k], axis=0)
+    hidden += bias
+    return np.tanh(hidden, out=hidden)
+
 
+def outer(model: Model, hidden: np.ndarray, target: np.ndarray, flat: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a part of the tokens at a time: its slice, the exponentials of its classes' scores, their sums, and the
+    log-probabilities of the target classes."""
+    _, _, out, out_bias, _ = model.parts(flat)
+    for low in range(0, len(hidden), PART):
+        some = slice(low, low + PART)
+        logits = hidden[some] @ out
+        logits += out_bias
+        chosen, sums = _softmax(logits, target[some])
+        yield some, logits, sums, chosen
 
-def inner(model: Model, hidden: np.ndarray, ids: np.ndarray, flat: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
-    """For every class with several buckets: its tokens, its first and last place, log-probabilities of its buckets.
+
+def by_class(model: Model, ids: np.ndarray) -> np.ndarray:
+    """The order of tokens by class, so that those of a class are one slice."""
+    return np.argsort(model.class_of[ids].astype(np.min_scalar_type(model.classes)), kind="stable")
+
+
+def inner(model: Model, hidden: np.ndarray, ids: np.ndarray, flat: np.ndarray | None = None) -> Iterator[tuple[slice, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For tokens by class, and every class with several buckets: the slice of its tokens, its first and last place, and as
+    in :func:`outer` the exponentials, sums and log-probabilities of its buckets.
 
     The sizes of classes weighed by their mass are about ``buckets / classes``, so this costs a token no more than its class.
     """
     out = model.parts(flat)[4]
     share = np.empty(model.buckets, out.dtype)
     share[model.place] = model.inside
-    of = model.class_of[ids]
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(model.classes + 1))
+    edges, places = np.searchsorted(model.class_of[ids], np.arange(model.classes + 1)), model.place[ids]
     for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(model.borders) > 1)):
-        some, low, high = order[edges[c]:edges[c + 1]], int(model.borders[c]), int(model.borders[c + 1])
-        logits = hidden[some] @ out[low:high].T + share[low:high]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        yield some, low, high, logits
+        low, high = int(model.borders[c]), int(model.borders[c + 1])
+        for at in range(edges[c], edges[c + 1], PART):
+            some = slice(at, min(at + PART, edges[c + 1]))
+            logits = hidden[some] @ out[low:high].T
+            logits += share[low:high]
+            chosen, sums = _softmax(logits, places[some] - low)
+            yield some, low, high, logits, sums, chosen
 
 
 def log_probabilities(model: Model, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of the bucket of every token, by its neighbours."""
-    hidden, logs = forward(model, around)
-    out = logs[np.arange(len(ids)), model.class_of[ids]].astype(float)
-    for some, low, _, inside in inner(model, hidden, ids):
-        out[some] += inside[np.arange(len(some)), model.place[ids[some]] - low]
+    order = by_class(model, ids)
+    ids = ids[order]
+    hidden, found = hidden_values(model, around[:, order]), np.empty(len(ids))
+    for some, _, _, chosen in outer(model, hidden, model.class_of[ids]):
+        found[some] = chosen
+    for some, _, _, _, _, chosen in inner(model, hidden, ids):
+        found[some] += chosen
+    out = np.empty(len(ids))
+    out[order] = found
     return out
 
 
 def gradient(model: Model, around: np.ndarray, target: np.ndarray, flat: np.ndarray, ids: np.ndarray | None = None) -> np.ndarray:
     """Gradient of the mean negative log-probability of the target classes; with ``ids``, of these buckets."""
-    grad = np.zeros_like(flat)
+    grad, n = np.zeros_like(flat), len(target)
     table, bias, out, out_bias, places = model.parts(grad)
-    hidden, logs = forward(model, around, flat)
-    error = np.exp(logs)
-    error[np.arange(len(target)), target] -= 1
-    error /= len(target)
-    out[:] = hidden.T @ error
-    out_bias[:] = error.sum(axis=0)
-    back = error @ model.parts(flat)[2].T
-    for some, low, high, inside in inner(model, hidden, ids, flat) if ids is not None else ():
-        wrong = np.exp(inside)
-        wrong[np.arange(len(some)), model.place[ids[some]] - low] -= 1
-        wrong /= len(target)
-        places[low:high] = wrong.T @ hidden[some]
-        back[some] += wrong @ model.parts(flat)[4][low:high]
-    back *= 1 - hidden * hidden
+    weights = model.parts(flat)
+    if ids is not None:
+        order = by_class(model, ids)
+        around, target, ids = around[:, order], target[order], ids[order]
+    hidden = hidden_values(model, around, flat)
+    back, rows = np.empty_like(hidden), np.arange(n)
+    for some, error, sums, _ in outer(model, hidden, target, flat):
+        error /= sums[:, None]
+        error[rows[:len(error)], target[some]] -= 1
+        out += hidden[some].T @ error
+        out_bias += error.sum(axis=0)
+        np.matmul(error, weights[2].T, out=back[some])
+    for some, low, high, wrong, sums, _ in inner(model, hidden, ids, flat) if ids is not None else ():
+        wrong /= sums[:, None]
+        wrong[rows[:len(wrong)], model.place[ids[some]] - low] -= 1
+        places[low:high] += wrong.T @ hidden[some]
+        back[some] += wrong @ weights[4][low:high]
+    hidden *= hidden
+    back *= 1 - hidden
     bias[:] = back.sum(axis=0)
+    columns = np.ascontiguousarray(back.T)
     for k in range(len(around)):
         for j in range(model.hidden):
-            table[k, :, j] = np.bincount(around[k], back[:, j], minlength=model.buckets + 1)
+            table[k, :, j] = np.bincount(around[k], columns[j], minlength=model.buckets + 1)
+    grad /= n
     return grad
 
 
@@ -266,13 +308,17 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
                                        pa.array([flat[r:r + piece].tobytes() for r in rows], pa.binary())], ["part", "piece", "seen", "weights"])
 
         def mean(key, table):
-            table = table.sort_by("part")
+            table = table.sort_by("of")
             seen = table.column("seen").to_numpy().astype(float)
             total = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(seen, table.column("weights").to_pylist()))
-            return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-        given = docs.select("text").mapInArrow(train, "part int, piece int, seen long, weights binary")
-        rows = given.groupBy("piece").applyInArrow(mean, "piece int, weights binary").toArrow().sort_by("piece")      # one set of weights
+            row = [key[0].as_py(), key[1].as_py(), int(seen.sum()), (total / seen.sum()).astype(np.float32).tobytes()]
+            return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "piece", "seen", "weights"])
+
+        rows = docs.select("text").mapInArrow(train, "part int, piece int, seen long, weights binary")
+        for _ in range(3):                              # 256 tasks at a time: no group grows with their number, up to 16 million
+            rows = rows.withColumn("of", F.col("part")).withColumn("part", F.shiftright("part", 8)).groupBy("part", "piece").applyInArrow(
+                mean, "part int, piece int, seen long, weights binary")
+        rows = rows.toArrow().sort_by("piece")          # one set of weights
         if rows.num_rows:
             model.weights = np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float32).copy()
         sent.unpersist()

@@ -62,11 +62,38 @@ def small():
     return masked_scoring.start(counts, 5, 2, 3, 1)
 
 
+def class_logs(model, around, target, flat=None):
+    return np.concatenate([chosen for *_, chosen in masked_scoring.outer(model, masked_scoring.hidden_values(model, around, flat), target, flat)])
+
+
+def plain_logs(model, around, ids):
+    """Log-probabilities by the definition, one token and one class at a time."""
+    table, bias, out, out_bias, places = model.parts()
+    result = []
+    for i, b in enumerate(ids):
+        hidden = np.tanh(sum(table[k][around[k][i]] for k in range(len(around))) + bias)
+        scores = hidden @ out + out_bias
+        c = model.class_of[b]
+        members = [x for x in range(model.buckets) if model.class_of[x] == c]
+        inside = {x: hidden @ places[model.place[x]] + model.inside[x] for x in members}
+        result.append(scores[c] - np.log(np.exp(scores).sum()) + (inside[b] - np.log(sum(np.exp(list(inside.values())))) if len(members) > 1 else 0))
+    return np.array(result)
+
+
+@pytest.mark.parametrize("part", [4, 4096])
+def test_scores_match_the_definition(monkeypatch, part):
+    monkeypatch.setattr(masked_scoring, "PART", part)
+    model, rng = small(), np.random.default_rng(9)
+    model = masked_scoring.replace(model, weights=model.weights + rng.standard_normal(len(model.weights)) * 0.5)
+    around, ids = rng.integers(0, 41, (4, 50)), rng.integers(0, 40, 50)
+    assert np.allclose(masked_scoring.log_probabilities(model, around, ids), plain_logs(model, around, ids))
+
+
 def test_gradient_is_the_derivative():
     model, rng = small(), np.random.default_rng(1)
     flat = model.weights.astype(np.float64)
     around, target = rng.integers(0, 41, (4, 30)), rng.integers(0, model.classes, 30)
-    loss = lambda w: -masked_scoring.forward(model, around, w)[1][np.arange(30), target].mean()     # noqa: E731
+    loss = lambda w: -class_logs(model, around, target, w).mean()     # noqa: E731
     grad = masked_scoring.gradient(model, around, target, flat)
     for i in rng.integers(0, len(flat), 40):
         step = np.zeros_like(flat)
@@ -77,7 +104,7 @@ def test_gradient_is_the_derivative():
 def test_probabilities_of_all_buckets_sum_to_one():
     model = small()
     around = np.random.default_rng(2).integers(0, 41, (4, 6))
-    logs = masked_scoring.forward(model, around)[1]
+    logs = np.stack([class_logs(model, around, np.full(6, c)) for c in range(model.classes)], axis=1)
     total = sum(np.exp(logs[:, model.class_of[b]] + model.inside[b]) for b in range(40))
     assert np.allclose(total, 1, atol=1e-5)
 
