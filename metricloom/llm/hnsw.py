@@ -3,12 +3,17 @@
 Equal vectors are one point that carries its smallest ids; more than a query can return are never needed, so a vector
 that a third of all rows share costs one point. Points are dealt out to shards of bounded size by a hash; a task builds
 the graph of a shard by insertion and stores it as flat arrays: for every layer the points in it and a fixed-width
-matrix of neighbours. Queries go in blocks of bounded size, each a pass over all shards; a shard returns its best, and
-the merge keeps the best of these. Scores are cosines of the original vectors in double precision.
+matrix of neighbours. Queries stay on Spark: they are packed, dealt out to blocks of bounded size, and one shuffle brings
+a block and a group of shards together, the block first. A task holds the block and one shard at a time, merges what
+the shards of its group find, and returns the best of every query; a last window keeps the best over the groups.
+
+Scores are cosines of the original vectors in double precision. Every vector is scaled by a power of two first, which
+changes no bit of a cosine but keeps tiny and huge components from under- and overflow.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, neither as candidates nor as
 queries. Vectors of different lengths never meet. Ties go to the smaller id. A query never finds its own id, but finds
-equal vectors of other ids; repeated rows with one id are one candidate. Without candidates a query returns nothing.
+equal vectors of other ids. Rows that share an id are one candidate, at its best score, and one query, for all of its
+vectors. Without candidates a query returns nothing.
 """
 
 from __future__ import annotations
@@ -108,9 +113,18 @@ class Graph:
         return [i for _, i in self._search(query, near, ef, 0)]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Every row times the power of two that brings its largest component to between a half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _norms(scaled: np.ndarray) -> np.ndarray:
+    return np.sqrt((scaled * scaled).sum(axis=1))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+    scaled = _scaled(vectors)
+    return (scaled / _norms(scaled)[:, None]).astype(np.float32)
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -134,14 +148,19 @@ def points(rows: DataFrame, keep: int) -> DataFrame:
     return parts.groupBy("vector").agg(smallest.alias("ids"))
 
 
-def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 6, shard_points: int = 4096, m: int = 16, ef: int = 64) -> DataFrame:
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 6, shard_points: int = 8192, m: int = 16, ef: int = 64) -> DataFrame:
     """The index: one row per shard with its vectors, ids and flat neighbour arrays, stored in the shared folder.
 
     ``keep``: ids an equal vector carries, one more than the results a query wants.
     """
     found = cut(points(usable(rows, id_col, vector_col), keep).withColumn("dim", F.size("vector")))
     shards = max(1, -(-found.count() // shard_points))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
+    tasks = min(4 * shards, max(shards, _partitions(rows)))         # more than shards, so that few of them share one
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int")).repartition(tasks, "dim", "shard")
 
     def make(key, table):
         table = table.append_column("first", pa.array([i[0] for i in table.column("ids").to_pylist()], pa.int64())).sort_by("first")
@@ -166,35 +185,89 @@ def _graph(row: dict, m: int, ef: int) -> tuple[Graph, np.ndarray]:
     return Graph(_unit(vectors), m, ef, levels, layers, row["entry"]), vectors
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", m: int = 16, ef: int = 96, block_rows: int = 1 << 14) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found for every query row. ``m`` as in :func:`build`."""
+_KEY = ("block", "part", "kind", "dim", "shard")
+_STREAM = (*_KEY, "vectors", "ids", "entry", "levels", "layers")
+
+
+def _packed(queries: DataFrame, blocks: int) -> DataFrame:
+    """``block, dim, vectors, ids``: the queries of a batch that go to one block, in one row."""
+    def pack(batch):
+        keys = np.stack([batch.column(c).to_numpy() for c in ("block", "dim")])
+        order = np.lexsort(keys[::-1])
+        ids, vectors, out = batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), []
+        borders = np.flatnonzero(np.concatenate(([True], (np.diff(keys[:, order]) != 0).any(axis=0), [True]))) if len(order) else []
+        for low, high in zip(borders[:-1], borders[1:]):
+            own = order[low:high].tolist()
+            out.append((*keys[:, own[0]].tolist(), np.array([vectors[i] for i in own], np.float64).tobytes(), [[ids[i] for i in own]]))
+        return pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64()))))],
+                               ["block", "dim", "vectors", "ids"])
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vector"))
+    return map_batches(dealt, pack, "block int, dim int, vectors binary, ids array<array<long>>")
+
+
+class _Block:
+    """The queries of a block and the ``k`` best found for each so far."""
+
+    def __init__(self, k: int, ef: int):
+        self.k, self.ef, self.queries, self.best = k, ef, {}, {}
+
+    def add(self, row: dict) -> None:
+        scaled = _scaled(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"]))
+        self.queries.setdefault(row["dim"], []).extend(zip(row["ids"][0], scaled, _norms(scaled), _unit(scaled)))
+
+    def visit(self, row: dict, m: int) -> None:
+        graph, vectors = _graph(row, m, self.ef)
+        scaled = _scaled(vectors)
+        norms, ids = _norms(scaled), row["ids"]
+        for query, vector, norm, unit in self.queries.get(row["dim"], ()):
+            near = graph.nearest(unit, self.ef)
+            scores = (scaled[near] * vector).sum(axis=1) / (norms[near] * norm)
+            found = [(-s, i) for s, p in zip(scores.tolist(), near) for i in ids[p] if i != query]
+            nearest = {}
+            for score, i in sorted(found + self.best.get(query, [])):
+                if i not in nearest:
+                    nearest[i] = score
+                    if len(nearest) == self.k:
+                        break
+            self.best[query] = [(s, i) for i, s in nearest.items()]
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(q, i, -s) for q, own in self.best.items() for s, i in own]
+        return pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", m: int = 16, ef: int = 128, block_bytes: int = 16 << 20) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found for every query row. ``m`` as in :func:`build`.
+
+    ``block_bytes``: vectors of the queries a task holds. The index is copied once for each block of queries, the queries
+    once for each group of shards; there are as many groups as shuffle partitions at most.
+    """
     asked = usable(queries, id_col, vector_col)
-    blocks = max(1, -(-asked.count() // block_rows))
-    spark, found = index.sparkSession, None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()      # bounded by the block size
-        if not rows.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((rows.column("vec_id").to_pylist(), [np.array(v, np.float64) for v in rows.column("vector").to_pylist()]))
-
-        def work(batch, sent=sent):
-            out = []
-            for row in batch.to_pylist():
-                graph, vectors = _graph(row, m, ef)
-                norms = np.sqrt((vectors * vectors).sum(axis=1))
-                for query, vector in zip(*sent.value):
-                    if len(vector) != row["dim"]:
-                        continue
-                    near = graph.nearest(_unit(vector[None])[0], ef)
-                    scores = (vectors[near] * vector).sum(axis=1) / (norms[near] * np.sqrt((vector * vector).sum()))
-                    own = sorted((-s, i) for s, p in zip(scores.tolist(), near) for i in row["ids"][p] if i != query)
-                    out.extend((query, i, -s) for s, i in own[:k])
-            return pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-        part = map_batches(index, work, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0) // block_bytes))
+    parts = max(1, min((index.agg(F.max("shard")).first()[0] or 0) + 1, _partitions(queries)))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sought = _packed(asked, blocks).withColumn("part", copies(parts)).withColumn("kind", F.lit(0))
+    shards = index.withColumn("part", F.col("shard") % parts).withColumn("block", copies(blocks)).withColumn("kind", F.lit(1))
+    stream = sought.unionByName(shards, allowMissingColumns=True).select(*_STREAM)
+
+    def work(batches):
+        key, block = None, _Block(k, ef)
+        for batch in batches:
+            for at in range(batch.num_rows):                        # one graph at a time
+                row = batch.slice(at, 1).to_pylist()[0]
+                if key != (row["block"], row["part"]):
+                    if block.best:
+                        yield block.rows()
+                    key, block = (row["block"], row["part"]), _Block(k, ef)
+                if row["kind"] == 0:
+                    block.add(row)
+                else:
+                    block.visit(row, m)
+        yield block.rows()
+
+    met = stream.repartitionById(blocks * parts, F.col("block") * parts + F.col("part")).sortWithinPartitions(*_KEY)
+    found = met.mapInArrow(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

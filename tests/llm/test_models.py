@@ -216,5 +216,42 @@ def test_common_vectors_ties_and_bad_rows(spark):
     assert all(got[q][k][1] == pytest.approx(want[q][k][1], abs=1e-15) for q in got for k in range(len(got[q])))
 
 
+def test_recall_of_a_whole_shard_at_default_settings(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 64))
+    clustered = centres[rng.integers(0, 60, 4000)] + 0.4 * rng.standard_normal((4000, 64))
+    vectors = np.vstack([clustered, rng.standard_normal((4000, 64))]).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in hnsw.search(hnsw.build(docs), docs.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 8000, 50):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(got[q] & set(np.argsort(-scores)[:5].tolist()))
+    assert set(got) == set(range(0, 8000, 50)) and hits / (5 * len(got)) >= 0.9
+
+
+def test_blocks_of_queries_and_groups_of_shards_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))], "vec_id long, embedding array<double>").repartition(5)
+    index = hnsw.build(docs, shard_points=40)
+    whole = hnsw.search(index, docs).orderBy("query_id", "rank").collect()
+    assert len(whole) == 1500 and hnsw.search(index, docs, block_bytes=1000).orderBy("query_id", "rank").collect() == whole
+    assert whole == hnsw.search(hnsw.build(docs, shard_points=1000), docs).orderBy("query_id", "rank").collect()
+
+
+def test_extreme_magnitudes_and_ids_with_several_vectors(spark):
+    big = [(1, [1e-200, 2e-200]), (2, [1e200, 2.1e200]), (3, [1e-300, -1e-300]), (4, [5e-324, 0.0])]
+    docs = spark.createDataFrame(big + [(9, [1.0, 2.0]), (9, [1.0, -1.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.search(hnsw.build(docs), docs).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[1]] == [9, 2, 4, 3] and got[1][0][1] == pytest.approx(1, abs=1e-15)
+    assert got[3][0] == (9, pytest.approx(1, abs=1e-15)) and len(got[9]) == len({i for i, _ in got[9]}) == 4
+
+
 def test_no_vectors(spark):
     assert near(spark, []) == {} and near(spark, [(1, [1.0, 2.0])]) == {}
