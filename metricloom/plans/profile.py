@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from metricloom.functions.dates import month_start
+from metricloom.functions.distributions import TAIL
 from metricloom.operators import association, profile
 from metricloom.plans.registry import query
 
@@ -99,9 +101,51 @@ def association_by_cramers_v(t):
     return out.withColumns({"chi2": F.round("chi2", 4), "cramers_v": F.round("cramers_v", 6)})
 
 
-@query("DST6")
+def _fit_sql(a, b):
+    return f"""SELECT '{a}' AS left_column, '{b}' AS right_column, n, r, k, greatest(n * (t - 1), 0) AS chi2, greatest((r - 1) * (k - 1) - (all_small - seen_small), 0) AS noise, n * (least(r, k) - 1) AS top
+      FROM (SELECT sum(m)::BIGINT AS n, count(DISTINCT {a}) AS r, count(DISTINCT {b}) AS k, sum(m * m / (na * nb)::DOUBLE) AS t, count(*) FILTER (na * nb < (SELECT count(*) FROM b)) AS seen_small
+        FROM (SELECT *, sum(m) OVER (PARTITION BY {a}) AS na, sum(m) OVER (PARTITION BY {b}) AS nb FROM (SELECT {a}, {b}, count(*) AS m FROM b GROUP BY 1, 2))),
+      (SELECT count(*) AS all_small FROM (SELECT count(*) AS na FROM b GROUP BY {a}), (SELECT count(*) AS nb FROM b GROUP BY {b}) WHERE na * nb < (SELECT count(*) FROM b))"""
+
+
+def _normal_sql(high, low):
+    """P(low < Z <= high) by the approximation of ``normal_between``."""
+    def cdf(z):
+        t = f"(1 / (1 + abs({z}) / {2 * math.sqrt(2)!r}))"
+        power = repr(TAIL[-1])
+        for c in TAIL[-2::-1]:
+            power = f"({c!r}::DOUBLE + {t} * {power})"
+        tail = f"{t} * exp({power} - {z} * {z} / 2) / 2"
+        return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+    return f"({cdf(high)} - {cdf(low)})"
+
+
+def _spread_sql(state, keys):
+    """``keys, spread`` of rows that have ``r, k`` levels and a correlation ``rho``; two-dimensional sums over bins and quadrature points."""
+    half, root = "(5.0::DOUBLE / r)", "sqrt(1 - rho * rho)"
+    return f"""SELECT {keys}, sum((p - f) * (p - f) / greatest(f, 1e-300)) AS spread FROM (SELECT {keys}, i, j, sum(v * {_normal_sql("z1", "z0")}) AS p, sum(v * {_normal_sql("y1", "y0")}) AS f
+      FROM (SELECT *, w * exp(-x * x / 2) * {half} / sqrt(2 * pi()) AS v, (y1 - rho * x) / {root} AS z1, (y0 - rho * x) / {root} AS z0
+        FROM (SELECT *, -5 + {half} * (2 * i + 1) + {half} * u AS x, -5 + 10.0::DOUBLE / k * j AS y0, -5 + 10.0::DOUBLE / k * (j + 1) AS y1
+          FROM {state}, range(64) AS a(i), range(64) AS c(j), q WHERE i < r AND j < k)) GROUP BY {keys}, i, j) GROUP BY {keys}"""
+
+
+# the plain bisection of the range: 20 halvings divide it as the operator's rounds do
+PHI_K = f"""WITH RECURSIVE b AS ({BINNED}), q(u, w) AS (VALUES {", ".join(f"({u!r}::DOUBLE, {w!r}::DOUBLE)" for u, w in association.nodes(association.NODES))}),
+  fit AS MATERIALIZED ({" UNION ALL ".join(_fit_sql(a, b) for a, b in combinations(FEATURES, 2))}),
+  sought AS (SELECT *, {association.TOP_RHO}::DOUBLE AS rho FROM fit WHERE top > 0 AND chi2 > noise AND noise < top AND chi2 < top),
+  s AS (SELECT left_column, right_column, r, k, (chi2 - noise) / (top - noise) * spread AS target, 0::DOUBLE AS low, {association.TOP_RHO}::DOUBLE AS high, 0 AS n
+      FROM ({_spread_sql("sought", "left_column, right_column, r, k, chi2, noise, top")})
+    UNION ALL SELECT left_column, right_column, r, k, target, CASE WHEN spread < target THEN (low + high) / 2 ELSE low END, CASE WHEN spread < target THEN high ELSE (low + high) / 2 END, n + 1
+      FROM ({_spread_sql("(SELECT *, (low + high) / 2 AS rho FROM s WHERE n < 20)", "left_column, right_column, r, k, target, low, high, n")})),
+  phi AS (SELECT left_column, right_column, n AS n_rows, round(chi2, 4) AS chi2, round(sqrt(chi2 / n / (least(r, k) - 1)), 6) AS cramers_v,
+      CASE WHEN top <= 0 THEN NULL WHEN chi2 <= noise OR noise >= top THEN 0 WHEN chi2 >= top THEN 1 ELSE round((low + high) / 2, 4) END AS phi_k
+    FROM fit LEFT JOIN (SELECT left_column, right_column, low, high FROM s WHERE n = 20) USING (left_column, right_column))"""
+
+
+@query("DST6", f"{PHI_K} SELECT * FROM phi")
 def association_by_phi_k(t):
-    return association.phi_k(association.pair_counts(features(t), FEATURES))
+    out = association.phi_k(association.pair_counts(features(t), FEATURES))
+    return out.withColumns({"chi2": F.round("chi2", 4), "cramers_v": F.round("cramers_v", 6)})
 
 
 @query("DST6", f"WITH b AS ({BINNED}) SELECT 'o_totalprice' AS target, CASE left_column WHEN 'o_totalprice' THEN right_column ELSE left_column END AS feature, cramers_v FROM ("
@@ -111,6 +155,7 @@ def strongest_feature(t):
     return association.strongest_with(pairs, "o_totalprice", "cramers_v")
 
 
-@query("DST6")
+@query("DST6", f"""{PHI_K} SELECT 'o_totalprice' AS target, CASE left_column WHEN 'o_totalprice' THEN right_column ELSE left_column END AS feature, phi_k
+  FROM phi WHERE phi_k IS NOT NULL AND 'o_totalprice' IN (left_column, right_column) ORDER BY phi_k DESC, feature LIMIT 1""")
 def strongest_feature_by_phi_k(t):
     return association.strongest_with(association.phi_k(association.pair_counts(features(t), FEATURES)), "o_totalprice", "phi_k")

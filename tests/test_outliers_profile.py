@@ -1,10 +1,12 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from metricloom.functions.distributions import normal_between
 from metricloom.operators import association, outliers, profile, segments
 from metricloom.operators.reshape import columns_like, crosstab, pivot, stack_columns, stack_tagged, zip_lists
 
@@ -120,6 +122,52 @@ def test_association(spark):
     assert best.feature == "y"
 
 
+def test_cells_empty_as_expected_and_constant_sides(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": (rng.pareto(1.0, 3000) * 3).astype(int), "b": (rng.pareto(0.7, 3000) * 2).astype(int), "c": 1}).astype(str)
+    cells = association.pair_counts(spark.createDataFrame(pdf), ["a", "b", "c"])
+    got = {(r.left_column, r.right_column): r._under_one for r in association._empty_as_expected(cells).collect()}
+    size = {c: pdf[c].value_counts().to_numpy() for c in pdf}
+    assert got == {(x, y): int((np.outer(size[x], size[y]) < 3000).sum()) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))}
+    constant = association.phi_k(cells.filter("right_column = 'c'")).collect()
+    assert len(constant) == 2 and all(r.phi_k is None for r in constant)
+
+
+def brute_phi_k(table):
+    n, (r, k), na, nb = table.sum(), table.shape, table.sum(axis=1), table.sum(axis=0)
+    expected = np.outer(na, nb) / n
+    chi2, top = ((table - expected) ** 2 / expected).sum(), n * (min(r, k) - 1)
+    noise = max((r - 1) * (k - 1) - ((expected < 1) & (table == 0)).sum(), 0)
+    if chi2 <= noise or noise >= top:
+        return 0.0
+    u, w = np.polynomial.legendre.leggauss(8)
+    x, step = (-5 + 5 / r * (2 * np.arange(r)[:, None] + 1 + u)).ravel(), np.linspace(-5, 5, k + 1)
+    v = np.tile(w, r) * np.exp(-x * x / 2) * 5 / r / math.sqrt(2 * math.pi)
+    cdf = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
+    cells = lambda rho: (v[:, None] * np.diff(cdf((step - rho * x[:, None]) / math.sqrt(1 - rho * rho)), axis=1)).reshape(r, len(u), k).sum(axis=1)
+    flat = cells(0.0)
+    spread = lambda rho: ((cells(rho) - flat) ** 2 / np.maximum(flat, 1e-300)).sum()
+    low, high = 0.0, 0.9999
+    target = (chi2 - noise) / (top - noise) * spread(high)
+    for _ in range(14):
+        low, high = ((low + high) / 2, high) if spread((low + high) / 2) < target else (low, (low + high) / 2)
+    return (low + high) / 2
+
+
+def test_phi_k_with_very_many_levels_on_one_side(spark):
+    rows = spark.range(6000).select((F.col("id") % 2000).cast("string").alias("many"), F.when(F.col("id") % 2000 < 500, "p").when(F.col("id") % 2000 < 1600, "q").otherwise("r").alias("few"))
+    half = rows.withColumn("few", F.when(F.rand(2) < 0.7, F.col("few")).otherwise("q"))
+    got = association.phi_k(association.pair_counts(half, ["many", "few"])).first().phi_k
+    assert got == pytest.approx(brute_phi_k(pd.crosstab(*half.toPandas().T.to_numpy()).to_numpy()), abs=1e-3) and 0.3 < got < 1
+
+
+def test_normal_between(spark):
+    ends = [(-9.0, -3.0), (-1.0, 0.0), (0.0, 0.0), (0.2, 1.7), (3.0, 12.0), (-40.0, 40.0)]
+    got = spark.createDataFrame(ends, "a double, b double").select(normal_between("a", "b")).collect()
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    assert [r[0] for r in got] == pytest.approx([upper(a) - upper(b) for a, b in ends], abs=2.5e-7)
+
+
 def test_chi_square_by_hand(spark):
     df = spark.createDataFrame([("a", "u")] * 10 + [("a", "v")] * 20 + [("b", "u")] * 30 + [("b", "v")] * 40 + [(None, "u")], "p string, q string")
     r = association.chi_square(association.pair_counts(df, ["p", "q"])).first()

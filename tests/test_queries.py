@@ -14,7 +14,7 @@ from tools.check_oracle import TABLES, canon
 SF = "/root/testdata/sf0.001"
 SAMPLE = """top_regions_by_revenue discrete_percentiles describe_by_group hierarchy_totals days_since_previous_order session_number_per_user
   mann_whitney_with_ties welch_t_test_per_user retention_by_cohort_month first_of_duplicates inside_percentile_limits listing_segments
-  listing_seasonality mean_cost_by_plan return_ratio_by_type association_by_cramers_v extract_hand_off conversion_readout item_popularity
+  listing_seasonality mean_cost_by_plan return_ratio_by_type association_by_cramers_v association_by_phi_k extract_hand_off conversion_readout item_popularity
   outliers_blanked last_of_duplicates conference_totals approximate_distinct_counts approximate_quantiles interpolated_quantiles
   filter_by_computed_keys filter_on_aggregate filter_out_collapsed_groups large_groups_kept segment_by_population small_markets_collapsed
   size_class_shares growing_segments fastest_growing_segments yearly_median_and_count mean_days_between_orders mann_whitney_greater
