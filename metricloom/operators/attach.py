@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.numbers import ratio
 
+#: Rows of a key that meet its row of a table in one place.
+HOT_ROWS = 1 << 17
+
 
 def scalar_of(one_row: DataFrame) -> Column:
     """All columns of a one-row DataFrame as one struct-valued scalar subquery."""
@@ -36,6 +39,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def attached(rows: DataFrame, table: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """``null_safe_join`` of rows with a table of one row per key, whatever share of the rows a key holds.
+
+    The rows of a key above ``HOT_ROWS`` are dealt out to as many parts as it has multiples of that, and its row of the
+    table is copied to each. The table is hashed and the rows pass by it, so no task holds or sorts them.
+    """
+    keys = list(keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    hot = F.broadcast(sizes.select(*keys, F.ceil(F.col("_rows") / HOT_ROWS).alias("_parts")))     # all rows / HOT_ROWS keys at most
+    dealt = null_safe_join(rows, hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "_parts"), F.lit(0)))
+    copies = null_safe_join(table, hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+    return null_safe_join(dealt.drop("_parts"), copies.drop("_parts").hint("shuffle_hash"), [*keys, "_part"], how).drop("_part")
+
+
 def with_group_totals(df: DataFrame, keys, **aggs: Column) -> DataFrame:
     """Append per-key aggregates to each row (``keys`` empty: the grand total)."""
     keys = list(keys)

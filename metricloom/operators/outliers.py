@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.operators.aggregates import share_where
-from metricloom.operators.attach import null_safe_join, scalar_of, with_scalars
+from metricloom.operators.attach import attached, scalar_of, with_scalars
 from metricloom.operators.ordering import top_k
 from metricloom.operators.quantiles import quantile_table, quantiles
 
@@ -43,7 +43,7 @@ def iqr_fences(df: DataFrame, value: str, by=(), reach: float = 1.5, min_rows: i
 def flag_outliers(df: DataFrame, value: str, by=(), name: str = "is_outlier", **fences) -> DataFrame:
     """Every row with a flag; rows without a value or without fences are not outliers."""
     limits = iqr_fences(df, value, by, **fences)
-    joined = null_safe_join(df, limits, by, "left") if by else with_scalars(df, limits)
+    joined = attached(df, limits, by, "left") if by else with_scalars(df, limits)
     outside = (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))
     return joined.withColumn(name, F.coalesce(outside, F.lit(False))).select(*df.columns, name)
 
@@ -68,7 +68,7 @@ def trim_upper(df: DataFrame, value: str, by, high: float = 0.99) -> DataFrame:
     """Negative values go, then everything above the group's quantile of the rest."""
     valid = df.filter(F.col(value) >= 0)
     limits = quantiles(valid, value, {"_limit": high}, by)
-    return null_safe_join(valid, limits, by).filter(F.col(value) <= F.col("_limit")).select(*df.columns)
+    return attached(valid, limits, by).filter(F.col(value) <= F.col("_limit")).select(*df.columns)
 
 
 def blank_outliers(df: DataFrame, value: str, by, **fences) -> DataFrame:

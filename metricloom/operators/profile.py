@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.numbers import ratio
 from metricloom.operators.aggregates import QUARTILES, with_empty_groups
-from metricloom.operators.attach import null_safe_join, with_scalars
+from metricloom.operators.attach import attached, with_scalars
 from metricloom.operators.quantiles import quantiles
 
 
@@ -85,7 +85,7 @@ def box_stats(df: DataFrame, value: str, by=(), whisker: float = 1.5) -> DataFra
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     q = quantiles(rows, "_x", QUARTILES, by)
     reach = whisker * (F.col("q75") - F.col("q25"))
-    marked = null_safe_join(rows, q, by) if by else with_scalars(rows, q)
+    marked = attached(rows, q, by) if by else with_scalars(rows, q)
     inside = F.col("_x").between(F.col("q25") - reach, F.col("q75") + reach)
     return marked.groupBy(*by, "q25", "q50", "q75").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),

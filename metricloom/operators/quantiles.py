@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.operators.attach import null_safe_join, scalar_of
+from metricloom.operators.attach import attached, scalar_of
 
 ACCURACY = 10_000
 CUTS = 256
@@ -69,7 +69,7 @@ def _ranks(probs: dict, kind: str) -> list[tuple[str, str]]:
 def _attached(rows: DataFrame, brackets: DataFrame, by: list) -> DataFrame:
     """Rows with the bracket columns of their group."""
     if by:
-        return null_safe_join(rows, brackets, by)
+        return attached(rows, brackets, by)
     return rows.withColumn("_b", scalar_of(brackets)).select("_v", "_b.*")
 
 
