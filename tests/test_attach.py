@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.operators import attach, quantiles
+from metricloom.operators.aggregates import describe
 from metricloom.operators.outliers import flag_outliers
 
 N = 40_000
@@ -16,9 +17,11 @@ def shuffled(spark):
     before = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @pytest.fixture
@@ -56,3 +59,10 @@ def test_flags_of_a_hot_key_without_sorting_its_rows(hot):
     got = flag_outliers(hot, "v", ["k"])
     assert "SortMergeJoin" not in plan(got)
     assert got.count() == N
+
+
+def test_describe_gives_hot_columns_without_sorting_their_rows(hot):
+    got = describe(hot, ["v"], ["k"])
+    assert plan(got).count("SortMergeJoin") <= 1        # of the report's own rows
+    found = {r.k: (r["count"], r.q50) for r in got.collect()}
+    assert found["hot"] == (N * 9 // 10, 20_000.0)
