@@ -12,7 +12,7 @@ from metricloom.operators.aggregates import (
     QUARTILES, column_totals, describe, distinct_counts as count_distinct_values, drill_down, period_rollup, summarise, value_counts,
     with_empty_groups,
 )
-from metricloom.operators.attach import null_safe_join, with_share
+from metricloom.operators.attach import attached, null_safe_join, with_share
 from metricloom.operators.cleaning import group_mode
 from metricloom.operators.ordering import arg_max
 from metricloom.operators.quantiles import quantiles
@@ -118,7 +118,7 @@ _NEAR = " AND ".join(f"abs(count(*) FILTER (WHERE l_extendedprice <= {c})::DOUBL
   SELECT l_returnflag, count(*) AS n, {_NEAR} AS near FROM lineitem JOIN g USING (l_returnflag) GROUP BY l_returnflag, {', '.join(QUARTILES)}""")
 def approximate_quantiles(t):
     # whether the share of rows up to each estimate lies within 0.02 of the share asked for, on either engine
-    rows = null_safe_join(t.lineitem, quantiles(t.lineitem, "l_extendedprice", QUARTILES, ["l_returnflag"], method="approx"), ["l_returnflag"])
+    rows = attached(t.lineitem, quantiles(t.lineitem, "l_extendedprice", QUARTILES, ["l_returnflag"], method="approx"), ["l_returnflag"])
     shares = [F.abs(F.count_if(F.col("l_extendedprice") <= F.col(c)) / F.count("*") - p) <= 0.02 for c, p in QUARTILES.items()]
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), reduce(lambda a, b: a & b, shares).alias("near"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from metricloom.operators import attach, quantiles
 from metricloom.operators.aggregates import describe
 from metricloom.operators.outliers import flag_outliers
+from metricloom.plans import REGISTRY
 
 N = 40_000
 
@@ -66,3 +67,12 @@ def test_describe_gives_hot_columns_without_sorting_their_rows(hot):
     assert plan(got).count("SortMergeJoin") <= 1        # of the report's own rows
     found = {r.k: (r["count"], r.q50) for r in got.collect()}
     assert found["hot"] == (N * 9 // 10, 20_000.0)
+
+
+def test_estimates_meet_rows_of_hot_keys_without_sorting_them(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(attach, "HOT_ROWS", 500, raising=False)
+    spark.range(N).select(F.lit("A").alias("l_returnflag"), F.col("id").cast("double").alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with shuffled(spark):
+        got = REGISTRY["approximate_quantiles"].run(spark, str(tmp_path))
+        assert "SortMergeJoin" not in plan(got)
+        assert [tuple(r) for r in got.collect()] == [("A", N, True)]
