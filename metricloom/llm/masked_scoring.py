@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from metricloom.llm import anchors
 from metricloom.llm.shared import chunk_count, chunked, stored, texts, unpacked
-from metricloom.llm.textarrays import LOWER, WORD, U, slices, utf8, words
+from metricloom.llm.textarrays import LOWER, WORD, U, distinct, slices, utf8, words
 
 #: Leading bits of a word's hash that name its shard, and tokens a task counts before it gives their words on.
 SHARD_BITS, HELD = 10, 1 << 22
@@ -93,11 +93,14 @@ def contexts(ids: np.ndarray, before: np.ndarray, window: int, none: int) -> np.
 
 #: Rows of a matrix of scores at a time: larger ones are given fresh memory by the system, whose clearing costs more than the work.
 PART = 4096
+#: Scores of a smaller amount have exponentials, and sums of them, well inside the range of 32-bit floats.
+SAFE = 60.0
 
 
 def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Turn scores into exponentials, in place and once; log-probabilities of the targets, and the sums of the rows."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if not (-SAFE < logits.min(initial=0) and logits.max(initial=0) < SAFE):       # else no exponential leaves the range of its type
+        logits -= logits.max(axis=1, keepdims=True)
     chosen = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
     sums = logits @ np.ones(logits.shape[1], logits.dtype)
@@ -196,57 +199,76 @@ def gradient(model: Model, around: np.ndarray, target: np.ndarray, flat: np.ndar
     return grad
 
 
+def _split(docs: DataFrame, buckets: int) -> DataFrame:
+    """One pass over the texts: ``shard, keys, counts`` with the distinct words of some tokens and their counts; and with
+    shard -1, the buckets of the tokens of some rows and the rows' offsets in them."""
+    kind = np.min_scalar_type(buckets - 1)
+
+    def run(batches):
+        held, size = [], 0
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
+
+        def given():
+            hashes = np.concatenate(held)
+            keys, _, which = distinct(hashes)
+            order = np.argsort(keys)
+            keys, n = keys[order], np.bincount(which, minlength=len(keys))[order]
+            return batch_of([(s, keys[a:b].tobytes(), anchors.pack(n[a:b])) for s, a, b in anchors.by_shard(keys, SHARD_BITS)])
+
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for low, high in slices(offsets):
+                own = offsets[low:high + 1]
+                hashes, before = hashed(data[own[0]:own[-1]], own - own[0])
+                held.append(hashes)
+                size += len(hashes)
+                if len(hashes):
+                    yield batch_of([(-1, (hashes % U(buckets)).astype(kind).tobytes(), before.astype(np.int64).tobytes())])
+                if size >= HELD:
+                    yield given()
+                    held, size = [], 0
+        if size:
+            yield given()
+    return docs.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
+
+
 def _token_batches(batches, buckets):
+    kind = np.min_scalar_type(buckets - 1)
     for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        for low, high in slices(offsets):
-            own = offsets[low:high + 1]
-            yield tokens(data[own[0]:own[-1]], own - own[0], buckets)
+        for ids, before in zip(batch.column("keys"), batch.column("counts")):
+            yield np.frombuffer(ids.as_buffer(), kind).astype(np.int32), np.frombuffer(before.as_buffer(), np.int64)
 
 
 def corpus_counts(docs: DataFrame, buckets: int) -> np.ndarray:
     """Number of tokens of every bucket over all documents."""
+    return bucket_counts(word_counts(_split(docs, buckets)), buckets)
+
+
+def bucket_counts(counted: DataFrame, buckets: int) -> np.ndarray:
+    """Number of tokens of every bucket, from the counts of all distinct words."""
     def count(batches):
         total = np.zeros(buckets, np.int64)
-        for ids, _ in _token_batches(batches, buckets):
-            total += np.bincount(ids, minlength=buckets)
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys"), batch.column("counts")):
+                np.add.at(total, (np.frombuffer(keys.as_buffer(), U) % U(buckets)).astype(np.int64), anchors.unpack(counts.as_py()))
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(total[found])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()     # at most ``buckets`` rows
+    rows = counted.select("keys", "counts").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()     # at most ``buckets`` rows
     out = np.zeros(buckets, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(split: DataFrame) -> DataFrame:
     """The distinct words of all documents with their counts, packed: ``shard, keys, counts``."""
-    def count(batches):
-        held, size = [], 0
-
-        def given():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(s, keys[a:b].tobytes(), anchors.pack(n[a:b])) for s, a, b in anchors.by_shard(keys, SHARD_BITS)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
-
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for low, high in slices(offsets):
-                own = offsets[low:high + 1]
-                held.append(hashed(data[own[0]:own[-1]], own - own[0])[0])
-                size += len(held[-1])
-                if size >= HELD:
-                    yield given()
-                    held, size = [], 0
-        if size:
-            yield given()
-
     def total(key, table):
         keys, n = _counted(table)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([anchors.pack(n)], pa.binary())})
 
-    schema = "shard int, keys binary, counts binary"
-    return docs.select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(total, schema)
+    return split.where("shard >= 0").groupBy("shard").applyInArrow(total, "shard int, keys binary, counts binary")
 
 
 def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -283,9 +305,11 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
         rounds: int = 2, batch: int = 16384, rate: float = 0.1, seed: int = 7) -> Model:
     """Train on all documents: ``rounds`` passes, with the weights averaged after each."""
     docs = texts(docs, id_col, text_col)
-    counts = corpus_counts(docs, buckets)
+    split = stored(_split(docs, buckets), "split")
+    counted = stored(word_counts(split), "words")
+    counts = bucket_counts(counted, buckets)
     model = start(counts, classes, window, hidden, seed)
-    counted = stored(word_counts(docs), "words")
+    split = split.where("shard < 0").select("keys", "counts")
     piece = 1 << 14
 
     for turn in range(rounds):
@@ -294,12 +318,15 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
         def train(batches):
             own = sent.value
             flat, power, seen = own.weights.copy(), np.full(len(own.weights), 1e-6, np.float32), 0
+            held = np.empty_like(flat)                  # in place: fresh memory costs more than the work
             for ids, before in _token_batches(batches, buckets):
                 around = contexts(ids, before, window, buckets)
                 for low in range(0, len(ids), batch):
                     step = gradient(own, around[:, low:low + batch], own.class_of[ids[low:low + batch]], flat, ids[low:low + batch])
-                    power += step * step
-                    flat -= rate / (1 + turn) * step / np.sqrt(power)
+                    power += np.multiply(step, step, out=held)
+                    step *= rate / (1 + turn)
+                    step /= np.sqrt(power, out=held)
+                    flat -= step
                 seen += len(ids)
             if seen:
                 part = TaskContext.get().partitionId()
@@ -314,7 +341,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets
             row = [key[0].as_py(), key[1].as_py(), int(seen.sum()), (total / seen.sum()).astype(np.float32).tobytes()]
             return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "piece", "seen", "weights"])
 
-        rows = docs.select("text").mapInArrow(train, "part int, piece int, seen long, weights binary")
+        rows = split.mapInArrow(train, "part int, piece int, seen long, weights binary")
         for _ in range(3):                              # 256 tasks at a time: no group grows with their number, up to 16 million
             rows = rows.withColumn("of", F.col("part")).withColumn("part", F.shiftright("part", 8)).groupBy("part", "piece").applyInArrow(
                 mean, "part int, piece int, seen long, weights binary")
@@ -338,7 +365,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
         return hashed(data, offsets)
 
     def ask(key, table):
-        keys = np.unique(hashes_of(unpacked(table))[0])
+        keys = np.sort(distinct(hashes_of(unpacked(table))[0])[0])
         rows = [(s, key[0].as_py(), keys[a:b].tobytes()) for s, a, b in anchors.by_shard(keys, SHARD_BITS)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "chunk", "keys"])
 
@@ -356,10 +383,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     def finish(table, replies):
         own, table = sent.value, unpacked(table)
         hashes, before = hashes_of(table)
-        keys, which = np.unique(hashes, return_inverse=True)
+        keys, _, which = distinct(hashes)
+        order = np.argsort(keys)                        # as they were asked
         n = np.concatenate([np.zeros(0, np.int64), *[anchors.unpack(part) for part in anchors.in_order(replies, 1)]])
         ids = (hashes % U(own.buckets)).astype(np.int32)
-        logs = np.log(np.maximum(n, 1))[which] - np.log(own.seen + 1.0)[ids]        # share of the word in its bucket
+        own_log = np.empty(len(keys))
+        own_log[order] = np.log(np.maximum(n, 1))
+        logs = own_log[which] - np.log(own.seen + 1.0)[ids]     # share of the word in its bucket
         around = contexts(ids, before, own.window, own.buckets)
         for at in range(0, len(ids), batch):
             logs[at:at + batch] += log_probabilities(own, around[:, at:at + batch], ids[at:at + batch])

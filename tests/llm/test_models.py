@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
 from metricloom.llm import hnsw, language_id, masked_scoring
 
@@ -255,3 +256,28 @@ def test_extreme_magnitudes_and_ids_with_several_vectors(spark):
 
 def test_no_vectors(spark):
     assert near(spark, []) == {} and near(spark, [(1, [1.0, 2.0])]) == {}
+
+
+def test_training_reads_the_texts_once(spark, monkeypatch):
+    # before: one pass for the counts of buckets, one for those of words and one for every round
+    read = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([(i, f"red green blue w{i % 7}") for i in range(40)], "doc_id long, text string").repartition(3).localCheckpoint()
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+    model = masked_scoring.fit(texts.select("doc_id", seen("text").alias("text")), buckets=64, classes=4, rounds=3)
+    assert read.value == 40
+    assert model.seen.sum() == 160
+    assert np.array_equal(model.seen, masked_scoring.corpus_counts(texts, 64))
+
+
+def test_scores_of_any_size_have_finite_probabilities():
+    rng = np.random.default_rng(3)
+    target = np.array([0, 1, 2, 3])
+    for size in (1.0, 50.0, 500.0):
+        logits = (rng.standard_normal((4, 9)) * size).astype(np.float32)
+        wide = logits.astype(float)
+        want = wide[np.arange(4), target] - wide.max(1) - np.log(np.exp(wide - wide.max(1, keepdims=True)).sum(1))
+        assert np.allclose(masked_scoring._softmax(logits, target)[0], want, rtol=1e-4, atol=1e-4)
