@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
@@ -163,6 +164,44 @@ def specials(tokenizer: Tokenizer) -> dict[str, int]:
     return {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
 
+class Memory:
+    """Id lists by the hashes of their pre-tokens, in sorted arrays: some 40 bytes each, where a dictionary takes 300."""
+
+    def __init__(self):
+        self.keys, self.begins, self.sizes = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 12, np.int32), 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or belongs, and whether it is there."""
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inner = at < len(self.keys)
+        known[inner] = self.keys[at[inner]] == hashes[inner]
+        return at, known
+
+    def add(self, hashes: np.ndarray, at: np.ndarray, ids: list[tuple[int, ...]]) -> None:
+        """Id lists of new hashes, sorted, that belong at the places ``at``."""
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(sizes.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[:self.used], np.zeros(max(total, self.used // 2), np.int32)))
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        begins = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.keys, self.begins, self.sizes = (np.insert(own, at, fresh) for own, fresh in ((self.keys, hashes), (self.begins, begins), (self.sizes, sizes)))
+        self.used += total
+
+    def lists(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the lists at these places, and all their ids."""
+        sizes = self.sizes[at].astype(np.int64)
+        total = np.cumsum(sizes)
+        if not len(total):
+            return sizes, np.zeros(0, np.int64)
+        return sizes, self.flat[np.repeat(self.begins[at] - total + sizes, sizes) + np.arange(total[-1])].astype(np.int64)
+
+
 class Encoder:
     """Ids of pre-tokens by the library's merges; each distinct pre-token is merged once while it is remembered."""
 
@@ -170,7 +209,7 @@ class Encoder:
         self.tokenizer, self.words, self.memory = library(path), words, memory
         self.model, self.special = self.tokenizer.model, specials(self.tokenizer)
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.known: dict[int, tuple[int, ...]] = {}
+        self.known = Memory()
 
     def merge(self, pretoken: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -180,18 +219,21 @@ class Encoder:
         """A pre-token in the letters of its bytes."""
         return pretoken.encode("utf-8").decode("latin-1").translate(self.letters)
 
-    def distinct(self, p: Pretokens) -> tuple[list[tuple[int, ...]], np.ndarray]:
-        """The id lists of the distinct pre-tokens of a batch, and which of them each pre-token is."""
+    def distinct(self, p: Pretokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes and ids of the id lists of the distinct pre-tokens of a batch, and which of them each pre-token is."""
         hashes, first, which = distinct(p.hashes)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        hashes, first = hashes[order], first[order]
         if len(self.known) > self.memory:
-            self.known.clear()
-        known, out = self.known, []
-        for h, start, end in zip(hashes.tolist(), p.starts[first].tolist(), p.ends[first].tolist()):
-            ids = known.get(h)
-            if ids is None:
-                known[h] = ids = self.merge(p.text[start:end])
-            out.append(ids)
-        return out, which
+            self.known = Memory()
+        at, known = self.known.places(hashes)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self.known.add(hashes[new], at[new], [self.merge(p.text[a:b]) for a, b in zip(p.starts[first[new]].tolist(), p.ends[first[new]].tolist())])
+            at = np.searchsorted(self.known.keys, hashes)
+        return *self.known.lists(at), rank[which]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as one array, and the offsets of the texts in it."""
@@ -203,9 +245,7 @@ class Encoder:
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         p = split(texts, self.words, self.special)
-        distinct, which = self.distinct(p)
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        flat = np.fromiter((i for ids in distinct for i in ids), np.int64, int(sizes.sum()))
+        sizes, flat, which = self.distinct(p)
         return placed(p, which, sizes, flat)
 
 
@@ -224,78 +264,6 @@ def placed(p: Pretokens, which: np.ndarray, sizes: np.ndarray, flat: np.ndarray)
     return out, offsets
 
 
-def groups(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``limit`` characters, or one text: as much as a processor's cache likes."""
-    borders = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
-    return slices(borders, limit)
-
-
-@lru_cache
-def library(path: str) -> Tokenizer:
-    """The tokenizer of a vocabulary file, once per process."""
-    return Tokenizer.from_file(path)
-
-
-def specials(tokenizer: Tokenizer) -> dict[str, int]:
-    """Strings and ids of the special tokens."""
-    return {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-
-
-class Encoder:
-    """Ids of pre-tokens by the library's merges; each distinct pre-token is merged once while it is remembered."""
-
-    def __init__(self, path: str, words: bool, memory: int = 1 << 20):
-        self.tokenizer, self.words, self.memory = library(path), words, memory
-        self.model, self.special = self.tokenizer.model, specials(self.tokenizer)
-        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.known: dict[int, tuple[int, ...]] = {}
-
-    def merge(self, pretoken: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        return tuple([t.id for t in self.model.tokenize(self.spell(pretoken))])
-
-    def spell(self, pretoken: str) -> str:
-        """A pre-token in the letters of its bytes."""
-        return pretoken.encode("utf-8").decode("latin-1").translate(self.letters)
-
-    def distinct(self, p: Pretokens) -> tuple[list[tuple[int, ...]], np.ndarray]:
-        """The id lists of the distinct pre-tokens of a batch, and which of them each pre-token is."""
-        hashes, first, which = distinct(p.hashes)
-        if len(self.known) > self.memory:
-            self.known.clear()
-        known, out = self.known, []
-        for h, start, end in zip(hashes.tolist(), p.starts[first].tolist(), p.ends[first].tolist()):
-            ids = known.get(h)
-            if ids is None:
-                known[h] = ids = self.merge(p.text[start:end])
-            out.append(ids)
-        return out, which
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts as one array, and the offsets of the texts in it."""
-        parts = [self._ids(texts[low:high]) for low, high in groups(texts)]
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        sizes = np.concatenate([np.diff(offsets) for _, offsets in parts])
-        return np.concatenate([ids for ids, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
-
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        p = split(texts, self.words, self.special)
-        distinct, which = self.distinct(p)
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        flat = np.fromiter((i for ids in distinct for i in ids), np.int64, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        own = sizes[which] if len(which) else np.zeros(0, np.int64)
-        places = np.concatenate(([0], np.cumsum(own)))
-        out = flat[np.repeat(begins[which] - places[:-1], own) + np.arange(places[-1])] if len(which) else flat[:0]
-        offsets = places[p.offsets]
-        if p.special:
-            rows, at, ids = map(np.array, zip(*p.special))
-            out = np.insert(out, places[at], ids)
-            offsets = offsets + np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(texts)))))
-        return out, offsets
-
-
 @lru_cache
 def encoder(path: str, words: bool) -> Encoder:
     """One encoder per process and file."""

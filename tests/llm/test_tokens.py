@@ -113,3 +113,18 @@ def test_digests(spark):
     text = pretokens.library(WORDS).decode([320, 1], skip_special_tokens=False)
     assert rows[0]["ids_sha256"] == hashlib.sha256(b"\x40\1\0\0\1\0\0\0").hexdigest() and rows[0]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert all(r["n_tokens"] == 0 and r["ids_sha256"] == r["decoded_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows[1:])
+
+
+def test_remembered_pretokens_take_little_memory():
+    # a dictionary of tuples took some 300 bytes of each, and a lookup of its own
+    own = pretokens.Encoder(BYTES, False)
+    texts = [" ".join(f"w{i * 7919 % 100_003}x" for i in range(low, low + 5000)) for low in range(0, 40_000, 5000)]
+    ids, offsets = own.ids(texts)
+    assert len(own.known) >= 40_000
+    held = sum(own.known.__dict__[k].nbytes for k in ("keys", "begins", "sizes", "flat"))
+    assert held < 100 * len(own.known)
+    again, same = own.ids(texts)
+    assert np.array_equal(ids, again) and np.array_equal(offsets, same)
+    small = pretokens.Encoder(BYTES, False, memory=100)                 # forgets between batches
+    assert np.array_equal(np.concatenate([small.ids([t])[0] for t in texts]), ids)
+    assert ids[offsets[3]:offsets[4]].tolist() == own.tokenizer.encode(texts[3], add_special_tokens=False).ids
