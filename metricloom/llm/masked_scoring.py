@@ -35,6 +35,8 @@ from metricloom.llm.textarrays import LOWER, WORD, U, distinct, slices, utf8, wo
 
 #: Leading bits of a word's hash that name its shard, and tokens a task counts before it gives their words on.
 SHARD_BITS, HELD = 10, 1 << 22
+#: Text bytes, in whole rows, whose words are hashed at a time.
+SPAN = 1 << 18
 
 
 @dataclass
@@ -74,9 +76,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndar
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the rows' offsets in them."""
-    _, _, hashes, before = words(LOWER[data], offsets, WORD)
-    return hashes, before
+    """Hashes of all words, and the rows' offsets in them; ``SPAN`` bytes of text at a time, as hashing takes many times its text."""
+    hashes, before, n = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    for low, high in slices(offsets, SPAN):
+        own = offsets[low:high + 1]
+        _, _, found, ends = words(LOWER[data[own[0]:own[-1]]], own - own[0], WORD)
+        hashes.append(found)
+        before.append(ends[1:] + n)
+        n += len(found)
+    return np.concatenate(hashes), np.concatenate(before)
 
 
 def contexts(ids: np.ndarray, before: np.ndarray, window: int, none: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -273,6 +274,32 @@ def test_training_reads_the_texts_once(spark, monkeypatch):
     assert np.array_equal(model.seen, masked_scoring.corpus_counts(texts, 64))
 
 
+@pytest.mark.parametrize("span", [1, 40, 1 << 18])
+def test_words_have_one_hash_however_texts_are_cut(monkeypatch, span):
+    rows = ["", "Red green", "x" * 100, "", "red  GREEN blue, red", ""]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *map(len, rows)])
+    monkeypatch.setattr(masked_scoring, "SPAN", span, raising=False)
+    for low, high in ((0, 6), (3, 6), (0, 0), (0, 1)):
+        own = offsets[low:high + 1]
+        hashes, before = masked_scoring.hashed(data[own[0]:own[-1]], own - own[0])
+        found = [w for row in rows[low:high] for w in row.lower().replace(",", " ").split()]
+        assert before.tolist() == np.cumsum([0, *[len(r.replace(",", " ").split()) for r in rows[low:high]]]).tolist()
+        assert [[a == b for b in found] for a in found] == (hashes[:, None] == hashes).tolist()
+
+
+def test_hashing_words_takes_a_few_times_the_memory_of_their_text():
+    # before: 29 times
+    text = b"some words of a text " * 1000
+    data, offsets = np.frombuffer(text * 100, np.uint8), np.arange(101) * len(text)
+    masked_scoring.hashed(data, offsets)
+    tracemalloc.start()
+    try:
+        masked_scoring.hashed(data, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(data)
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_of_any_size_have_finite_probabilities():
     rng = np.random.default_rng(3)
     target = np.array([0, 1, 2, 3])
