@@ -12,10 +12,11 @@ no key gathers rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from metricloom.llm.textarrays import U, Spans, inside, mix
 
@@ -36,17 +37,20 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 class Blocks:
-    """The blocks of the documents of one chunk: anchor, first window, number of windows, row."""
+    """The blocks of the documents of one chunk: anchor, first window, number of windows, row.
 
-    def __init__(self, units: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-        self.offsets, self.length, self.spans = offsets, length, Spans(units)
+    ``windows``: which windows to divide into blocks (all that lie in one document). ``units`` may be the :class:`Spans` of other blocks.
+    """
+
+    def __init__(self, units: np.ndarray | Spans, offsets: np.ndarray, length: int, gram: int, windows: np.ndarray | None = None):
+        self.offsets, self.length, self.spans = offsets, length, units if isinstance(units, Spans) else Spans(units)
         values, span = self.spans.grams(gram), length - gram + 1
         width = 1
         while width < span and len(values):             # least of every window, by doubling
             step = min(width, span - width)
             values = np.minimum(values[:-step], values[step:]) if len(values) > step else values[:0]
             width += step
-        valid = inside(offsets, length)
+        valid = inside(offsets, length) if windows is None else windows
         values = values[:len(valid)]
         fresh = valid.copy()
         fresh[1:] &= ~valid[:-1] | (values[1:] != values[:-1])
@@ -68,6 +72,14 @@ class Blocks:
         last[self.which] = self.row                     # rows ascend: the last one stays
         return last > self.row[self.index]
 
+    def windows(self, chosen: np.ndarray) -> np.ndarray:
+        """Which windows lie in a block whose distinct anchor is chosen."""
+        own = chosen[self.which] if len(chosen) else np.zeros(0, bool)
+        steps = np.zeros(max(0, int(self.offsets[-1]) - self.length + 1) + 1, np.int8)
+        steps[self.first[own]] += 1
+        steps[(self.first + self.count)[own]] -= 1
+        return np.cumsum(steps[:-1], dtype=np.int8) > 0
+
 
 def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Shards of sorted keys by their leading bits: (shard, low, high)."""
@@ -82,6 +94,105 @@ def shard_bits(chunks: int) -> int:
     return max(8, int(np.log2(chunks)))
 
 
+class Questions:
+    """What the chunks of a pack ask, one after the other: one row for each shard, however many chunks ask it."""
+
+    def __init__(self, bits: int):
+        self.bits, self.shards = bits, {}
+
+    def add(self, keys: np.ndarray, part: Callable[[int, int], tuple]) -> None:
+        """``part(low, high)``: what is asked about a range of the sorted keys, one value for each column."""
+        for shard, low, high in by_shard(keys, self.bits):
+            self.shards.setdefault(shard, []).append(part(low, high))
+
+    def table(self, pack: int, columns: dict[str, Callable[[list], bytes]]) -> pa.Table:
+        """``shard, chunk`` (the pack), and each column as bytes made of the values that the chunks gave."""
+        shards = sorted(self.shards)
+        found = {name: pa.array([work([part[i] for part in self.shards[s]]) for s in shards], pa.binary()) for i, (name, work) in enumerate(columns.items())}
+        return pa.table({"shard": pa.array(shards, pa.int32()), "chunk": pa.array([pack] * len(shards), pa.int32())} | found)
+
+
+class Answers:
+    """The answers to one step, to be taken by the chunks of a pack in the order in which they asked."""
+
+    def __init__(self, replies: pa.Table, step: int, bits: int, values: Callable[[bytes], np.ndarray]):
+        own = replies.filter(pc.equal(replies.column("step"), step))
+        self.bits, self.none = bits, values(b"")
+        self.left = dict(zip(own.column("shard").to_pylist(), map(values, own.column("bits").to_pylist())))
+
+    def take(self, keys: np.ndarray) -> np.ndarray:
+        """The answers about the sorted keys of the next chunk."""
+        out = [self.none]
+        for shard, low, high in by_shard(keys, self.bits):
+            out.append(self.left[shard][:high - low])
+            self.left[shard] = self.left[shard][high - low:]
+        return np.concatenate(out)
+
+
+def joined(parts: list[np.ndarray]) -> bytes:
+    return np.concatenate(parts).tobytes()
+
+
+def flags(parts: list[np.ndarray] | np.ndarray) -> bytes:
+    """Truth values, eight in a byte."""
+    return np.packbits(np.concatenate(parts) if isinstance(parts, list) else parts).tobytes()
+
+
+def from_flags(data: bytes) -> np.ndarray:
+    """The values of :func:`flags`, and up to seven more."""
+    return np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+
+
+def quarters(values: np.ndarray) -> bytes:
+    """Numbers under four, four in a byte."""
+    padded = np.concatenate((values, np.zeros(-len(values) % 4, np.uint8))).reshape(-1, 4)
+    return (padded << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def from_quarters(data: bytes) -> np.ndarray:
+    """The numbers of :func:`quarters`, and up to three more."""
+    return ((np.frombuffer(data, np.uint8)[:, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & 3).ravel()
+
+
+#: Leading bits of an anchor that the first question names, and the step between neighbours that stands for a gap without a key.
+NAMED, GAP = 38, (1 << 24) - 1
+
+
+def steps(parts: list[np.ndarray]) -> bytes:
+    """Leading bits of sorted keys, chunk by chunk, as steps of three bytes from one to the next. Most keys take one step."""
+    out = []
+    for keys in parts:
+        skip, step = np.divmod(np.diff(keys >> U(64 - NAMED), prepend=U(0)), U(GAP))
+        skip[0], step[0] = 0, 0                         # the first stands before the steps
+        coded = np.full(len(keys) + int(skip.sum()), GAP, np.uint32)
+        coded[np.arange(len(keys)) + np.cumsum(skip.astype(np.int64))] = step
+        head = np.array([len(coded), int(keys[0] >> U(64 - NAMED))], np.int64)
+        out.append(head.tobytes() + coded.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    return b"".join(out)
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    """The leading bits of all keys of :func:`steps`."""
+    out, at = [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        n, first = np.frombuffer(data, np.int64, 2, at).tolist()
+        coded = np.zeros((n, 4), np.uint8)
+        coded[:, :3] = np.frombuffer(data, np.uint8, 3 * n, at + 16).reshape(n, 3)
+        coded = coded.view(np.uint32).ravel()
+        out.append(first + np.cumsum(coded, dtype=np.int64)[coded != GAP])
+        at += 16 + 3 * n
+    return np.concatenate(out)
+
+
+def shared(table: pa.Table) -> pa.Table:
+    """For every key of a shard that :func:`steps` names: one bit, whether more than one document may hold it."""
+    keys = [from_steps(k) for k in table.column("keys").to_pylist()]
+    more = [from_flags(m)[:len(k)] for k, m in zip(keys, table.column("more").to_pylist())]
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    found = np.bincount(which, minlength=len(distinct)) + np.bincount(which, np.concatenate(more), minlength=len(distinct)) > 1
+    return reply(0, table, [flags(part) for part in np.split(found[which], np.cumsum([len(k) for k in keys])[:-1])])
+
+
 def ask(chunk: int, blocks: Blocks, bits: int) -> pa.Table:
     """The packed questions of a chunk: is this anchor in another document?"""
     several = blocks.in_several_rows()
@@ -89,10 +200,10 @@ def ask(chunk: int, blocks: Blocks, bits: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "chunk", "keys", "more"])
 
 
-def reply(step: int, table: pa.Table, answers: list[np.ndarray]) -> pa.Table:
+def reply(step: int, table: pa.Table, answers: list[np.ndarray | bytes]) -> pa.Table:
     """Answers of a shard to its chunks, in the order of the questions."""
     return pa.Table.from_arrays([table.column("chunk").combine_chunks(), pa.array([step] * table.num_rows, pa.int32()), table.column("shard").combine_chunks(),
-                                 pa.array([a.tobytes() for a in answers], pa.binary())], schema=REPLY_SCHEMA)
+                                 pa.array([a if isinstance(a, bytes) else a.tobytes() for a in answers], pa.binary())], schema=REPLY_SCHEMA)
 
 
 def answer(table: pa.Table) -> pa.Table:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes a chunk of documents holds on average, and the least number of chunks.
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 96
@@ -49,25 +50,37 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The id (long) and text (null: empty) of documents under fixed names; rows without id are dropped.
 
-    ``carry`` keeps the whole row beside them as the struct ``rest``, so no name can clash.
+    ``carry`` keeps the row beside them as the struct ``rest``, so no name can clash; a text that is a string is not in it
+    a second time, and stays null where it is. :func:`whole` makes the row whole again.
     """
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    text = F.col(text_col).cast("string")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), (text if carry else F.coalesce(text, F.lit(""))).alias("text")]
     if carry:
-        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if not _is_text(docs, c, text_col)]).alias("rest"))
     return docs.select(*columns).where(F.col("doc_id").isNotNull())
 
 
+def whole(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``found`` with ``text`` and ``rest`` of :func:`texts`, where ``rest`` is again the struct of all columns of ``docs``."""
+    row = F.struct(*[(F.col("text") if _is_text(docs, c, text_col) else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[row.alias(c) if c == "rest" else F.col(c) for c in found.columns if c != "text"])
+
+
+def _is_text(docs: DataFrame, column: str, text_col: str) -> bool:
+    return column == text_col and len(docs.columns) > 1 and docs.schema[column].dataType == T.StringType()
+
+
 def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     """Chunks that hold about ``chunk_bytes`` of text each."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(LEAST_CHUNKS, -(-total // chunk_bytes))
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
+def chunked(docs: DataFrame, chunks: int, packs: int | None = None) -> DataFrame:
     """``chunk, docs``: documents dealt out by a hash of their id, whatever their text.
 
     Each batch of a scan is packed into one compressed Arrow stream per chunk before the shuffle; :func:`unpacked` reads
-    the streams that meet in a chunk.
+    the streams that meet in a chunk. ``packs``: several chunks meet under a number ``pack``, of so many.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -85,7 +98,10 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
         return pa.record_batch([pa.array(chunk[order][borders[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "docs"])
 
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    return map_batches(dealt, pack, "chunk int, docs binary", rows=None).repartition(min(chunks, partitions), "chunk")
+    packed = map_batches(dealt, pack, "chunk int, docs binary", rows=None)
+    if packs is None:
+        return packed.repartition(min(chunks, partitions), "chunk")
+    return packed.withColumn("pack", F.col("chunk") % packs).repartition(min(packs, partitions), "pack")
 
 
 def unpacked(table: pa.Table) -> pa.Table:

@@ -1,6 +1,8 @@
 """Substring dedup by common-prefix intervals of enhanced suffix arrays, on the bytes of texts.
 
-A byte goes if a ``length``-byte string over it also starts in a document with a smaller id. Shared anchors
+A byte goes if a ``length``-byte string over it also starts in a document with a smaller id. Long anchors are asked
+about first, by their leading bits: short ones are shared by chance, the more so the larger the corpus, and every window
+over such an anchor would have to be sent. Of the windows that are left, shared anchors
 (:mod:`anchors`) bring equal strings to one shard; the shard sorts the suffixes of all distinct contexts of an
 anchor, compares neighbours (common prefixes), and a stack scan over these lists the interval tree. Intervals at
 least ``length`` deep whose suffixes have different bytes on the left are the maximal repeats; every occurrence
@@ -24,10 +26,14 @@ from pyspark.sql import types as T
 
 from metricloom.llm import anchors
 from metricloom.llm.seed_extend import covered, span_lists
-from metricloom.llm.shared import CHUNK_BYTES, chunk_count, chunked, texts, unpacked
-from metricloom.llm.textarrays import U, Spans, byte_units, runs, utf8
+from metricloom.llm.shared import CHUNK_BYTES, LEAST_CHUNKS, chunk_count, chunked, texts, unpacked, whole
+from metricloom.llm.textarrays import U, Spans, byte_units, runs, slices, utf8
 
+_KINDS = "shard int, chunk int, keys binary, more binary, rows binary"
 _ASK = "shard int, chunk int, keys binary, counts binary, data binary, docs binary"
+#: Chunks that ask and are answered together, one row for each shard, at least and at most. As many as the root of the
+#: number of chunks asks for: so rows, packs times shards, outgrow the text slowly, and small inputs stay evenly dealt out.
+PACK, MOST = 2, 16
 _ALL = U(0xFFFFFFFFFFFFFFFF)
 #: Answers about an anchor: in one document, one context everywhere, several contexts, very many.
 ALONE, SAME, SEVERAL, MANY = range(4)
@@ -77,12 +83,17 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
 class _Chunk:
     """Bytes and blocks of the documents of a chunk."""
 
-    def __init__(self, table: pa.Table, length: int, gram: int):
+    def __init__(self, table: pa.Table, length: int, gram: int, shared: anchors.Answers | None = None):
+        """``shared``: whether another document may have a long anchor too; ``blocks`` are made of the windows over those."""
         table = unpacked(table)
-        self.rest = table.column("rest") if "rest" in table.column_names else None
+        self.rest = table.select(["text", "rest"]) if "rest" in table.column_names else None
         self.ids, self.length = table.column("doc_id").to_numpy(), length
         self.data, self.offsets = utf8(table.column("text"))
-        self.blocks = anchors.Blocks(byte_units(self.data), self.offsets, length, gram)
+        self.long = anchors.Blocks(byte_units(self.data), self.offsets, length, (length + gram) // 2)
+        if shared:
+            windows = self.long.windows(shared.take(self.long.distinct))
+            spans, self.long = self.long.spans, None
+            self.blocks = anchors.Blocks(spans, self.offsets, length, gram, windows)
 
     def contexts(self) -> np.ndarray:
         """A hash of the one context of each distinct anchor, 0 where the chunk has several."""
@@ -121,8 +132,8 @@ def _answer(table: pa.Table, many: int) -> pa.Table:
     """For every anchor of a shard: which of the four cases it is."""
     keys = [np.frombuffer(k, U) for k in table.column("keys").to_pylist()]
     key = np.concatenate(keys)
-    more = np.concatenate([np.frombuffer(m, np.uint32, len(k)) for k, m in zip(keys, table.column("more").to_pylist())])
-    flags = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, offset=4 * len(k)), count=len(k)) for k, m in zip(keys, table.column("more").to_pylist())])
+    more = np.concatenate([np.frombuffer(m, np.uint32) for m in table.column("more").to_pylist()])
+    flags = np.concatenate([anchors.from_flags(m)[:len(k)] for k, m in zip(keys, table.column("rows").to_pylist())])
     order = np.lexsort((more, key))
     k, context = key[order], more[order]
     fresh = np.ones(len(k), bool)
@@ -137,7 +148,12 @@ def _answer(table: pa.Table, many: int) -> pa.Table:
     code = np.where(holders <= 1, ALONE, np.where(kinds == 1, SAME, np.where(kinds > many, MANY, SEVERAL))).astype(np.uint8)
     out = np.empty(len(key), np.uint8)
     out[order] = code[group]
-    return anchors.reply(1, table, np.split(out, np.cumsum([len(x) for x in keys])[:-1]))
+    return anchors.reply(1, table, [anchors.quarters(x) for x in np.split(out, np.cumsum([len(x) for x in keys])[:-1])])
+
+
+def _squeezed(parts: list[np.ndarray]) -> bytes:
+    data = anchors.joined(parts)
+    return pa.compress(data, "zstd", asbytes=True) if data else data
 
 
 def _least(table: pa.Table, length: int, suffixes: int = 1 << 15) -> pa.Table:
@@ -146,10 +162,15 @@ def _least(table: pa.Table, length: int, suffixes: int = 1 << 15) -> pa.Table:
     key = np.concatenate(keys)
     count = np.concatenate([np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()]).astype(np.int64)
     doc = np.concatenate([anchors.unpack(d) for d in table.column("docs").to_pylist()])
-    data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
     size = np.where(count > 0, count + length - 1, 0)
+    of_row = [int(s.sum()) for s in np.split(size, np.cumsum([len(k) for k in keys])[:-1])]
+    data = np.frombuffer(b"".join(pa.decompress(d, n, "zstd", asbytes=True) for d, n in zip(table.column("data").to_pylist(), of_row) if n), np.uint8)
     start = np.cumsum(size) - size
-    content = Spans(byte_units(data)).hash(start, start + size)
+    content = np.empty(len(size), U)
+    borders = np.append(start, len(data))
+    for low, high in slices(borders, 1 << 20):           # eight bytes of hash for each byte of a slice
+        base = borders[low]
+        content[low:high] = Spans(byte_units(data[base:borders[high]])).hash(start[low:high] - base, start[low:high] + size[low:high] - base)
     order = np.lexsort((doc, content, count == 0, key))
     k, c, bare = key[order], content[order], count[order] == 0
     new_key = np.ones(len(k), bool)
@@ -186,7 +207,7 @@ def _least(table: pa.Table, length: int, suffixes: int = 1 << 15) -> pa.Table:
 
 
 def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_characters: bool = False, many: int = 512, carry: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES // 4) -> DataFrame:
     """``doc_id, n_bytes, spans (array of struct<first, last>: maximal removed byte runs), kept (binary)``.
 
     ``whole_characters`` keeps a character of which a part would stay. ``carry`` adds the input row as struct ``rest``. ``many``: contexts of an anchor in one shard.
@@ -194,55 +215,89 @@ def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, whole_char
     """
     if not gram < length <= gram + 63:
         raise ValueError("length must be over gram by 1 to 63")
-    docs = texts(docs, id_col, text_col, carry)
+    rows, docs = docs, texts(docs, id_col, text_col, carry)
     rest = docs.schema["rest"] if carry else None
     chunks = chunk_count(docs, chunk_bytes)
-    bits = anchors.shard_bits(chunks)
-    docs = chunked(docs, chunks)
+    packs = max(min(chunks, LEAST_CHUNKS), int(chunks / np.clip(PACK * (chunks / 1024) ** 0.5, PACK, MOST)))
+    bits = max(8, int(np.log2(chunks)) - 4)             # of a shard: the anchors of 16 to 32 chunks
+    docs = chunked(docs, chunks, packs)
+    dealt = min(packs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def each(work, table, replies=None):
+        """``work`` on the chunks of a pack in order, with the answers to the steps so far; no chunk is held while the next one is divided."""
+        steps = [(0, anchors.from_flags), (1, anchors.from_quarters), (2, lambda x: np.frombuffer(x, U))]
+        told = [anchors.Answers(replies, step, bits, values) for step, values in steps] if replies is not None else None
+        number = table.column("chunk").to_numpy()
+        for n in np.unique(number):
+            work(_Chunk(table.filter(pa.array(number == n)), length, gram, told and told[0]), told)
 
     def seeds(key, table):
-        chunk = _Chunk(table, length, gram)
-        b = chunk.blocks
-        several, contexts = b.in_several_rows(), chunk.contexts()
-        rows = [(s, key[0].as_py(), b.distinct[x:y].tobytes(), contexts[x:y].tobytes() + np.packbits(several[x:y]).tobytes()) for s, x, y in anchors.by_shard(b.distinct, bits)]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "chunk", "keys", "more"])
+        asked = anchors.Questions(bits)
+
+        def ask(chunk, _):
+            b = chunk.long
+            several = b.in_several_rows()
+            asked.add(b.distinct, lambda x, y: (b.distinct[x:y], several[x:y]))
+
+        each(ask, table)
+        return asked.table(key[0].as_py(), {"keys": anchors.steps, "more": anchors.flags})
+
+    def kinds(key, table, replies):
+        asked = anchors.Questions(bits)
+
+        def ask(chunk, _):
+            b = chunk.blocks
+            several, contexts = b.in_several_rows(), chunk.contexts()
+            asked.add(b.distinct, lambda x, y: (b.distinct[x:y], contexts[x:y], several[x:y]))
 
-    def codes(replies):
-        parts = [np.frombuffer(x, np.uint8) for x in anchors.in_order(replies, 1)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        each(ask, table, replies)
+        return asked.table(key[0].as_py(), {"keys": anchors.joined, "more": anchors.joined, "rows": anchors.flags})
 
     def contexts(key, table, replies):
-        chunk = _Chunk(table, length, gram)
-        keys, counts, first, least, *_ = chunk.entries(codes(replies))
-        rows = []
-        for s, x, y in anchors.by_shard(keys, bits):
-            size = np.where(counts[x:y] > 0, counts[x:y] + length - 1, 0)
-            at = np.repeat(first[x:y] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            rows.append((s, key[0].as_py(), keys[x:y].tobytes(), counts[x:y].astype(np.uint8).tobytes(), chunk.data[at].tobytes(), anchors.pack(least[x:y])))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 4))],
-                                    ["shard", "chunk", "keys", "counts", "data", "docs"])
+        asked = anchors.Questions(bits)
+
+        def ask(chunk, told):
+            keys, counts, first, least, *_ = chunk.entries(told[1].take(chunk.blocks.distinct))
+
+            def part(x, y):
+                size = np.where(counts[x:y] > 0, counts[x:y] + length - 1, 0)
+                at = np.repeat(first[x:y] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                return keys[x:y], counts[x:y].astype(np.uint8), chunk.data[at], least[x:y]
+
+            asked.add(keys, part)
+
+        each(ask, table, replies)
+        return asked.table(key[0].as_py(), {"keys": anchors.joined, "counts": anchors.joined, "data": _squeezed, "docs": lambda parts: anchors.pack(np.concatenate(parts))})
 
     def finish(key, table, replies):
-        chunk = _Chunk(table, length, gram)
-        *_, least, first, row, count, entry = chunk.entries(codes(replies))
-        parts = [np.frombuffer(x, U) for x in anchors.in_order(replies, 2)]
-        at = np.zeros(0, np.int64)
-        if parts:
-            mask = np.where(chunk.ids[row] > least[entry], _ALL, np.concatenate(parts)[entry])
+        out = []
+
+        def cut(chunk, told):
+            keys, _, _, least, first, row, count, entry = chunk.entries(told[1].take(chunk.blocks.distinct))
+            mask = np.where(chunk.ids[row] > least[entry], _ALL, told[2].take(keys)[entry])
             window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             hit = (np.repeat(mask, count) >> window.astype(U)) & U(1) > 0
-            at = (np.repeat(first, count) + window)[hit]
-        out = _cut(chunk, at, whole_characters)
-        return out.append_column("rest", chunk.rest) if carry else out
+            found = _cut(chunk, (np.repeat(first, count) + window)[hit], whole_characters)
+            out.append(found.append_column("text", chunk.rest["text"]).append_column("rest", chunk.rest["rest"]) if carry else found)
+
+        each(cut, table, replies)
+        return pa.concat_tables(out)
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
     if carry:
-        schema = schema.add(rest)
-    first = docs.groupBy("chunk").applyInArrow(seeds, anchors.REQUEST).groupBy("shard").applyInArrow(lambda table: _answer(table, many), anchors.REPLY)
-    asked = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(contexts, _ASK)
-    second = asked.groupBy("shard").applyInArrow(lambda table: _least(table, length), anchors.REPLY)
-    return (docs.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk"))
-            .applyInArrow(finish, schema))
+        schema = schema.add("text", T.StringType()).add(rest)
+    packed = docs.groupBy("pack")
+
+    def answered(asked, work):
+        """Answers dealt out as the documents are, so that a later step reads them where they lie."""
+        return asked.groupBy("shard").applyInArrow(work, anchors.REPLY).repartition(dealt, "chunk")
+
+    first = answered(packed.applyInArrow(seeds, anchors.REQUEST), anchors.shared)
+    second = answered(packed.cogroup(first.groupBy("chunk")).applyInArrow(kinds, _KINDS), lambda table: _answer(table, many))
+    told = first.unionByName(second)
+    third = answered(packed.cogroup(told.groupBy("chunk")).applyInArrow(contexts, _ASK), lambda table: _least(table, length))
+    found = packed.cogroup(told.unionByName(third).groupBy("chunk")).applyInArrow(finish, schema)
+    return whole(found, rows, text_col) if carry else found
 
 
 def _cut(chunk: _Chunk, at: np.ndarray, whole_characters: bool) -> pa.Table:

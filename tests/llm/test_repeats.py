@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
-from metricloom.llm import seed_extend, suffix_repeats
+from metricloom.llm import anchors, seed_extend, suffix_repeats
 from metricloom.llm.queries import _span_sum
 
 WORDS = ("n_words", "n_removed", "kept_sha256")
@@ -63,6 +64,47 @@ def test_whole_characters_and_carried_rows(spark):
     assert rows[2]["kept"].decode() == "xy" and rows[2]["rest"]["kept"] == 6 and rows[1]["rest"]["text"] == "a" + shared + "b"
 
 
+def test_carried_rows_keep_nulls_and_texts_of_other_types(spark):
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "abc", None), (None, "abc", 7)], "doc_id long, text string, rest int")
+    found = suffix_repeats.repeated_bytes(docs, carry=True)
+    assert found.schema["rest"].dataType.simpleString() == "struct<doc_id:bigint,text:string,rest:int>"
+    assert sorted(tuple(r["rest"]) + (bytes(r["kept"]),) for r in found.collect()) == [(1, None, 5, b""), (2, "", 6, b""), (3, "abc", None, b"abc")]
+    numbers = docs.select("doc_id", (F.col("doc_id") * 7).alias("text"))
+    assert sorted(tuple(r["rest"]) + (bytes(r["kept"]),) for r in suffix_repeats.repeated_bytes(numbers, carry=True).collect()) == [(i, 7 * i, b"%d" % (7 * i)) for i in (1, 2, 3)]
+
+
+def test_chunks_that_ask_together_get_their_own_answers(edge_docs, edge_texts):
+    assert sum(len((t or "").encode()) for _, t in edge_texts) / 60 > 8 * 96        # 96 packs of eight chunks and more
+    assert by_bytes(edge_docs, chunk_bytes=60) == brute.repeated_bytes(edge_texts)
+
+
+def test_disk_of_shared_phrases_and_many_chunks(spark):
+    """Texts of few words share short anchors by chance; 400 chunks ask. Written: the text once, and questions of less than its size."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(40)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(1500))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    size = sum(len(t) for _, t in rows)
+    folders = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = {f for d in folders for f in d.rglob("shuffle_*.data")}
+    found = suffix_repeats.repeated_bytes(docs, carry=True, chunk_bytes=-(-size // 400))
+    assert found.count() == len(rows)
+    written = sum(f.stat().st_size for d in folders for f in d.rglob("shuffle_*.data") if f not in there)
+    assert written < 2.5 * size
+
+
+def test_steps_name_the_leading_bits_of_sorted_keys():
+    rnd = np.random.default_rng(0)
+    cut = np.uint64(64 - anchors.NAMED)
+    top = np.array([0, 1, 2**24 - 1, 2**24, 2**37, 2**anchors.NAMED - 1], np.uint64) << cut
+    parts = [np.sort(rnd.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) for n in (1, 5, 3000)] + [top, top[:1], np.repeat(top, 2)]
+    assert anchors.from_steps(anchors.steps(parts)).tolist() == (np.concatenate(parts) >> cut).tolist()
+    assert anchors.from_steps(b"").tolist() == []
+    for n in range(9):
+        values = rnd.integers(0, 4, n).astype(np.uint8)
+        assert anchors.from_quarters(anchors.quarters(values))[:n].tolist() == values.tolist()
+
+
 def test_maximal_repeats_against_every_substring():
     rnd = random.Random(3)
     for _ in range(30):
